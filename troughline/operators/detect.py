@@ -57,23 +57,21 @@ def rolling_median(
         return df.withColumn(out, F.col(v))
     half = window // 2
     w = Window.partitionBy(*keys).orderBy(t)
-    near = F.sort_array(F.array_compact(F.array(
-        *[F.lag(v, -k).over(w) for k in range(-half, half + 1) if k < 0],
-        F.col(v),
-        *[F.lead(v, k).over(w) for k in range(1, half + 1)],
-    )))
     frame = w.rowsBetween(-half, half)
-    df = df.withColumn("_near", near)
+    df = df.withColumns({
+        "_near": F.sort_array(F.array_compact(F.array(
+            *[F.lag(v, k).over(w) for k in range(half, 0, -1)], F.col(v), *[F.lead(v, k).over(w) for k in range(1, half + 1)],
+        ))),
+        "_gap": F.count(F.lit(1)).over(frame) > F.count(v).over(frame),
+    })
     n = F.size("_near")
-    # try_element_at is 1-based; an odd count takes the same element twice.
+    # Positions are 1-based; an odd count takes the same element twice.
     mid = (
         F.try_element_at("_near", F.floor((n + 1) / 2).cast("int"))
         + F.try_element_at("_near", F.floor((n + 2) / 2).cast("int"))
     ) / 2
-    usable = n > 0
-    if not skip_missing:
-        usable = F.count(v).over(frame) == F.count(F.lit(1)).over(frame)
-    return df.withColumn("_usable", usable).withColumn(out, F.when(F.col("_usable"), mid)).drop("_near", "_usable")
+    usable = n > 0 if skip_missing else ~F.col("_gap")
+    return df.withColumn(out, F.when(usable, mid)).drop("_near", "_gap")
 
 
 def _between(t: Column, lo: Column, hi: Column) -> Column:
@@ -83,19 +81,25 @@ def _between(t: Column, lo: Column, hi: Column) -> Column:
 def baseline_quality(
     df: DataFrame, keys: Sequence[str], anchor: str = "anchor", p: Detector = Detector(), t: str = "t", v: str = "sm"
 ) -> DataFrame:
-    """Add `n_pre, n_finite, baseline, rel_sd, quality_reason` of the pre-anchor window to every row."""
+    """Add `n_pre, n_finite, baseline, rel_sd, quality_reason` of the pre-anchor window to every row.
+
+    Also `n_search` (ticks in the search window) and `first_t`, taken in the same pass.
+    """
     every = Window.partitionBy(*keys)
     in_pre = _between(F.col(t), F.col(anchor) - p.pre_lo, F.col(anchor) - p.pre_hi)
     pre = F.when(in_pre, F.col(v))
     enough = F.col("n_finite") >= p.min_finite
-    df = (
-        df.withColumn("n_pre", F.count_if(in_pre).over(every))
-        .withColumn("n_finite", F.count(pre).over(every))
-        .withColumn("_median", F.percentile(pre, F.lit(0.5)).over(every))
-        .withColumn("_sd", F.stddev_pop(pre).over(every))
-        .withColumn("baseline", F.when(enough, F.col("_median")))
-        .withColumn("rel_sd", F.when(enough & (F.col("_median") > 0), F.col("_sd") / F.col("_median")))
-    )
+    df = df.withColumns({
+        "n_pre": F.count_if(in_pre).over(every),
+        "n_finite": F.count(pre).over(every),
+        "_median": F.percentile(pre, F.lit(0.5)).over(every),
+        "_sd": F.stddev_pop(pre).over(every),
+        "n_search": F.count_if(_searching(anchor, p, t)).over(every),
+        "first_t": F.min(t).over(every),
+    }).withColumns({
+        "baseline": F.when(enough, F.col("_median")),
+        "rel_sd": F.when(enough & (F.col("_median") > 0), F.col("_sd") / F.col("_median")),
+    })
     reason = (
         F.when(~enough, V.NO_BASELINE)
         .when(~F.col("baseline").between(p.plausible_lo, p.plausible_hi), V.BASELINE_IMPLAUSIBLE)
@@ -104,6 +108,10 @@ def baseline_quality(
     return df.withColumn("quality_reason", reason).drop("_median", "_sd")
 
 
+def _searching(anchor: str, p: Detector, t: str) -> Column:
+    return _between(F.col(t), F.col(anchor) - p.search_lo, F.col(anchor) + p.search_hi)
+
+
 def _setting(p: Detector, name: str, swept: bool) -> Column:
     return F.col(name) if swept else F.lit(float(getattr(p, name)))
 
@@ -120,25 +128,28 @@ def mark_runs(
     forward = Window.partitionBy(*keys).orderBy(t)
     backward = Window.partitionBy(*keys).orderBy(F.desc(t)).rowsBetween(Window.unboundedPreceding, 0)
     hold = max(1, int(round(p.recovery_hold)))
-    searching = _between(F.col(t), F.col(anchor) - p.search_lo, F.col(anchor) + p.search_hi)
-    below = F.coalesce(F.col("_in") & (F.col(v) < _setting(p, "occlusion_fraction", swept) * F.col("baseline")), F.lit(False))
-    above = F.coalesce(F.col("_in") & (F.col(v) >= _setting(p, "recovery_fraction", swept) * F.col("baseline")), F.lit(False))
-    starts = F.col("_below") & ~F.coalesce(F.lag("_below").over(forward), F.lit(False))
     ahead = forward.rowsBetween(0, hold - 1)
-    held = (F.min(F.col("_above").cast("int")).over(ahead) == 1) & (F.count(F.lit(1)).over(ahead) == hold)
-    gap_after = F.count_if(F.col("_in") & F.col(v).isNull()).over(backward) > 0
+    searching = _searching(anchor, p, t)
+    below = F.coalesce(searching & (F.col(v) < _setting(p, "occlusion_fraction", swept) * F.col("baseline")), F.lit(False))
+    above = F.coalesce(searching & (F.col(v) >= _setting(p, "recovery_fraction", swept) * F.col("baseline")), F.lit(False))
+    # Three window passes: run starts, then run numbers and holds, then one reverse pass.
     return (
-        df.withColumn("_in", searching)
-        .withColumn("_below", below)
-        .withColumn("_above", above)
-        .withColumn("_start", starts)
-        .withColumn("run", F.when(F.col("_below"), F.sum(F.col("_start").cast("int")).over(forward)))
-        .withColumn("_held", held)
-        .withColumn("next_release", F.min(F.when(F.col("_held"), F.col(t))).over(backward))
-        .withColumn("_later", F.max(F.when(F.col("_in"), F.col(v))).over(backward))
-        .withColumn("max_after", F.when(~gap_after, F.col("_later")))
-        .withColumn("n_search", F.count_if(F.col("_in")).over(Window.partitionBy(*keys)))
-        .drop("_below", "_above", "_start", "_held", "_later")
+        df.withColumns({
+            "_in": searching, "_below": below, "_above": above,
+            "_start": below & ~F.coalesce(F.lag(below).over(forward), F.lit(False)),
+        })
+        .withColumns({
+            "run": F.when(F.col("_below"), F.sum(F.col("_start").cast("int")).over(forward)),
+            "_held": (F.min(F.col("_above").cast("int")).over(ahead) == 1) & (F.count(F.lit(1)).over(ahead) == hold),
+        })
+        .withColumns({
+            "next_release": F.min(F.when(F.col("_held"), F.col(t))).over(backward),
+            "max_after": F.when(
+                F.count_if(F.col("_in") & F.col(v).isNull()).over(backward) == 0,
+                F.max(F.when(F.col("_in"), F.col(v))).over(backward),
+            ),
+        })
+        .drop("_in", "_below", "_above", "_start", "_held")
     )
 
 
@@ -150,12 +161,8 @@ def runs_below(
 
     `keep_empty` keeps one run-less row per window so windows without any run survive.
     """
-    rows = mark_runs(df, keys, anchor, p, t, v, swept)
-    if keep_empty:
-        first = F.row_number().over(Window.partitionBy(*keys).orderBy(t)) == 1
-        rows = rows.withColumn("_first", first).where(F.col("run").isNotNull() | F.col("_first"))
-    else:
-        rows = rows.where(F.col("run").isNotNull())
+    rows = mark_runs(df.where(_searching(anchor, p, t) | (F.col(t) == F.col("first_t"))), keys, anchor, p, t, v, swept)
+    rows = rows.where(F.col("run").isNotNull() | ((F.col(t) == F.col("first_t")) if keep_empty else F.lit(False)))
     low = F.struct(F.col(v).alias("v"), F.col(t).alias("t"), F.col("next_release"), F.col("max_after"))
     constant = [c for c in dict.fromkeys([anchor, "baseline", "n_search", *carry]) if c not in keys]
     grouped = rows.groupBy(*keys, "run").agg(
@@ -256,8 +263,11 @@ def prepare(
     trace: DataFrame, keys: Sequence[str], anchor: str = "anchor", p: Detector = Detector(), t: str = "t", v: str = "v",
     skip_missing: bool = False,
 ) -> DataFrame:
-    """Smooth a raw trace and attach its baseline: everything no swept setting changes."""
-    return baseline_quality(rolling_median(trace, keys, t, v, p.smooth_window, "sm", skip_missing), keys, anchor, p, t)
+    """Smooth a raw trace and attach its baseline: everything that no swept setting changes."""
+    # Spread by the whole key: a trace that arrives partitioned by the recording alone would
+    # keep every window of a hot recording in one task.
+    spread = trace.repartition(*keys)
+    return baseline_quality(rolling_median(spread, keys, t, v, p.smooth_window, "sm", skip_missing), keys, anchor, p, t)
 
 
 def classify(
@@ -288,8 +298,9 @@ def sweep(
     check or lie outside the search window are dropped before the rest is repeated per setting.
     The repeated rows keep the window's partitioning, so the sweep adds no exchange of the trace.
     """
-    searching = _between(F.col(t), F.col(anchor) - p.search_lo, F.col(anchor) + p.search_hi)
+    searching = _searching(anchor, p, t)
     ready = prepare(trace, keys, anchor, p, t, v, skip_missing).where(F.col("quality_reason").isNull() & searching)
+    ready = ready.withColumn("first_t", F.min(t).over(Window.partitionBy(*keys)))
     options = F.array(*[
         F.struct(F.lit(i).alias("setting"), *[F.lit(float(s[k])).alias(k) for k in SWEPT]) for i, s in enumerate(settings)
     ])

@@ -149,7 +149,7 @@ cls AS (SELECT b.series, b.anchor, b.baseline, b.rel_sd, b.quality_reason, s.*
 
 
 def _smoothed(spark: SparkSession, d: str) -> DataFrame:
-    return detect.rolling_median(trace_windows(spark, d), KEYS)
+    return detect.rolling_median(trace_windows(spark, d).repartition(*KEYS), KEYS)
 
 
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
