@@ -91,7 +91,7 @@ ma AS (SELECT {by}a AS c, count(*) * 1e0 AS na FROM pair GROUP BY ALL), mb AS (S
 
 
 @query("b16_agreement_bands", f"""{WITH}, {KAPPA_SQL.format(by="subject_id, ", a="reader_call", b="pass2_call", g="GROUP BY ALL")},
-pe AS (SELECT t.subject_id, t.n, same / t.n AS po, coalesce(sum(na * nb), 0e0) / (t.n * t.n) AS pe FROM tot t LEFT JOIN (SELECT ma.subject_id, na, nb FROM ma JOIN mb ON ma.subject_id = mb.subject_id AND ma.c = mb.c) m USING (subject_id) GROUP BY ALL),
+pe AS (SELECT t.subject_id, t.n, same / t.n AS po, coalesce(sum(na * nb), 0e0) / (t.n * t.n) AS pe FROM tot t LEFT JOIN (SELECT ma.subject_id, na, nb FROM ma JOIN mb ON ma.subject_id = mb.subject_id AND ma.c = mb.c) m USING (subject_id) GROUP BY t.subject_id, t.n, t.same),
 k AS (SELECT subject_id, CASE WHEN abs(pe - 1) <= 1.001e-5 THEN CASE WHEN po = 1 THEN 1e0 END ELSE (po - pe) / (1 - pe) END AS kappa FROM pe)
 SELECT subject_id, CASE WHEN kappa IS NULL THEN 'undefined' WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2e0 THEN 'slight' WHEN kappa <= 0.4e0 THEN 'fair' WHEN kappa <= 0.6e0 THEN 'moderate' WHEN kappa <= 0.8e0 THEN 'substantial' ELSE 'almost perfect' END AS band FROM k""")
 def b16(spark: SparkSession, d: str) -> DataFrame:
