@@ -42,33 +42,41 @@ def hash_slot(n: Column, *parts: Column) -> Column:
 
 def hash_position(
     df: DataFrame, keys: Sequence[str], seed: int, within: Sequence[str] = (), out: str = "pos",
-    size: str | None = None,
+    size: str | None = None, below: Column | None = None, few_groups: bool = False,
 ) -> DataFrame:
     """Add a dense 0-based position in hash order, per `within` group (and the group's `size`).
 
     A group holding a third of the rows is never ranked in one task: rows are split by the
     leading three hex digits of their hash (4096 even buckets), ranked inside a bucket, and
     shifted by the size of the buckets before it. Only the bucket counts are summed in sequence.
+
+    `below` keeps positions under a limit (an expression of the group columns): buckets that start
+    at or beyond it are dropped before any row moves. `few_groups` promises a short, fixed list
+    of groups, so the bucket table (4096 rows per group at most) is broadcast.
     """
     within = list(within)
     hashed = df.withColumn("_h", hash_order(keys, seed)).withColumn("_b", F.substring("_h", 1, 3))
     counted = hashed.groupBy(*within, "_b").agg(F.count(F.lit(1)).alias("_n"))
     buckets = Window.partitionBy(*(within or [F.lit(0)]))
     before = buckets.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select(
-        *[F.col(c).alias(f"_o_{c}") for c in within], F.col("_b").alias("_o_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        *([F.sum("_n").over(buckets).alias(size)] if size else []),
+    offsets = counted.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if size:
+        offsets = offsets.withColumn(size, F.sum("_n").over(buckets))
+    if below is not None:
+        offsets = offsets.where(F.col("_off") < below)
+    offsets = offsets.select(
+        *[F.col(c).alias(f"_o_{c}") for c in within], F.col("_b").alias("_o_b"), "_off", *([size] if size else [])
     )
     on = hashed["_b"] == offsets["_o_b"]
     for c in within:
         on = on & hashed[c].eqNullSafe(offsets[f"_o_{c}"])
     in_bucket = Window.partitionBy(*within, "_b").orderBy("_h", *keys)
-    return (
-        hashed.join(offsets, on)
-        .withColumn(out, (F.col("_off") + F.row_number().over(in_bucket) - 1).cast("bigint"))
-        .select(*df.columns, out, *([size] if size else []))
+    placed = hashed.join(F.broadcast(offsets) if few_groups or not within else offsets, on).withColumn(
+        out, (F.col("_off") + F.row_number().over(in_bucket) - 1).cast("bigint")
     )
+    if below is not None:
+        placed = placed.where(F.col(out) < below)
+    return placed.select(*df.columns, out, *([size] if size else []))
 
 
 def sorted_position(df: DataFrame, keys: Sequence[str], out: str = "idx") -> DataFrame:

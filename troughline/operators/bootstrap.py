@@ -40,9 +40,19 @@ def cluster_draws(
 
 
 def _picks(numbered: DataFrame, replicates: int, seed: int, by: Sequence[str]) -> DataFrame:
-    """As many draws per replicate as there are clusters: every cluster row is one slot."""
-    reps = numbered.select(*by, "pos", "n_clusters").withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    """As many draws per replicate as there are clusters: every cluster row is one slot.
+
+    The cluster table is small in bytes but each row stands for `replicates` draws, so rows are
+    first repeated per block of replicates and spread over all cores by number (which adaptive
+    execution does not merge back), then expanded.
+    """
+    cores = numbered.sparkSession.sparkContext.defaultParallelism
+    block = max(1, -(-replicates // 64))
+    blocks = numbered.select(*by, "pos", "n_clusters").withColumn(
+        "_from", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(block)))
+    ).repartition(cores, "pos", "_from")
+    reps = blocks.withColumn(
+        "rep", F.explode(F.sequence("_from", F.least(F.lit(replicates - 1), F.col("_from") + (block - 1))))
     )
     return reps.select(*by, "rep", hash_slot(F.col("n_clusters"), F.col("rep"), F.col("pos"), F.lit(seed)).alias("pick"))
 

@@ -213,14 +213,18 @@ def select_run(runs: DataFrame, keys: Sequence[str], p: Detector = Detector()) -
 
 def classify_windows(
     smoothed: DataFrame, keys: Sequence[str], anchor: str = "anchor", p: Detector = Detector(), t: str = "t",
-    v: str = "sm", swept: bool = False,
+    v: str = "sm",
 ) -> DataFrame:
     """One classified row per window from a smoothed trace that carries its baseline columns."""
-    carry = ["rel_sd", "quality_reason"] + (list(SWEPT) if swept else [])
-    runs = qualify_runs(
-        runs_below(smoothed, keys, anchor, p, t, v, swept, keep_empty=True, carry=carry), p, swept
-    )
-    per_window = _best_run(runs, keys, p).groupBy(*keys).agg(
+    carry = ["rel_sd", "quality_reason"]
+    runs = runs_below(smoothed, keys, anchor, p, t, v, keep_empty=True, carry=carry)
+    return _classify_runs(runs, keys, anchor, p, carry, False)
+
+
+def _classify_runs(
+    runs: DataFrame, keys: Sequence[str], anchor: str, p: Detector, carry: Sequence[str], swept: bool
+) -> DataFrame:
+    per_window = _best_run(qualify_runs(runs, p, swept), keys, p).groupBy(*keys).agg(
         F.count_if("qualifies").alias("n_qualifying"),
         F.min("_cand").alias("m"),
         *[F.first(c).alias(c) for c in dict.fromkeys([anchor, "baseline", "n_search", *carry]) if c not in keys],
@@ -294,18 +298,32 @@ def sweep(
 ) -> DataFrame:
     """Primary and sensitivity events and subjects under every setting.
 
-    The trace is smoothed and its baseline taken once; rows of windows that fail the baseline
-    check or lie outside the search window are dropped before the rest is repeated per setting.
-    The repeated rows keep the window's partitioning, so the sweep adds no exchange of the trace.
+    The trace is smoothed and its baseline taken once. Only the run and recovery thresholds
+    look at ticks, so ticks are repeated per distinct pair of those; every other setting is
+    applied to the few runs found. Repeated rows keep the window's partitioning: the sweep adds
+    no exchange of the trace.
     """
-    searching = _searching(anchor, p, t)
-    ready = prepare(trace, keys, anchor, p, t, v, skip_missing).where(F.col("quality_reason").isNull() & searching)
-    ready = ready.withColumn("first_t", F.min(t).over(Window.partitionBy(*keys)))
+    ready = prepare(trace, keys, anchor, p, t, v, skip_missing).where(
+        F.col("quality_reason").isNull() & _searching(anchor, p, t)
+    )
+    tick_level = ("occlusion_fraction", "recovery_fraction")
+    pairs = list(dict.fromkeys(tuple(float(s[k]) for k in tick_level) for s in settings))
+    passes = F.array(*[
+        F.struct(F.lit(i).alias("pass"), *[F.lit(x).alias(k) for k, x in zip(tick_level, pair)]) for i, pair in enumerate(pairs)
+    ])
+    repeated = ready.withColumn("_o", F.explode(passes)).select(*ready.columns, "_o.*")
+    carry = ["rel_sd", "quality_reason"]
+    runs = runs_below(repeated, [*keys, "pass"], anchor, p, t, v="sm", swept=True, carry=carry)
     options = F.array(*[
-        F.struct(F.lit(i).alias("setting"), *[F.lit(float(s[k])).alias(k) for k in SWEPT]) for i, s in enumerate(settings)
+        F.struct(
+            F.lit(i).alias("setting"), F.lit(pairs.index(tuple(float(s[k]) for k in tick_level))).alias("of_pass"),
+            *[F.lit(float(s[k])).alias(k) for k in SWEPT if k not in tick_level],
+        )
+        for i, s in enumerate(settings)
     ])
-    repeated = ready.withColumn("_o", F.explode(options)).select(*ready.columns, "_o.*")
-    scored = classify_windows(repeated, [*keys, "setting"], anchor, p, t, swept=True)
+    mine = F.filter(options, lambda o: o["of_pass"] == F.col("pass"))
+    expanded = runs.withColumn("_o", F.explode(mine)).select(*runs.columns, "_o.*")
+    scored = _classify_runs(expanded, [*keys, "setting"], anchor, p, [*carry, "primary_min", "sensitivity_min"], True)
     floor = F.element_at(F.array(*[F.lit(float(s["sensitivity_min"])) for s in settings]), F.col("setting") + 1)
     primary = F.col("reject_reason").isNull() & F.col("phase3_duration_s").isNotNull()
     sensitive = (

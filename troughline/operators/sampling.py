@@ -44,7 +44,8 @@ def sample_strata(
 ) -> DataFrame:
     """Fixed-size sample per stratum; a pool no larger than its target (or target None) is taken whole."""
     pool = df.where(F.col(stratum).isin(*targets))
-    return hash_position(pool, keys, seed, [stratum], "_pos").where(F.col("_pos") < _quota(targets, stratum)).drop("_pos")
+    limit = _quota(targets, stratum)
+    return hash_position(pool, keys, seed, [stratum], "_pos", below=limit, few_groups=True).drop("_pos")
 
 
 def sampling_report(df: DataFrame, targets: Mapping[str, int], stratum: str = "stratum") -> DataFrame:
@@ -87,7 +88,8 @@ def proportional_sample(
     df: DataFrame, n_rows: int, keys: Sequence[str], stratum: str = "stratum", seed: int = V.SEED, ties: str = "asc"
 ) -> DataFrame:
     """Stratified sample of exactly `n_rows` rows in proportion to the strata."""
-    placed = hash_position(df, keys, seed, [stratum], "_pos")
+    # No quota exceeds `n_rows`, so later buckets are dropped before rows move.
+    placed = hash_position(df, keys, seed, [stratum], "_pos", below=F.lit(n_rows))
     share = quotas(df, n_rows, stratum, ties).select(stratum, "quota")
     return placed.join(share, stratum).where(F.col("_pos") < F.col("quota")).drop("_pos", "quota")
 
@@ -96,7 +98,7 @@ def simple_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = V.SEED
     """`n` rows drawn across the whole table; everything when `n` covers it, nothing when it is not positive."""
     if n <= 0:
         return df.limit(0)
-    return hash_position(df, keys, seed, (), "_pos").where(F.col("_pos") < n).drop("_pos")
+    return hash_position(df, keys, seed, (), "_pos", below=F.lit(n)).drop("_pos")
 
 
 def overlap_subset(cards: DataFrame, n: int, key: str = "card_id", seed: int = V.SEED) -> DataFrame:

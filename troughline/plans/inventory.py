@@ -13,7 +13,8 @@ from troughline.operators.linkage import bridge, bridge_summary
 from troughline.operators.rating import resolve_all
 from troughline.plans.registry import query
 from troughline.plans.views import INV, inventory
-from troughline.schema import INVENTORY, require_columns
+from troughline.schema import require_columns
+from troughline.session import cut_lineage
 from troughline.sources.files import missing_as_null
 
 SEED = V.SEED
@@ -360,7 +361,8 @@ off AS (SELECT alignment_offset_s AS o FROM cal WHERE {QUAL_SQL})"""
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     inv = inventory(spark, d)
-    split = sampling.split_half(inv)
+    # One row per subject: kept, so the halves do not redo the split.
+    split = cut_lineage(sampling.split_half(inv))
     tagged = inv.join(split, "subject_id")
     return tagged.where(F.col("split") == "calibration"), tagged.where(F.col("split") == "held_out")
 

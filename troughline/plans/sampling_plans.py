@@ -26,7 +26,7 @@ fl AS (SELECT *, floor(raw) AS fl FROM rw), qt AS (SELECT stratum, size, CAST(fl
 
 
 ASC_SQL = _quota_sql("docs", "150", "ASC", "size / (SELECT sum(size) FROM sz) * 150")
-DESC_SQL = _quota_sql("cards", "97", "DESC", "97 * size / (SELECT sum(size) FROM sz)")
+DESC_SQL = _quota_sql("cards", "40", "DESC", "40 * size / (SELECT sum(size) FROM sz)")
 
 
 @query("g03_largest_remainder", f"""WITH {DOCS}, {ASC_SQL}, rk AS (SELECT docs.*, row_number() OVER (PARTITION BY stratum ORDER BY {HASH}) AS k FROM docs)
@@ -44,8 +44,8 @@ def g03_quotas(spark: SparkSession, d: str) -> DataFrame:
 SELECT card_id, stratum, quota FROM rk JOIN qt USING (stratum) WHERE k <= quota""")
 def g04(spark: SparkSession, d: str) -> DataFrame:
     c = cards(spark, d).select("card_id", "stratum")
-    drawn = sampling.proportional_sample(c, 97, ["card_id"], ties="desc")
-    return drawn.join(sampling.quotas(c, 97, ties="desc").select("stratum", "quota"), "stratum")
+    drawn = sampling.proportional_sample(c, 40, ["card_id"], ties="desc")
+    return drawn.join(sampling.quotas(c, 40, ties="desc").select("stratum", "quota"), "stratum")
 
 
 @query("g05_simple_sample", f"WITH {DOCS}, rk AS (SELECT *, row_number() OVER (ORDER BY {HASH}) AS k FROM docs) SELECT card_id, n_chars FROM rk WHERE k <= 120")

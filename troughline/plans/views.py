@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from troughline.session import tune, with_scalars
 from troughline.sources.files import scan_parquet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _select(columns: dict[str, str]) -> str:
@@ -27,18 +27,11 @@ def _exprs(columns: dict[str, str]) -> list[str]:
 
 # --- event inventory: one row per lineitem -----------------------------------------------------------
 
-_REASON = """CASE
- WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax <= 0.06e0 THEN 'no_pleth'
- WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'pleth_mostly_nan'
- WHEN l_returnflag = 'A' AND l_tax <= 0.02e0 THEN 'pre_pi_implausible'
- WHEN l_returnflag = 'A' AND l_tax <= 0.03e0 THEN 'no_pre_window'
- WHEN l_returnflag = 'A' THEN 'pre_window_unstable'
- WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'no_phase2'
- WHEN l_returnflag = 'N' AND l_tax <= 0.05e0 THEN 'no_aligned_occlusion'
- WHEN l_returnflag = 'N' THEN 'phase2_misaligned'
- WHEN l_linestatus = 'F' AND l_quantity >= 15e0 THEN 'no_recovery_in_window'
- WHEN l_quantity < 15e0 THEN 'stat_mode_short_phase3'
-END"""
+# The reason is picked by number from a fixed list: filters on it then stay one small expression.
+_REASON = """split_part('no_pleth,pleth_mostly_nan,pre_pi_implausible,no_pre_window,pre_window_unstable,no_phase2,no_aligned_occlusion,phase2_misaligned,stat_mode_short_phase3,no_recovery_in_window', ',',
+ CASE l_returnflag WHEN 'A' THEN CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_tax <= 0.06e0 THEN 1 ELSE 2 END WHEN l_tax <= 0.02e0 THEN 3 WHEN l_tax <= 0.03e0 THEN 4 ELSE 5 END
+ WHEN 'N' THEN CASE WHEN l_linestatus = 'F' THEN 6 WHEN l_tax <= 0.05e0 THEN 7 ELSE 8 END
+ ELSE CASE WHEN l_quantity < 15e0 THEN 9 WHEN l_linestatus = 'F' THEN 10 END END)"""
 _DEEP = "l_returnflag = 'R'"
 INVENTORY_COLUMNS = {
     "subject_id": "CAST(o_custkey AS STRING)",
@@ -115,8 +108,6 @@ windows AS (SELECT w.series, w.anchor, w.t, trace.v FROM (
 
 def trace_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`series, anchor, t, v`: mean value per tick around an anchor every twelfth tick; empty ticks are NULL."""
-    from troughline.session import with_scalars
-
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), us.alias("us"), "value")
     grid = ev.agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count(F.lit(1)).alias("n")).select(
@@ -142,5 +133,4 @@ def trace_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def given_files(spark: SparkSession, sf_dir: str, glob: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return scan_parquet(spark, sf_dir, glob)
+    return scan_parquet(tune(spark), sf_dir, glob)

@@ -26,6 +26,17 @@ def local_session(cores: int | str = "*", name: str = "troughline", **conf: str)
         b = b.config(key.replace("__", "."), value)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the queries rely on; both can be set at run time on any cluster.
+
+    UTC makes timestamp arithmetic independent of the session's zone. The JVM leaves methods
+    above 8000 bytes of bytecode uncompiled, so larger fused stages run as smaller pieces.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
