@@ -129,7 +129,8 @@ def extract_events(
     samples = samples.select(
         F.col(record).cast("string").alias(record), F.col(sample_t).alias(sample_t), F.col(sample_v).alias(sample_v)
     )
-    windows = anchor_windows(anchors, samples, record, anchor_t, sample_t, pre_s, post_s)
+    # Copies of an anchor share one window and meet their result again in the final join.
+    windows = anchor_windows(anchors.distinct(), samples, record, anchor_t, sample_t, pre_s, post_s)
     stats = Window.partitionBy(*keys)
     windows = windows.withColumn(
         "_any", F.count_if(F.col(sample_v).isNotNull() & ~F.isnan(sample_v)).over(stats)
