@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from troughline.functions.keys import time_key
 
@@ -120,8 +119,8 @@ def nearest_within(
 ) -> DataFrame:
     """For every target the event of the same key nearest in time, at most `tol_s` away.
 
-    Ties go to the earlier event. Targets without a candidate are absent. Events first collapse
-    to one row per (key, time), then are laid out in cells `tol_s` wide and copied to both
+    Ties go to the earlier event. Targets without a candidate are absent. Events and targets
+    first collapse to one row per (key, time); events are laid out in cells `tol_s` wide and copied to both
     neighbours; inside a cell the nearest event before and after each target is a running `last`
     in either direction. No target-event pairs are formed, so a burst costs a sort, not a product.
     """
@@ -130,18 +129,15 @@ def nearest_within(
     distinct = events.where(F.col(event_t).isNotNull()).groupBy(F.col(key), F.col(event_t).alias("_t")).agg(
         F.min(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry])).alias("_p")
     )
-    mine = list(dict.fromkeys([key, *target_id, target_t]))
     cell = F.floor(F.col("_t") / width)
     laid = distinct.select(
-        F.col(key), "_t", payload.alias("_event"), F.lit(None).cast(_struct_of(targets, mine)).alias("_target"),
-        F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"),
+        F.col(key), "_t", payload.alias("_event"), F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell")
     )
-    asked = targets.where(F.col(target_t).isNotNull()).select(
-        F.col(key), F.col(target_t).alias("_t"), F.lit(None).cast(laid.schema["_event"].dataType).alias("_event"),
-        F.struct(*mine).alias("_target"), F.floor(F.col(target_t) / width).alias("_cell"),
+    asked = targets.where(F.col(target_t).isNotNull()).select(F.col(key), F.col(target_t).alias("_t")).distinct().select(
+        key, "_t", F.lit(None).cast(laid.schema["_event"].dataType).alias("_event"), cell.alias("_cell")
     )
     # An event at the target's own time sorts before it in both directions.
-    is_target = F.col("_target").isNotNull()
+    is_target = F.col("_event").isNull()
     cells = Window.partitionBy(key, "_cell")
     upto = lambda order: F.last("_event", ignorenulls=True).over(
         cells.orderBy(order, is_target).rowsBetween(Window.unboundedPreceding, 0)
@@ -149,15 +145,13 @@ def nearest_within(
     both = laid.unionByName(asked).withColumn("_before", upto(F.asc("_t"))).withColumn("_after", upto(F.desc("_t")))
     gap = lambda side: F.abs(F.col(f"{side}.{event_t}") - F.col("_t"))
     best = F.when(F.coalesce(gap("_before") <= gap("_after"), F.col("_before").isNotNull()), F.col("_before")).otherwise(F.col("_after"))
-    return (
+    found = (
         both.where(is_target).withColumn("_best", best).withColumn("gap_s", gap("_best"))
         .where(F.col("gap_s") <= tol_s)
-        .select("_target.*", "gap_s", "_best.*")
+        .select(key, F.col("_t").alias(target_t), "gap_s", "_best.*")
     )
-
-
-def _struct_of(df: DataFrame, names: Sequence[str]) -> T.StructType:
-    return T.StructType([df.schema[n] for n in names])
+    # Targets at the same key and time share one answer.
+    return targets.select(*dict.fromkeys([key, *target_id, target_t])).join(found, [key, target_t])
 
 
 def bridge(

@@ -131,10 +131,6 @@ def extract_events(
     )
     # Copies of an anchor share one window and meet their result again in the final join.
     windows = anchor_windows(anchors.distinct(), samples, record, anchor_t, sample_t, pre_s, post_s)
-    stats = Window.partitionBy(*keys)
-    windows = windows.withColumn(
-        "_any", F.count_if(F.col(sample_v).isNotNull() & ~F.isnan(sample_v)).over(stats)
-    ).where(F.col("_any") > 0).drop("_any")
     # The key columns double as the anchor column, so the pandas step is handed a copy.
     windows = windows.withColumn("_anchor", F.col(anchor_t))
     trace = reduce_signal(windows, keys, fs, "_anchor", sample_t, sample_v, pre_s, min_valid)
@@ -144,7 +140,7 @@ def extract_events(
     quality = trace.groupBy(*keys).agg(F.max("valid_fraction").alias("pleth_valid_fraction"))
     rows = anchors.join(quality, keys, "left").join(found, keys, "left")
     reason = (
-        F.when(F.col("pleth_valid_fraction").isNull(), V.NO_SIGNAL)
+        F.when(F.coalesce(F.col("pleth_valid_fraction"), F.lit(0.0)) == 0, V.NO_SIGNAL)  # no sample, or none readable
         .when(F.col("pleth_valid_fraction") < min_valid, V.SIGNAL_MOSTLY_MISSING)
         .when(F.col("is_occlusion_signature").isNull(), V.NO_TRACE)
         .otherwise(F.col("reject_reason"))

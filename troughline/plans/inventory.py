@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from troughline import vocabulary as V
-from troughline.functions.keys import content_id, hash_order, sorted_row_id, time_key
+from troughline.functions.keys import content_id, sorted_row_id, time_key
 from troughline.functions.labels import blank_to_null, evaluable, measured
 from troughline.operators import calibrate, choose, curves, funnel, quality, sampling
 from troughline.operators.linkage import bridge, bridge_summary
-from troughline.operators.rating import resolve_all
 from troughline.plans.registry import query
 from troughline.plans.views import INV, inventory
 from troughline.schema import require_columns

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from troughline import vocabulary as V
 from troughline.functions import labels as L
-from troughline.operators import bootstrap, choose, funnel, linkage, quality, rating, reweight
+from troughline.operators import bootstrap, choose, funnel, quality, rating, reweight
 from troughline.plans.registry import query
 from troughline.plans.views import CARDS, cards, table
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from troughline import vocabulary as V
 from troughline.operators import linkage, quality, responses
 from troughline.plans.registry import query
 from troughline.plans.views import CARDS, INV, cards, given_files, inventory, table
