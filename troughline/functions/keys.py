@@ -79,6 +79,20 @@ def hash_position(
     return placed.select(*df.columns, out, *([size] if size else []))
 
 
+SALTS = 32
+
+
+def join_per_group(rows: DataFrame, per_group: DataFrame, by: Sequence[str], spread_on: Column, salt: str = "_salt") -> DataFrame:
+    """Join rows to a table of one row per group so that no group lands in one task.
+
+    Rows get a salt from `spread_on`, the small side is repeated once per salt, and both meet on
+    (group, salt). Keep the salt in the next aggregate to keep a hot group spread there too.
+    """
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(spread_on), F.lit(SALTS)).cast("int"))
+    copies = per_group.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*by, salt])
+
+
 def sorted_position(df: DataFrame, keys: Sequence[str], out: str = "idx") -> DataFrame:
     """Add the dense 0-based position in a full sort, without a one-task window.
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from troughline.functions.keys import join_per_group
+from troughline.session import with_scalars
+
 # Sketch size. Groups up to this many rows are bracketed by their own extremes; larger ones
 # by sketch quantiles set wide enough to contain the wanted rank.
 _ACCURACY = 10_000
@@ -19,8 +22,9 @@ def exact_quantiles(
     """Linear-interpolated quantiles per group: `by..., n, <out>0, <out>1, ...`.
 
     1. A mergeable sketch brackets each wanted rank (partial aggregates, no skew).
-    2. Rows are counted by distinct value, so a hot group or a hot value is split over tasks.
-       Everything under the bracket folds into one count; only values inside are ordered.
+    2. Rows are counted by distinct value and meet their bracket salted by value, so neither a hot
+       group nor a hot value gathers in one task. Everything under the bracket folds into one
+       count per salt; only values inside are ordered.
     """
     by = list(by)
     probs = [float(p) for p in probs]
@@ -48,19 +52,17 @@ def exact_quantiles(
 
     by_value = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     if by:
-        joined = by_value.join(sketch, by)
+        joined = join_per_group(by_value, sketch, by, F.col("_v"))
     else:
-        from troughline.session import with_scalars
-
-        joined = with_scalars(by_value, sketch)
+        joined = with_scalars(by_value, sketch).withColumn("_salt", F.lit(0))
     inside = (
-        joined.select(*by, "_v", "_c", "n", F.explode("_brackets").alias("_k"))
+        joined.select(*by, "_salt", "_v", "_c", "n", F.explode("_brackets").alias("_k"))
         .where(F.col("_v") <= F.col("_k.hi"))
         .select(
-            *by, "n", "_c", F.col("_k.i").alias("_i"), F.col("_k.p").alias("_p"),
+            *by, "_salt", "n", "_c", F.col("_k.i").alias("_i"), F.col("_k.p").alias("_p"),
             F.when(F.col("_v") >= F.col("_k.lo"), F.col("_v")).alias("_v"),
         )
-        .groupBy(*by, "n", "_i", "_p", "_v")
+        .groupBy(*by, "_salt", "n", "_i", "_p", "_v")
         .agg(F.sum("_c").alias("_c"))
     )
     upto = Window.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troughline import vocabulary as V
-from troughline.functions.keys import hash_order
+from troughline.functions.keys import hash_order, join_per_group
 from troughline.functions.labels import measured
 from troughline.functions.quantiles import exact_quantiles
 from troughline.session import with_scalars
@@ -71,7 +71,7 @@ def top_per_category(
     centre = z.groupBy(category).agg(*[
         F.coalesce(F.avg(F.when(whole, F.col(f"_z_{f}"))), F.lit(0.0)).alias(f"_c_{f}") for f in features
     ])
-    joined = z.join(centre, category)
+    joined = join_per_group(z, centre, [category], F.col(key))
     total = F.lit(0.0)
     for f in features:
         gap = F.col(f"_z_{f}") - F.col(f"_c_{f}")
@@ -91,10 +91,14 @@ def representative_per_group(
     """Per group its row nearest the group median, with the group size: `min` of an ordering struct, no sort."""
     medians = exact_quantiles(df, value, [0.5], [group]).select(group, F.col("q0").alias("median_value"))
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
-    near = df.join(medians, group).where(F.col(value).isNotNull())
-    best = near.groupBy(group, "median_value").agg(F.min(F.struct(
+    names = list(dict.fromkeys([*keys, value, *carry]))
+    near = join_per_group(df, medians, [group], F.struct(*keys)).where(F.col(value).isNotNull())
+    order = F.struct(
         F.round(F.abs(F.col(value) - F.col("median_value")), 9).alias("gap"), hash_order([*keys], seed).alias("tie"),
-        *[F.col(c) for c in dict.fromkeys([*keys, value, *carry])],
-    )).alias("_m"))
-    picked = best.select(group, "median_value", *[F.col(f"_m.{c}").alias(c) for c in dict.fromkeys([*keys, value, *carry]) if c != group])
+        *[F.col(c) for c in names],
+    )
+    # Once per salt, then over the few winners: a hot group is never read by one task.
+    per_salt = near.groupBy(group, "median_value", "_salt").agg(F.min(order).alias("_m"))
+    best = per_salt.groupBy(group, "median_value").agg(F.min("_m").alias("_m"))
+    picked = best.select(group, "median_value", *[F.col(f"_m.{c}").alias(c) for c in names if c != group])
     return picked.join(sizes, group).orderBy(F.desc("n_rows"), group)
