@@ -67,7 +67,7 @@ def quotas(df: DataFrame, n_rows: int, stratum: str = "stratum", ties: str = "as
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
     totals = sizes.agg(F.sum("size").alias("_total"))
     too_many = F.raise_error(F.lit(f"n_rows={n_rows} exceeds the table")).cast("double")
-    # The reference order of operations differs by tie rule; both are kept so remainders round alike.
+    # Each tie rule has its own order of multiplication, kept so that remainders round alike.
     raw = (
         F.col("size") / F.col("_total") * F.lit(n_rows) if ties == "asc" else F.lit(n_rows) * F.col("size") / F.col("_total")
     )
