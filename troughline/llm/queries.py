@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troughline.llm import quality
+from troughline.llm import exact_dedup, quality, simhash_dedup
 from troughline.llm.common import id_remainder
 from troughline.plans.views import table
 
@@ -32,3 +32,16 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder("doc_id", 3) == 1
     scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op2_content_sort", """
+WITH norm AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM norm WINDOW same AS (PARTITION BY t)""")
+def content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.content_sort(table(spark, sf_dir, "documents"), largest=True)
+
+
+@query("op4_simhash_groups")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2)
