@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troughline.llm import exact_dedup, quality, simhash_dedup
+from troughline.llm import exact_dedup, mixing, quality, simhash_dedup
 from troughline.llm.common import id_remainder
 from troughline.plans.views import table
 
@@ -45,3 +45,33 @@ def content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash_groups")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2)
+
+
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+
+
+@query("op10_source_mix", f"""
+WITH sized AS (SELECT doc_id AS id, source IS NULL AS none, coalesce(source, '') AS name, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS BIGINT) AS size FROM documents),
+per AS (SELECT none, name, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (ORDER BY none, name) - 1 AS src FROM per),
+weighed AS (SELECT *, CASE src % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w, 3 * source_size AS most FROM ranked),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed WINDOW o AS (ORDER BY most / w, src)),
+share AS (SELECT coalesce(first(level ORDER BY most / w, src), 0e0) AS share FROM levels WHERE level * w <= most),
+target AS (SELECT none, name, src, source_size, least(share * w, CAST(most AS DOUBLE)) AS target FROM levels, share),
+words AS (SELECT *, CAST(round(target) AS BIGINT) AS words, CAST(ceil(source_size / 64) AS BIGINT) AS n FROM target WHERE source_size > 0),
+counts AS (SELECT *, words % source_size AS rest, words // source_size * n + (words % source_size + 63) // 64 AS count FROM words),
+slot AS (SELECT *, unnest(range(count)) AS slot FROM counts),
+drawn AS (SELECT src, CAST('0x' || substr(md5(concat(src, '|', slot)), 1, 15) AS BIGINT) % (SELECT greatest(1, CAST(ceil(sum(count) / 4096e0) AS BIGINT)) FROM counts) AS shard,
+  CAST((CAST(slot % n AS HUGEINT) * ((CASE src % 3 WHEN 0 THEN 2305843009213693951 WHEN 1 THEN 67280421310721 ELSE 999999999989 END) % n) + (src * 7919 + 104729) % n) % n AS BIGINT) AS block,
+  CASE WHEN slot = count - 1 AND rest % 64 > 0 THEN rest % 64 ELSE 64 END AS length FROM slot),
+used AS (SELECT src, block, sum((length = 64)::INT) AS times, coalesce(max(CASE WHEN length < 64 THEN length END), 0) AS part, min(shard) AS shard FROM drawn GROUP BY ALL),
+rows AS (SELECT row_number() OVER () AS r, id, size, src, source_size, target, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized JOIN target USING (none, name)),
+cells AS (SELECT r, src, start, size, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS block FROM rows WHERE size > 0),
+met AS (SELECT r, shard, times * (least(start + size, block * 64 + 64) - greatest(start, block * 64))
+  + greatest(least(start + size, block * 64 + part) - greatest(start, block * 64), 0) AS got FROM cells JOIN used USING (src, block)),
+taken AS (SELECT r, CAST(sum(got) AS BIGINT) AS taken, min(CASE WHEN got > 0 THEN shard END) AS first_shard FROM met GROUP BY r)
+SELECT id AS doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_shard FROM rows LEFT JOIN taken USING (r)""")
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
