@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troughline.llm import exact_dedup, mixing, quality, simhash_dedup
+from troughline.llm import exact_dedup, mixing, packing, quality, simhash_dedup
 from troughline.llm.common import id_remainder
 from troughline.plans.views import table
 
@@ -75,3 +75,14 @@ taken AS (SELECT r, CAST(sum(got) AS BIGINT) AS taken, min(CASE WHEN got > 0 THE
 SELECT id AS doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_shard FROM rows LEFT JOIN taken USING (r)""")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_bin_completion")
+def bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
