@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troughline.llm import exact_dedup, mixing, packing, quality, simhash_dedup
+from troughline.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash_dedup
 from troughline.llm.common import id_remainder
 from troughline.plans.views import table
 
@@ -86,3 +86,11 @@ def tokenizer_path(name: str) -> str:
 @query("op6_bin_completion")
 def bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op3_line_similarity")
+def line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select(
+        "doc_id", "n_lines", "n_removed", F.length("text").alias("chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("clean_sha256")
+    )
