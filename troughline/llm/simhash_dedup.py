@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -88,17 +89,21 @@ def _masked(values: np.ndarray, bits: Sequence[int]) -> np.ndarray:
 
 
 def estimated_cost(sample: np.ndarray, total: int, bits: Sequence[int], radius: int) -> float:
-    """Rows and candidate pairs of a bit group at a radius, per fingerprint of the whole table."""
+    """Rows and candidates of a bit group at a radius, per fingerprint of the whole table.
+
+    Candidates are the evenly spread ones and those that share the sample's crowded values. A dense
+    bucket costs its midpoints, not its pairs.
+    """
     if radius < 0:
         return 0.0
     if radius >= len(bits):
         return float("inf")
-    probes = sum(float(np.prod([len(bits) - j for j in range(r)]) / max(1, np.prod(range(1, r + 1)))) for r in range(radius + 1))
-    values = _masked(sample, bits)
-    other = np.roll(values, 1), np.roll(values, 7), np.roll(values, 31)
-    seen = np.mean([np.mean(np.bitwise_count(values ^ o) <= radius) for o in other])
-    evenly = probes / 2.0 ** len(bits)
-    return probes + total * max(float(seen) if len(sample) > 64 else 0.0, evenly)
+    probes = sum(math.comb(len(bits), r) for r in range(radius + 1))
+    crowd = 0.0
+    if len(sample):
+        _, at, counts = np.unique(_masked(sample, bits), return_inverse=True, return_counts=True)
+        crowd = float(np.minimum((counts[at] - 1) / len(sample) * total, BITS + 1).mean())
+    return probes + total * probes / 2.0 ** len(bits) + crowd
 
 
 def allocate(costs: Sequence[Sequence[float]], distance: int) -> tuple[float, list[int]]:
@@ -149,46 +154,38 @@ def _patterns(values: Sequence[int]) -> Column:
     return F.array(*[F.lit(_signed(v)).cast("long") for v in values])
 
 
-def _links(distinct: DataFrame, bits: Sequence[int], radius: int, distance: int) -> DataFrame:
-    """Edges `a, b` of one bit group: fingerprints within `radius` on its bits and `distance` on all.
-
-    A bucket holds the fingerprints with one value on the group's bits, and probes from within the
-    radius. Small buckets are probed and every candidate verified. In a dense bucket pairs would
-    grow with the square of its size, so its rows meet in midpoints instead: all rows within
-    `distance / 2` bits of one pattern are within `distance` of each other, every pair that close
-    has such a pattern, and each row is linked to the pattern's smallest.
-    """
-    group = F.lit(_signed(sum(1 << b for b in bits)))
-    key = F.col("fp").bitwiseAND(group)
-    homes = distinct.select(F.col("fp").alias("home"), key.alias("k"))
-    probes = distinct.select("fp", F.explode(F.transform(_patterns(_flips(bits, radius)), lambda v: key.bitwiseXOR(v))).alias("k"))
-    dense = probes.groupBy("k").count().where(F.col("count") > DENSE).select("k")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= distance
-    pairs = probes.join(dense, "k", "left_anti").join(homes, "k").where((F.col("fp") < F.col("home")) & near)
-    # Rows of a radius-0 bucket agree on the group's bits, so their midpoints do as well.
-    free = [b for b in range(BITS) if radius or b not in bits]
-    middles = probes.join(dense, "k", "left_semi").select("k", "fp", F.explode(
-        F.transform(_patterns(_flips(free, distance // 2)), lambda v: F.col("fp").bitwiseXOR(v))
-    ).alias("mid"))
-    met = middles.groupBy("k", "mid").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 patterns: 65 rows at most
-    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return pairs.select(F.col("fp").alias("a"), F.col("home").alias("b")).union(stars)
-
-
 def near_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """Edges between distinct fingerprints (`fp`) that differ in 1 to `distance` bits, an even number.
-
-    Small buckets give every such link; dense ones give enough of them to leave components as they are.
+    """Edges `a, b` between distinct fingerprints (`fp`) that differ in 1 to `distance` bits, an even number.
+
+    Each bit group of the plan has buckets by the value on its bits; a fingerprint probes those within the
+    group's radius. In small buckets every candidate is verified, so every link is found. In a dense
+    bucket pairs would grow with the square of its size; fingerprints of any dense bucket meet in midpoints
+    instead: all within `distance / 2` bits of one pattern are within `distance` of each other, and
+    every pair that close has such a pattern. Linking each to the pattern's smallest leaves
+    the components as they are.
     """
     if distance < 2 or distance % 2:
         raise ValueError("distance must be even: midpoints halve it")
     drawn = distinct.select("fp", hash_order(["fp"], SEED).alias("o")).orderBy("o").limit(SAMPLE).select("fp").toPandas()
     sample = np.ascontiguousarray(drawn["fp"].to_numpy(np.int64)).view(np.uint64)
-    edges = [_links(distinct, bits, radius, distance) for bits, radius in plan(sample, distinct.count(), distance)]
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.union(more)
-    return out.distinct()
+    probing, living = [], []
+    for g, (bits, radius) in enumerate(plan(sample, distinct.count(), distance)):
+        home = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
+        tried = F.transform(_patterns(_flips(bits, radius)), lambda v, home=home: home.bitwiseXOR(v)) if radius else F.array(home)
+        probing.append(F.transform(tried, lambda k, g=g: F.struct(F.lit(g).alias("g"), k.alias("k"))))
+        living.append(F.struct(F.lit(g).alias("g"), home.alias("k")))
+    probes = distinct.select("fp", F.explode(F.concat(*probing)).alias("at")).select("fp", "at.g", "at.k")
+    homes = distinct.select(F.col("fp").alias("home"), F.explode(F.array(*living)).alias("at")).select("home", "at.g", "at.k")
+    dense = probes.groupBy("g", "k").count().where(F.col("count") > DENSE).select("g", "k")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= distance
+    pairs = probes.join(dense, ["g", "k"], "left_anti").join(homes, ["g", "k"]).where((F.col("fp") < F.col("home")) & near)
+    crowded = probes.join(dense, ["g", "k"], "left_semi").select("fp").distinct()
+    middles = crowded.select("fp", F.explode(
+        F.transform(_patterns(_flips(range(BITS), distance // 2)), lambda v: F.col("fp").bitwiseXOR(v))
+    ).alias("mid"))
+    met = middles.groupBy("mid").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most share a pattern
+    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
+    return pairs.select(F.col("fp").alias("a"), F.col("home").alias("b")).union(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
