@@ -140,7 +140,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     cells = rows.where("size > 0").select("row", "src", "start", "size", F.explode(
         F.sequence(F.expr(f"start div {block}"), F.floor(last / block))
     ).alias("block"))
-    met = cells.join(used, ["src", "block"])
+    # Both sides grow with the words, but a planner sees only the few source rows that slots unfold from.
+    met = cells.join(used.hint("merge"), ["src", "block"])
     begin = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     partly = F.greatest(F.least(end, F.col("block") * block + F.coalesce("part", F.lit(0))) - begin, F.lit(0))
