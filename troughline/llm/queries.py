@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troughline.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash_dedup
+from troughline.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash_dedup, spotsigs
 from troughline.llm.common import id_remainder
 from troughline.plans.views import table
 
@@ -94,3 +94,8 @@ def line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select(
         "doc_id", "n_lines", "n_removed", F.length("text").alias("chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("clean_sha256")
     )
+
+
+@query("op5_spot_signatures")
+def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
