@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from troughline.session import scratch_path
@@ -52,15 +53,31 @@ def words_of(text: str | None) -> list[bytes]:
 
 def pack(values: np.ndarray) -> bytes:
     """Integers or floats as compressed bytes; ascending integers shrink best, so callers pass differences."""
-    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    if not len(values):
+        return b""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(data), np.uint8)
+    if not data:
+        return np.zeros(0, dtype)
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(flat.reshape(width, -1).T).reshape(-1).view(dtype)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows inside the block, for tasks that start there: whole texts have no bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as Python tuples, one batch in memory at a time."""
     for batch in batches:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from troughline.llm.common import ascii_lower, keep, rows_of, shuffle_width, text_of
+from troughline.llm.common import ascii_lower, batch_rows, keep, rows_of, shuffle_width, text_of
 
 #: Splitters hold this many characters of a text and its digest, so that the driver's sample stays small.
 PREFIX = 16
@@ -66,7 +66,6 @@ def content_sort(docs: DataFrame, key: str = "doc_id", text: str = "text", large
     them are `kept` where their id is the one that stays. A null id stays only in a group that has
     no other. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     norm = ascii_lower(text_of(text))
     rows = docs.select(F.col(key).cast("long").alias("id"), norm.alias("norm")).select(
         "id", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), F.substring("norm", 1, PREFIX).alias("lead")
@@ -75,12 +74,8 @@ def content_sort(docs: DataFrame, key: str = "doc_id", text: str = "text", large
     dealt = rows.repartitionByRange(shuffle_width(docs), "lead", F.unhex("digest"), "id").sortWithinPartitions(
         "lead", F.unhex("digest"), "norm", "id"
     ).select(F.spark_partition_id().alias("pid"), "id", "norm", "digest")
-    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    try:
+    with batch_rows(docs.sparkSession, BATCH):
         runs = keep(dealt.mapInArrow(_runs(largest), _RUNS), "runs")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     merged = _merge_edges(runs, largest)
     # At most two rows per partition, so the lookup is bounded by the number of partitions.
     out = runs.select("pid", "run", "id", "run_size", "run_keep", "digest").join(F.broadcast(merged), ["pid", "run"], "left")

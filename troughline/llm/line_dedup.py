@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from troughline.llm.common import even_parts, keep, pack, rows_of, text_of, unpack
+from troughline.llm.common import batch_rows, even_parts, keep, pack, rows_of, text_of, unpack
 
 SIMILARITY = Fraction(4, 5)
 #: Cells in which word frequencies are counted; they order tokens, and any order gives the same result.
@@ -43,13 +43,8 @@ def overlap(n: np.ndarray, m: np.ndarray | int, s: Fraction) -> np.ndarray:
 
 
 def _batched(docs: DataFrame, fn, schema: str, label: str) -> DataFrame:
-    spark = docs.sparkSession
-    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    try:
+    with batch_rows(docs.sparkSession, BATCH):
         return keep(docs.mapInArrow(fn, schema), label)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
 
 
 # --- rarity -------------------------------------------------------------------------------------------------------

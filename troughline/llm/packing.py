@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from troughline.llm.common import even_parts, keep, rows_of, text_of
+from troughline.llm.common import batch_rows, even_parts, keep, rows_of, text_of
 
 CAPACITY = 2048
 END_ID = 0
@@ -82,14 +82,9 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 names=["id", "piece", "start", "length", "ids_crc32"],
             )
 
-    spark = docs.sparkSession
-    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    try:
-        rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t"))
+    with batch_rows(docs.sparkSession, BATCH):
         return keep(rows.mapInArrow(run, PIECES), "pieces")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
 
 
 # --- packing one group ----------------------------------------------------------------------------------------------

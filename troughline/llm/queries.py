@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troughline.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash_dedup, spotsigs
+from troughline.llm import exact_dedup, katz, line_dedup, mixing, packing, quality, simhash_dedup, spotsigs
 from troughline.llm.common import id_remainder
 from troughline.plans.views import table
 
@@ -99,3 +99,8 @@ def line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_spot_signatures")
 def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op9_katz_backoff")
+def katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 1)

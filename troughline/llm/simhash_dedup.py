@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from troughline.functions.keys import hash_order
-from troughline.llm.common import keep, rows_of, words_of
+from troughline.llm.common import batch_rows, keep, rows_of, words_of
 from troughline.llm.components import components
 
 BITS = 64
@@ -23,6 +23,8 @@ SAMPLE = 4096
 GROUPS = (2, 3, 4)
 #: Buckets above this size are linked through midpoints (65 keys a row at most) instead of by pairs.
 DENSE = 64
+#: Documents in an Arrow batch.
+BATCH = 256
 #: Hashes whose bits are summed at once.
 BLOCK = 1 << 16
 
@@ -196,7 +198,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     gets a component like any other row but names none unless it is alone. An empty table gives no
     rows; other columns are ignored.
     """
-    prints = keep(fingerprints(docs, key, text, words), "fingerprints")
+    with batch_rows(docs.sparkSession, BATCH):
+        prints = keep(fingerprints(docs, key, text, words), "fingerprints")
     nodes = keep(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     reached = components(near_links(nodes.select("fp"), distance))
     rooted = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
