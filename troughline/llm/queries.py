@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troughline.llm import exact_dedup, katz, line_dedup, mixing, packing, quality, simhash_dedup, spotsigs
+from troughline.llm import exact_dedup, katz, licenses, line_dedup, mixing, packing, quality, simhash_dedup, spotsigs, token_counts
 from troughline.llm.common import id_remainder
 from troughline.plans.views import table
 
@@ -104,3 +104,28 @@ def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_katz_backoff")
 def katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 1)
+
+
+#: Short documents lie in the folder of their source and language, longer ones in blocks below it.
+_PATH = "concat_ws('/', source, lang, CASE WHEN n_chars >= 400 THEN CAST(doc_id - doc_id % 1000 AS STRING) END, CAST(doc_id AS STRING))"
+
+
+@query("op7_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    short = F.size(licenses.terms(F.col("text"))) <= licenses.FILE_WORDS
+    return licenses.scan(docs, F.expr(_PATH), (F.col("n_chars") < 400) & short)
+
+
+@query("op8_edit_counts")
+def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits of every document: a passage at a third of it gives way to the text's beginning, then a word at the end."""
+    import public_tokenizers
+
+    n = F.length("text")
+    edit = lambda start, cut, insert: F.struct(start.cast("int").alias("start"), F.lit(cut).alias("cut"), insert.alias("insert"))
+    edits = F.array(
+        edit(F.floor(n / 3), 25, F.substring("text", 1, 40)), edit(n + 1000, 0, F.concat(F.lit(" "), F.substring("text", 5, 9)))
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return token_counts.edit_counts(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
