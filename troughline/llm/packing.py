@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,8 +28,9 @@ FILL, BRANCHES = 3, 3
 TRIES = 48
 #: Nodes of the search per bin; beyond, the best packing so far stands.
 EFFORT = 2
-#: Words whose ids a task remembers.
-REMEMBER = 300_000
+#: Words whose ids a worker remembers, about 200 bytes each.
+REMEMBER = 800_000
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Documents in an Arrow batch: whole texts have no bound.
 BATCH = 256
 
@@ -35,7 +40,7 @@ BATCH = 256
 
 class WordIds:
     """Token ids of words as little-endian bytes. The tokenizer drops white space and never merges across it,
-    so a text's ids are its words' ids; words are remembered up to a bound and new ones encoded together."""
+    so a text's ids are its words' ids. New words are encoded together and remembered up to a bound."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,19 +48,34 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBER:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
+    def _encode(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at:at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                self.known[w] = array("I", e.ids).tobytes() if LITTLE else np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > REMEMBER:  # words met early are the frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBER // 2))
+        new = words - self.known.keys()
+        # Letters and a mark after them are pre-tokens of their own, so "word," is "word" and ",".
+        marked = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
+        parts = {w[:-1] for w in marked}
+        parts.update((".", ","), new.difference(marked))
+        self._encode(list(parts - self.known.keys()))
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
     def of(self, words: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One tokenizer and its remembered words per Python worker, which serves task after task."""
+    return WordIds(path)
+
+
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -66,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already keeps every core busy
-        ids_of, end = WordIds(tokenizer), np.array([END_ID], "<u4").tobytes()
+        ids_of, end = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             split = [(i, t.split()) for i, t in rows_of([batch], "id", "t")]
