@@ -31,6 +31,16 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+#: Id lists up to this length are broadcast (16 bytes each).
+FEW_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in the one-column table `gone`; texts move only if the list is too long to broadcast."""
+    short = gone.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return docs.join(F.broadcast(gone) if short else gone, key, "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

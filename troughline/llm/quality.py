@@ -48,8 +48,8 @@ FEATURES = (
 
 
 def featurize(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the feature columns `f_*` and drop the text. Squares let a linear score prefer middle values."""
-    named = docs.withColumn("_text", text_of(text)).drop(text)
+    """Add the feature columns `f_*`. Squares let a linear score prefer middle values."""
+    named = docs.withColumn("_text", text_of(text))
     wide = named.withColumns({f"f_{k}": v.cast("double") for k, v in text_features(F.col("_text")).items()}).drop("_text")
     return wide.withColumns({f"f_{k}2": F.col(f"f_{k}") * F.col(f"f_{k}") for k in FEATURES})
 
@@ -146,6 +146,13 @@ def _with_threshold(rows: DataFrame, label: str, ranker: Ranker) -> Ranker:
     return Ranker(ranker.means, ranker.scales, ranker.weights, best[2], best[1]) if best[0] >= 0 else ranker
 
 
+def learn(features: DataFrame, labels: DataFrame, train: Column, key: str, label: str) -> Ranker:
+    """Ranker from the rows of a feature table where `train` holds and that have a label; only features move."""
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+    labelled = features.where(train).select(F.col(key).alias("_id"), *COLUMNS).join(known, F.col("_id") == F.col("_key"))
+    return fit(keep(labelled.select("_key", "_label", *COLUMNS), "labelled"), "_label", "_key")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """`docs` rows with `score` (0 to 1) and `predicted` (1 from 0.5 on); other columns of `docs` but the text pass through.
 
@@ -154,9 +161,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Column, key: str
     null labels are ignored. No usable label: every score is 0.5. Extra columns may have any name
     that does not start with `f_` or `_`.
     """
-    features = keep(featurize(docs, text), "features")
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
-    labelled = features.where(train).join(known, F.col(key) == F.col("_key")).select("_key", "_label", *COLUMNS)
-    ranker = fit(keep(labelled, "labelled"), "_label", "_key")
+    features = keep(featurize(docs, text).drop(text), "features")
+    score = learn(features, labels, train, key, label).score()
     passed = [c for c in docs.columns if c != text]
-    return features.select(*passed, ranker.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return features.select(*passed, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of `docs` that are predicted good, all columns as they are; see `score_documents`. Texts stay in their tasks."""
+    features = featurize(docs, text)
+    return features.where(learn(features, labels, train, key, label).score() >= 0.5).select(*docs.columns)
