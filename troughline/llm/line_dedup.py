@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from troughline.llm.common import batch_rows, even_parts, keep, pack, rows_of, text_of, unpack
+from troughline.llm.common import batch_rows, even_parts, keep, pack, text_of, unpack
+from troughline.llm.words import Words, cut, mix
 
 SIMILARITY = Fraction(4, 5)
-#: Cells in which word frequencies are counted; they order tokens, and any order gives the same result.
+#: Word hashes fall into this many cells, whose frequencies order tokens; any order gives the same result.
 CELLS = 1 << 18
-#: Tokens in more cells' words than this are joined together with a second token of the line.
+#: A token is 12 bits of rarity class and 34 bits of hash, so that a line's number fits beside it in 64 bits.
+CLASS, HASH = 12, 34
+TOKEN = CLASS + HASH
+#: Tokens that occur more often than this are joined together with a second token of the line.
 HOT = 2000
 #: Earlier lines that are verified at first; where none holds and there are more, all are verified.
 FIRST = 3
-#: Postings that one reducing task holds at a time, lines that one mapping step turns into postings.
+#: Postings that one task joins at a time, lines that one mapping step turns into postings.
 POSTINGS, LINES = 400_000, 100_000
-#: Words a counting or reading task remembers.
-REMEMBER = 300_000
 BATCH = 256
 #: Lists of lines of up to so many documents are broadcast.
 FEW = 400_000
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def _mix(x: np.ndarray, i: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * _MIX[i]
-    return x ^ (x >> np.uint64(32))
+def rarity_class(count: np.ndarray | float) -> np.ndarray:
+    """64 classes for each doubling of a frequency."""
+    return np.minimum(np.round(np.log2(np.asarray(count) + 1.0) * 64), (1 << CLASS) - 1).astype(np.uint64)
 
 
 def overlap(n: np.ndarray, m: np.ndarray | int, s: Fraction) -> np.ndarray:
@@ -47,69 +46,53 @@ def _batched(docs: DataFrame, fn, schema: str, label: str) -> DataFrame:
         return keep(docs.mapInArrow(fn, schema), label)
 
 
-# --- rarity -------------------------------------------------------------------------------------------------------
+# --- tokens -------------------------------------------------------------------------------------------------------
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Order class of each cell of word hashes: a thousandth of a doubling of its words' frequency over all lines."""
+    """Rarity class of each cell of word hashes, from the frequency of its words over all lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen = np.zeros(CELLS, np.int64), Counter()
-
-        def flush() -> None:
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
-            np.add.at(cells, (hashes >> np.uint64(46)).astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
-            seen.clear()
-
-        for (text,) in rows_of(batches, "t"):
-            seen.update(text.encode("utf-8", "surrogatepass").lower().split())
-            if len(seen) > REMEMBER:
-                flush()
-        flush()
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for words in cut(batch.column(0)):
+                cells += np.bincount((words.hashes() >> np.uint64(46)).astype(np.int64), minlength=CELLS)
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
 
     total = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CELLS, np.uint64)
-    out[total["cell"].to_numpy()] = np.round(np.log2(total["n"].to_numpy() + 1.0) * 1000).astype(np.uint64)
+    out[total["cell"].to_numpy()] = rarity_class(total["n"].to_numpy())
     return out
 
 
-class Tokens(dict):
-    """Order keys of words: 16 bits of rarity class, 48 bits of hash. Ascending keys start with the rarest."""
-
-    def __init__(self, classes: np.ndarray):
-        super().__init__()
-        self.classes = classes
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        key = self[word] = int(self.classes[h >> 46]) << 48 | h & ((1 << 48) - 1)
-        return key
-
-
-def token_sets(texts: list[tuple], tokens: Tokens, wanted=None) -> tuple[np.ndarray, ...]:
-    """Distinct tokens of the lines with any: document index, line number, set size, and the flat ascending keys."""
-    words, doc, line, count = [], [], [], []
-    for i, text in enumerate(texts):
-        lines = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
-        for no in range(len(lines)) if wanted is None else wanted[i]:
-            own = lines[no].split()
-            if own:
-                words += own
-                doc.append(i)
-                line.append(no)
-                count.append(len(own))
-    keys = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
-    owner = np.repeat(np.arange(len(count)), count)
-    order = np.lexsort((keys, owner))
-    keys, owner = keys[order], owner[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-    keys, owner = keys[first], owner[first]
-    return np.array(doc, np.int64), np.array(line, np.int64), np.bincount(owner, minlength=len(count)), keys
+def token_sets(words: Words, classes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Distinct tokens of each line: document index, line number, set size, and all tokens, rarest first in each line."""
+    new = np.ones(len(words.start), bool)
+    new[1:] = (words.doc[1:] != words.doc[:-1]) | (words.line[1:] != words.line[:-1])
+    firsts = np.flatnonzero(new)
+    span = 1 << (64 - TOKEN)
+    for at in range(0, len(firsts), span):
+        lo, hi = firsts[at], firsts[at + span] if at + span < len(firsts) else len(new)
+        part = words.where(slice(lo, hi))
+        h = part.hashes()
+        token = classes[(h >> np.uint64(46)).astype(np.int64)] << np.uint64(HASH) | h & np.uint64((1 << HASH) - 1)
+        owner = (np.cumsum(new[lo:hi]) - 1).astype(np.uint64)
+        both = np.sort(owner << np.uint64(TOKEN) | token)
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        n = np.bincount((both >> np.uint64(TOKEN)).astype(np.int64))
+        own = firsts[at:at + span]
+        yield words.doc[own], words.line[own], n, both & np.uint64((1 << TOKEN) - 1)
+
+
+def _listed(words: Words, lists: list[list[int] | None], inside: bool) -> Words:
+    """Words of the listed lines only, or of all others."""
+    codes = np.sort(np.array([(d << 32) + n for d, own in enumerate(lists) for n in own or ()], np.int64))
+    if not len(codes):
+        return words.where(slice(0, 0)) if inside else words
+    code = (words.doc.astype(np.int64) << 32) + words.line
+    found = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
+    return words.where(found if inside else ~found)
 
 
 def _prefix(n: np.ndarray, s: Fraction) -> np.ndarray:
@@ -117,30 +100,21 @@ def _prefix(n: np.ndarray, s: Fraction) -> np.ndarray:
     return n - (-((-n * s.numerator) // s.denominator)) + 1
 
 
-_LINES = "s1 long, s2 long, id long, line int, n int, bits long, prefix binary"
+_LINES = "s1 long, s2 long, id long, line int"
 
 
-def _line_rows(classes, similarity: Fraction):
-    """Each line as a set: two sums that name it, its size, a parity bitmap and one token beyond its prefix."""
+def _named_lines(classes):
+    """Each line with words: two sums over its tokens that name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(classes.value)
         for batch in batches:
-            ids, texts = zip(*rows_of([batch], "id", "t")) if batch.num_rows else ((), ())
-            doc, line, n, keys = token_sets(list(texts), tokens)
-            if not len(n):
-                continue
-            start = np.r_[0, np.cumsum(n)[:-1]]
-            s1, s2 = np.add.reduceat(_mix(keys, 0), start), np.add.reduceat(_mix(keys, 1), start)
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(keys, 2) & np.uint64(63)), start)
-            # A similar line of at least four tokens can differ; shorter ones match only their equals.
-            length = np.where(n >= 4, np.minimum(_prefix(n, similarity) + 1, n), 0)
-            raw, own = keys.tobytes(), np.array(ids, object)[doc]
-            prefix = [raw[8 * a:8 * (a + k)] for a, k in zip(start.tolist(), length.tolist())]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(own.tolist(), pa.int64()), pa.array(line.astype(np.int32)),
-                pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(prefix, pa.binary()),
-            ], names=[f.split()[0] for f in _LINES.split(", ")])
+            for words in cut(batch.column(1)):
+                for doc, line, n, tokens in token_sets(words, classes.value):
+                    start = np.r_[0, np.cumsum(n)[:-1]]
+                    s1, s2 = np.add.reduceat(mix(tokens, 1), start), np.add.reduceat(mix(tokens, 2), start)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)),
+                    ], names=["s1", "s2", "id", "line"])
 
     return run
 
@@ -152,42 +126,64 @@ _BLOCK = ("key", "id", "line", "n", "pos", "bits", "asked")
 _TYPES = ("<u8", "<i8", "<i4", "<i4", "<i4", "<u8", "<u1")
 
 
-def _post(pdf: pd.DataFrame, parts: int, hot: int, only: np.ndarray | None, s: Fraction) -> Iterator[dict]:
-    """Postings of distinct lines, by part of the key space: a token of the prefix, or two where it is hot."""
-    size = (pdf["prefix"].map(len) // 8).to_numpy()
-    keys = np.frombuffer(b"".join(pdf["prefix"]), np.uint64)
-    owner = np.repeat(np.arange(len(pdf)), size)
-    pos = np.arange(len(keys)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
-    n = pdf["n"].to_numpy(np.int64)
-    base = pos < _prefix(n, s)[owner]
-    is_hot = base & ((keys >> np.uint64(48)) > np.uint64(hot))
-    plain = np.flatnonzero(base & ~is_hot)
-    hashed, at, where = [_mix(keys[plain], 0)], [owner[plain]], [pos[plain]]
-    offsets = np.r_[0, np.cumsum(size)]
-    for i in np.flatnonzero(is_hot).tolist():
-        lo, hi = offsets[owner[i]], offsets[owner[i] + 1]
-        other = np.concatenate([keys[lo:i], keys[i + 1:hi]])
-        hashed.append(_mix(np.minimum(other, keys[i]), 1) ^ _mix(np.maximum(other, keys[i]), 2))
-        at.append(np.full(len(other), owner[i]))
+def _postings(lines: list[tuple], parts: int, only: np.ndarray | None, s: Fraction) -> Iterator[dict]:
+    """Postings of lines, by part of the key space: a token of the prefix, or two tokens where it is hot.
+
+    `lines` holds arrays of id, line, size, tokens, asked. Similar lines share a token in their prefixes
+    and two in prefixes that are one longer, so both kinds of key lose none.
+    """
+    ids, line, n, tokens, asked = (np.concatenate(c) for c in zip(*lines))
+    start = np.r_[0, np.cumsum(n)]
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tokens, 0) & np.uint64(63)), start[:-1])
+    # A set that is too small to be similar to one with a token more matches only its equals.
+    size = np.where(n * s.denominator >= (n + 1) * s.numerator, _prefix(n, s), 0)
+    owner = np.repeat(np.arange(len(n)), size)
+    pos = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+    own = tokens[start[owner] + pos]
+    hot = (own >> np.uint64(HASH)) > rarity_class(HOT)
+    plain = np.flatnonzero(~hot)
+    key, at, where = [mix(own[plain], 0)], [owner[plain]], [pos[plain]]
+    for i in np.flatnonzero(hot).tolist():
+        o = owner[i]
+        reach = tokens[start[o]:min(start[o] + size[o] + 1, start[o + 1])]
+        other = reach[reach != own[i]]
+        key.append(mix(np.minimum(other, own[i]), 1) ^ mix(np.maximum(other, own[i]), 2))
+        at.append(np.full(len(other), o))
         where.append(np.zeros(len(other), np.int64))
-    key, own, pos = np.concatenate(hashed), np.concatenate(at), np.concatenate(where)
+    key, at, pos = np.concatenate(key), np.concatenate(at), np.concatenate(where)
     if only is not None:
         known = only[(key >> np.uint64(44)).astype(np.int64)]
-        key, own, pos = key[known], own[known], pos[known]
-    order = np.argsort(key, kind="stable")
-    key, own, pos = key[order], own[order], pos[order]
+        key, at, pos = key[known], at[known], pos[known]
     part = (key % np.uint64(parts)).astype(np.int64)
-    columns = (key, pdf["id"].to_numpy(np.int64), pdf["line"].to_numpy(np.int32), n, pos, pdf["bits"].to_numpy(np.int64), pdf["asked"].to_numpy())
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((key, part))
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
         rows = order[edges[p]:edges[p + 1]]
         if len(rows):
-            values = [c[rows] if name in ("key", "pos") else c[own[rows]] for name, c in zip(_BLOCK, columns)]
-            values[0] = np.diff(values[0], prepend=np.uint64(0))
+            o = at[rows]
+            values = [np.diff(key[rows], prepend=np.uint64(0)), ids[o], line[o], n[o], pos[rows], bits[o], asked[o]]
             yield {"part": p, **{c: pack(v.astype(t)) for c, v, t in zip(_BLOCK, values, _TYPES)}}
 
 
+def _line_batches(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> Iterator[list[tuple]]:
+    """First lines of batches of `id, t, equal, asked`, about `LINES` at a time."""
+    held, count = [], 0
+    for batch in batches:
+        equal, asked = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for words in cut(batch.column(1)):
+            for doc, line, n, tokens in token_sets(_listed(words, equal, False), classes):
+                code = (doc.astype(np.int64) << 32) + line
+                wanted = np.array([(d << 32) + x for d, own in enumerate(asked) for x in own or ()], np.int64)
+                held.append((ids[doc], line, n, tokens, np.isin(code, wanted)))
+                count += len(n)
+                if count >= LINES:
+                    yield held
+                    held, count = [], 0
+    if held:
+        yield held
+
+
 def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
     """Pairs of one part that pass the length, positional and bitmap filters: for each later line its closest `first`
     earlier ones and whether there are more; without `first`, all of the lines that are asked for."""
@@ -229,60 +225,46 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
     return out.drop(columns="d")
 
 
-def _candidates(lines: DataFrame, n_lines: int, s: Fraction, first: int | None, only: np.ndarray | None = None) -> DataFrame:
-    """`id, line, to_id, to_line, more` of distinct lines (`id, line, n, bits, prefix, asked`)."""
+def _candidates(first_lines: DataFrame, classes, n_lines: int, s: Fraction, first: int | None, only: np.ndarray | None = None) -> DataFrame:
+    """`id, line, to_id, to_line, more` from documents `id, t, equal, asked`: lists of lines to pass over and to ask for."""
     parts = even_parts(12 * n_lines, POSTINGS)
-    hot = int(round(np.log2(HOT + 1.0) * 1000))
-    spread = lines.sparkSession.sparkContext.broadcast(only) if only is not None else None
+    spread = first_lines.sparkSession.sparkContext.broadcast(only)
 
-    def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
-        known = spread.value if spread is not None else None
-
-        def flush() -> Iterator[pd.DataFrame]:
-            blocks = list(_post(pd.concat(held, ignore_index=True), parts, hot, known, s))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines in _line_batches(batches, classes.value):
+            blocks = list(_postings(lines, parts, spread.value, s))
             if blocks:
-                yield pd.DataFrame(blocks)
-
-        for frame in frames:
-            held.append(frame)
-            rows += len(frame)
-            if rows >= LINES:
-                yield from flush()
-                held, rows = [], 0
-        if rows:
-            yield from flush()
-
-    blocks = lines.mapInPandas(post, "part int, " + ", ".join(f"{c} binary" for c in _BLOCK))
+                yield pa.RecordBatch.from_pylist(blocks, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in _BLOCK]]))
+
+    blocks = first_lines.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in _BLOCK))
     return blocks.groupBy("part").applyInPandas(
         lambda pdf: _meet(pdf, s, first), "id long, line int, to_id long, to_line int, more boolean"
     )
 
 
-def _with_lists(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """Documents with their list of lines (null without one); the lists are broadcast only if few documents have one."""
+def _with_lists(docs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """Documents with their list of `lines` (null without one); lists are broadcast only if few documents have one."""
+    listed = keep(lines.groupBy("id").agg(F.collect_list("line").alias(name)), "lists")
     few = listed.count() <= FEW
     return docs.join(F.broadcast(listed) if few else listed, "id", "left")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes, s: Fraction) -> DataFrame:
     """`id, line` of later lines with an earlier one that is similar enough, by their whole token sets."""
+    pairs = pairs.select("id", "line", "to_id", "to_line").distinct()
     ends = pairs.select("id", "line").union(pairs.select("to_id", "to_line")).distinct()
-    listed = keep(ends.groupBy("id").agg(F.collect_list("line").alias("lines")), "listed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(classes.value)
         for batch in batches:
-            ids, texts, lines = zip(*rows_of([batch], "id", "t", "lines")) if batch.num_rows else ((), (), ())
-            doc, line, n, keys = token_sets(list(texts), tokens, lines)
-            if len(n):
-                ends = np.r_[0, np.cumsum(n)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[i] for i in doc.tolist()], pa.int64()), pa.array(line.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))),
-                ], names=["id", "line", "tokens"])
-
-    some = _with_lists(docs, listed).where("lines IS NOT NULL")
+            lines = batch.column(2).to_pylist()
+            for words in cut(batch.column(1)):
+                for doc, line, n, tokens in token_sets(_listed(words, lines, True), classes.value):
+                    sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(tokens.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)), sets], names=["id", "line", "tokens"]
+                    )
+
+    some = _with_lists(docs, ends, "lines").where("lines IS NOT NULL")
     sets = _batched(some, run, "id long, line int, tokens array<long>", "sets").dropDuplicates(["id", "line"])
     mine = sets.select("id", "line", F.col("tokens").alias("a"))
     theirs = sets.select(F.col("id").alias("to_id"), F.col("line").alias("to_line"), F.col("tokens").alias("b"))
@@ -298,45 +280,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes, s: Fraction) -> DataFr
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: Fraction = SIMILARITY) -> DataFrame:
     """`id, line` of the lines to remove: an earlier line, by (id, line number), has Jaccard similarity of at least `similarity`.
 
-    Lines are sets of lower-cased (A-Z) words. Equal sets are one line of the join, named by the
+    Lines are sets of lower-cased (A-Z) words, told apart by 46 bits of hash and frequency. Equal sets are one line of the join, named by the
     earliest, so copies never form pairs. Rows that repeat an id count as one document. A null id
     comes first. Lines without words are never listed.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), text_of(text).alias("t"))
-    classes = spark.sparkContext.broadcast(rarity(rows.select("t")))
-    lines = _batched(rows, _line_rows(classes, similarity), _LINES, "lines")
-    named = lines.groupBy("s1", "s2").agg(F.min(F.struct("id", "line")).alias("f"))
-    named = keep(named.select("s1", "s2", "f.id", "f.line"), "named")
-    equal = lines.select("s1", "s2", "id", "line").distinct().join(
-        named.select("s1", "s2", F.col("id").alias("f_id"), F.col("line").alias("f_line")), ["s1", "s2"]
-    ).where((F.col("id") != F.col("f_id")) | (F.col("line") != F.col("f_line"))).select("id", "line")
-    # The first of each set: one id and line may hold only one set, unless rows repeat an id.
-    firsts = lines.where("n >= 4").join(named, ["s1", "s2", "id", "line"], "left_semi").dropDuplicates(["s1", "s2"]) \
-        .select("id", "line", "n", "bits", "prefix")
+    with batch_rows(spark, BATCH):
+        classes = spark.sparkContext.broadcast(rarity(rows.select("t")))
+    lines = _batched(rows, _named_lines(classes), _LINES, "lines")
+    named = keep(lines.groupBy("s1", "s2").agg(F.min(F.struct("id", "line")).alias("f")), "named")
+    equal = keep(lines.join(named, ["s1", "s2"]).where(F.struct("id", "line") != F.col("f")).select("id", "line").distinct(), "equal")
+    firsts = _with_lists(rows, equal, "equal")
     n_lines = named.count()
-    pairs = keep(_candidates(firsts.withColumn("asked", F.lit(0)), n_lines, similarity, FIRST), "pairs")
-    near = keep(_verified(pairs.select("id", "line", "to_id", "to_line").distinct(), rows, classes, similarity), "near")
+    none = F.lit(None).cast("array<int>").alias("asked")
+    with batch_rows(spark, BATCH):
+        pairs = keep(_candidates(firsts.select("id", "t", "equal", none), classes, n_lines, similarity, FIRST), "pairs")
+    near = keep(_verified(pairs, rows, classes, similarity), "near")
     open_ = keep(pairs.where("more").select("id", "line").distinct().join(near, ["id", "line"], "left_anti"), "open")
     if open_.limit(1).count():
-        asked = keep(firsts.join(open_.withColumn("asked", F.lit(1)), ["id", "line"], "left").fillna(0, ["asked"]), "asked")
-        pairs = keep(_candidates(asked, n_lines, similarity, None, _cells_of(asked, similarity)), "pairs")
-        more = _verified(pairs.select("id", "line", "to_id", "to_line").distinct(), rows, classes, similarity)
-        near = near.union(more)
+        asking = _with_lists(firsts, open_, "asked").select("id", "t", "equal", "asked")
+        with batch_rows(spark, BATCH):
+            only = _cells_of(asking.where("asked IS NOT NULL"), classes, similarity)
+            pairs = keep(_candidates(asking, classes, n_lines, similarity, None, only), "pairs")
+        near = near.union(_verified(pairs, rows, classes, similarity))
     return equal.union(near).distinct()
 
 
-def _cells_of(asked: DataFrame, s: Fraction) -> np.ndarray:
+def _cells_of(asking: DataFrame, classes, s: Fraction) -> np.ndarray:
     """Which of 2^20 cells of the key space hold a posting of a line that is asked for."""
-    hot = int(round(np.log2(HOT + 1.0) * 1000))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys = [np.cumsum(unpack(b["key"], "<u8"), dtype=np.uint64) for b in _post(frame, 1, hot, None, s)]
-            if keys:
-                yield pd.DataFrame({"cell": np.unique(np.concatenate(keys) >> np.uint64(44)).astype(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines in _line_batches(batches, classes.value):
+            for block in _postings(lines, 1, None, s):
+                keys = np.cumsum(unpack(block["key"], "<u8"), dtype=np.uint64)[unpack(block["asked"], "<u1") > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys >> np.uint64(44)).astype(np.int64))], names=["cell"])
 
-    cells = asked.where("asked = 1").mapInPandas(run, "cell long").distinct().toPandas()["cell"].to_numpy()
+    cells = asking.mapInArrow(run, "cell long").distinct().toPandas()["cell"].to_numpy()
     out = np.zeros(1 << 20, bool)
     out[cells] = True
     return out
