@@ -327,16 +327,16 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     See `repeated_lines`. Lines end with a newline character; those that stay keep their order and bytes. A
     null text stays null, an empty one empty, and a document may end up empty. Every row stays, and so
-    do other columns, whose names must not be `n_lines`, `n_removed` or start with an underscore.
+    do other columns; those named as the result's are replaced, and none may be `_line_id` or `_gone`.
     """
     gone = keep(repeated_lines(docs, key, text, similarity).groupBy("id").agg(F.collect_list("line").alias("_gone")), "gone")
     few = gone.count() <= FEW
-    listed = gone.withColumnRenamed("id", "_id")
-    own = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
-    joined = own.join(F.broadcast(listed) if few else listed, "_id", "left")
+    listed = gone.withColumnRenamed("id", "_line_id")
+    own = docs.withColumn("_line_id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
+    joined = own.join(F.broadcast(listed) if few else listed, "_line_id", "left")
     lines = F.split(F.col(text), "\n")
     left = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
     return joined.withColumns({
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)),
         text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
-    }).select(*docs.columns, "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"))
+    }).select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")], "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"))

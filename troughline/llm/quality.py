@@ -159,11 +159,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Column, key: str
     Only rows where `train` holds are learnt from. Null and empty texts have zero features and
     get a score like any other; repeated rows are scored each; labels of unknown documents and
     null labels are ignored. No usable label: every score is 0.5. Extra columns may have any name
-    that does not start with `f_` or `_`.
+    that does not start with `f_` or `_`; columns named as the result's are replaced.
     """
     features = keep(featurize(docs, text).drop(text), "features")
     score = learn(features, labels, train, key, label).score()
-    passed = [c for c in docs.columns if c != text]
+    passed = [c for c in docs.columns if c != text and c.lower() not in ("score", "predicted")]
     return features.select(*passed, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -156,6 +156,11 @@ def _patterns(values: Sequence[int]) -> Column:
     return F.array(*[F.lit(_signed(v)).cast("long") for v in values])
 
 
+def _probes(home: Column, group: int, flips: Sequence[int]) -> Column:
+    """Buckets of a group that a fingerprint looks into."""
+    return F.transform(_patterns(flips), lambda v: F.struct(F.lit(group).alias("g"), home.bitwiseXOR(v).alias("k")))
+
+
 def near_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     """Edges `a, b` between distinct fingerprints (`fp`) that differ in 1 to `distance` bits, an even number.
 
@@ -173,8 +178,7 @@ def near_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     probing, living = [], []
     for g, (bits, radius) in enumerate(plan(sample, distinct.count(), distance)):
         home = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        tried = F.transform(_patterns(_flips(bits, radius)), lambda v, home=home: home.bitwiseXOR(v)) if radius else F.array(home)
-        probing.append(F.transform(tried, lambda k, g=g: F.struct(F.lit(g).alias("g"), k.alias("k"))))
+        probing.append(_probes(home, g, _flips(bits, radius)))
         living.append(F.struct(F.lit(g).alias("g"), home.alias("k")))
     probes = distinct.select("fp", F.explode(F.concat(*probing)).alias("at")).select("fp", "at.g", "at.k")
     homes = distinct.select(F.col("fp").alias("home"), F.explode(F.array(*living)).alias("at")).select("home", "at.g", "at.k")
