@@ -122,8 +122,37 @@ def _named_lines(classes):
 # --- candidates ---------------------------------------------------------------------------------------------------
 
 
-_BLOCK = ("key", "id", "line", "n", "pos", "bits", "asked")
-_TYPES = ("<u8", "<i8", "<i4", "<i4", "<i4", "<u8", "<u1")
+_BLOCK = ("key", "id", "line", "n", "pos", "bits", "half", "low", "high", "asked")
+_TYPES = ("<u8", "<i8", "<i4", "<i4", "<i4", "<u8", "<u8", "<u8", "<u8", "<u1")
+#: Lines of so many tokens have a parity bitmap of 128 bits, of 256 bits; shorter ones of 64.
+WIDE, WIDER = 64, 128
+#: Pairs that a task holds before it cuts them down to what it returns.
+PAIRS = 400_000
+
+
+def parity(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Parity bitmaps of each set: sets that differ in k tokens have bitmaps that differ in k bits at most.
+
+    A bitmap folded in two is the one of half the length: `bits` is 64 bits, with `half` of the 128
+    the other half is `bits ^ half`, and with the `low` and `high` words of the 256 so are the other two.
+    """
+    start = np.r_[0, np.cumsum(n)[:-1]]
+    place = mix(tokens, 0)
+    bit, word = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(6)) & np.uint64(3)
+    q = [np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), start) for i in range(4)]
+    none = np.uint64(0)
+    half = np.where(n >= WIDE, q[0] ^ q[2], none)
+    return q[0] ^ q[1] ^ q[2] ^ q[3], half, np.where(n >= WIDER, q[0], none), np.where(n >= WIDER, q[1], none)
+
+
+def apart(a: dict, b: dict) -> np.ndarray:
+    """Bits in which the longest bitmaps that both lines have differ."""
+    x = {c: a[c] ^ b[c] for c in ("bits", "half", "low", "high")}
+    shorter = np.minimum(a["n"], b["n"])
+    one, count = x["bits"], np.bitwise_count
+    two = count(x["half"]).astype(np.int64) + count(x["half"] ^ one)
+    four = count(x["low"]).astype(np.int64) + count(x["high"]) + count(x["half"] ^ x["low"]) + count(one ^ x["half"] ^ x["high"])
+    return np.where(shorter >= WIDER, four, np.where(shorter >= WIDE, two, count(one)))
 
 
 def _postings(lines: list[tuple], parts: int, only: np.ndarray | None, s: Fraction) -> Iterator[dict]:
@@ -134,7 +163,7 @@ def _postings(lines: list[tuple], parts: int, only: np.ndarray | None, s: Fracti
     """
     ids, line, n, tokens, asked = (np.concatenate(c) for c in zip(*lines))
     start = np.r_[0, np.cumsum(n)]
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tokens, 0) & np.uint64(63)), start[:-1])
+    maps = parity(tokens, n)
     # A set that is too small to be similar to one with a token more matches only its equals.
     size = np.where(n * s.denominator >= (n + 1) * s.numerator, _prefix(n, s), 0)
     owner = np.repeat(np.arange(len(n)), size)
@@ -161,7 +190,7 @@ def _postings(lines: list[tuple], parts: int, only: np.ndarray | None, s: Fracti
         rows = order[edges[p]:edges[p + 1]]
         if len(rows):
             o = at[rows]
-            values = [np.diff(key[rows], prepend=np.uint64(0)), ids[o], line[o], n[o], pos[rows], bits[o], asked[o]]
+            values = [np.diff(key[rows], prepend=np.uint64(0)), ids[o], line[o], n[o], pos[rows], *[m[o] for m in maps], asked[o]]
             yield {"part": p, **{c: pack(v.astype(t)) for c, v, t in zip(_BLOCK, values, _TYPES)}}
 
 
@@ -192,8 +221,22 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
     order = np.lexsort((col["line"], col["id"], col["n"], key))
     key = key[order]
     col = {c: v[order] for c, v in col.items()}
-    n, pos, bits = col["n"].astype(np.int64), col["pos"].astype(np.int64), col["bits"]
-    later, earlier, far = [], [], []
+    n, pos = col["n"].astype(np.int64), col["pos"].astype(np.int64)
+    lines, of = np.unique(np.rec.fromarrays([col["id"], col["line"]], names="id,line"), return_inverse=True)
+    held, waiting, more = [np.zeros((3, 0), np.int64)], 0, np.zeros(len(lines), bool)
+
+    def cut_down() -> np.ndarray:
+        """Each pair once; of each later line the closest `first` pairs, marked if there are more."""
+        pairs = np.concatenate(held, axis=1)
+        pairs = pairs[:, np.unique(pairs[0] * len(lines) + pairs[1], return_index=True)[1]]
+        if first is None or not pairs.shape[1]:
+            return pairs
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[2], pairs[0]))]
+        begins = np.r_[True, pairs[0, 1:] != pairs[0, :-1]]
+        rank = np.arange(len(begins)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        more[pairs[0][rank >= first]] = True
+        return pairs[:, rank < first]
+
     alive, step = np.arange(len(key)), 0
     while len(alive):
         step += 1
@@ -203,26 +246,23 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
         ok = (key[alive] == key[other]) & (n[alive] * s.denominator >= n[other] * s.numerator)
         alive, other = alive[ok], other[ok]
         need = overlap(n[alive], n[other], s)
-        ahead = 1 + np.minimum(n[alive] - pos[alive], n[other] - pos[other]) - 1
-        differ = np.bitwise_count(bits[alive] ^ bits[other])
-        good = (ahead >= need) & (differ <= n[alive] + n[other] - 2 * need)
+        slack = n[alive] + n[other] - 2 * need
+        ahead = np.minimum(n[alive] - pos[alive], n[other] - pos[other])
+        good = np.flatnonzero((ahead >= need) & (np.bitwise_count(col["bits"][alive] ^ col["bits"][other]) <= slack) & (of[alive] != of[other]))
         a, b = alive[good], other[good]
-        swap = (col["id"][a] > col["id"][b]) | ((col["id"][a] == col["id"][b]) & (col["line"][a] > col["line"][b]))
-        late, soon = np.where(swap, a, b), np.where(swap, b, a)
-        kept = slice(None) if first is not None else col["asked"][late] > 0
-        later.append(late[kept])
-        earlier.append(soon[kept])
-        far.append(differ[good][kept])
-    late, soon, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier, far))
-    out = pd.DataFrame({
-        "id": col["id"][late], "line": col["line"][late], "to_id": col["id"][soon], "to_line": col["line"][soon], "d": d, "more": False,
-    }).drop_duplicates(["id", "line", "to_id", "to_line"])
-    if first is not None and len(out):
-        out = out.sort_values(["id", "line", "d", "to_id", "to_line"], kind="stable")
-        rank = out.groupby(["id", "line"]).cumcount()
-        out["more"] = out.groupby(["id", "line"])["d"].transform("size") > first
-        out = out[rank < first]
-    return out.drop(columns="d")
+        differ = apart({c: v[a] for c, v in col.items()}, {c: v[b] for c, v in col.items()})
+        late, soon = np.maximum(of[a], of[b]), np.minimum(of[a], of[b])  # lines are numbered in their order
+        kept = differ <= slack[good]
+        if first is None:
+            kept &= np.where(late == of[a], col["asked"][a], col["asked"][b]) > 0
+        held.append(np.stack([late[kept], soon[kept], differ[kept]]).astype(np.int64))
+        waiting += held[-1].shape[1]
+        if waiting > PAIRS:
+            held, waiting = [cut_down()], 0
+    late, soon, _ = cut_down()
+    return pd.DataFrame({
+        "id": lines.id[late], "line": lines.line[late], "to_id": lines.id[soon], "to_line": lines.line[soon], "more": more[late],
+    })
 
 
 def _candidates(first_lines: DataFrame, classes, n_lines: int, s: Fraction, first: int | None, only: np.ndarray | None = None) -> DataFrame:
