@@ -27,9 +27,9 @@ from troughline.session import scratch_path
 #: Counts up to this are discounted; above, counts are trusted.
 TRUSTED = 5
 #: Tokens in a chunk, unless its partition has fewer or one document more.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Requested words, pairs that an owning task sums at once.
-WORDS, PAIRS = 1_000_000, 1_200_000
+WORDS, PAIRS = 500_000, 600_000
 #: At most this many words count as hot: their pairs are dealt over several owners and their sums broadcast.
 HOT_WORDS = 10_000
 #: Words a reading task remembers.
