@@ -56,7 +56,7 @@ def signatures(text, chain=2):
     out = set()
     for i, a in enumerate(w):
         if a in spotsigs.ANCHORS:
-            own = [x for x in w[i + 1:] if x not in spotsigs.ANCHORS][:chain]
+            own = [x for x in w[i + 1:i + 50] if x not in spotsigs.ANCHORS][:chain]
             if own:
                 out.add((a, *own))
     return out, w
