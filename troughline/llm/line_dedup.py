@@ -218,17 +218,24 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
     earlier ones and whether there are more; without `first`, all of the lines that are asked for."""
     col = {c: np.concatenate([unpack(v, t) for v in blocks[c]]) for c, t in zip(_BLOCK[1:], _TYPES[1:])}
     key = np.concatenate([np.cumsum(unpack(v, "<u8"), dtype=np.uint64) for v in blocks["key"]])
-    order = np.lexsort((col["line"], col["id"], col["n"], key))
-    key = key[order]
+    # Number the part's lines in their order, then bring equal keys together, short lines first.
+    order = np.lexsort((col["line"], col["id"]))
+    ids, line = col.pop("id")[order], col.pop("line")[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (line[1:] != line[:-1])]
+    of = np.empty(len(key), np.int64)
+    of[order] = np.cumsum(new) - 1
+    ids, line = ids[new], line[new]
+    order = np.lexsort((col["n"], key))
+    key, of = key[order], of[order]
     col = {c: v[order] for c, v in col.items()}
     n, pos = col["n"].astype(np.int64), col["pos"].astype(np.int64)
-    lines, of = np.unique(np.rec.fromarrays([col["id"], col["line"]], names="id,line"), return_inverse=True)
-    held, waiting, more = [np.zeros((3, 0), np.int64)], 0, np.zeros(len(lines), bool)
+    maps = {c: col[c] for c in ("n", "bits", "half", "low", "high")}
+    held, waiting, more = [np.zeros((3, 0), np.int64)], 0, np.zeros(len(ids), bool)
 
     def cut_down() -> np.ndarray:
         """Each pair once; of each later line the closest `first` pairs, marked if there are more."""
         pairs = np.concatenate(held, axis=1)
-        pairs = pairs[:, np.unique(pairs[0] * len(lines) + pairs[1], return_index=True)[1]]
+        pairs = pairs[:, np.unique(pairs[0] * len(ids) + pairs[1], return_index=True)[1]]
         if first is None or not pairs.shape[1]:
             return pairs
         pairs = pairs[:, np.lexsort((pairs[1], pairs[2], pairs[0]))]
@@ -250,7 +257,7 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
         ahead = np.minimum(n[alive] - pos[alive], n[other] - pos[other])
         good = np.flatnonzero((ahead >= need) & (np.bitwise_count(col["bits"][alive] ^ col["bits"][other]) <= slack) & (of[alive] != of[other]))
         a, b = alive[good], other[good]
-        differ = apart({c: v[a] for c, v in col.items()}, {c: v[b] for c, v in col.items()})
+        differ = apart({c: v[a] for c, v in maps.items()}, {c: v[b] for c, v in maps.items()})
         late, soon = np.maximum(of[a], of[b]), np.minimum(of[a], of[b])  # lines are numbered in their order
         kept = differ <= slack[good]
         if first is None:
@@ -261,7 +268,7 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
             held, waiting = [cut_down()], 0
     late, soon, _ = cut_down()
     return pd.DataFrame({
-        "id": lines.id[late], "line": lines.line[late], "to_id": lines.id[soon], "to_line": lines.line[soon], "more": more[late],
+        "id": ids[late], "line": line[late], "to_id": ids[soon], "to_line": line[soon], "more": more[late],
     })
 
 
