@@ -30,6 +30,8 @@ TRIES = 48
 EFFORT = 2
 #: Words whose ids a worker remembers, about 200 bytes each.
 REMEMBER = 800_000
+#: Marks that may follow a word's letters; none of them begins a contraction.
+MARKS = ".,!?;:|"
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Documents in an Arrow batch: whole texts have no bound.
 BATCH = 256
@@ -57,14 +59,20 @@ class WordIds:
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBER:  # words met early are the frequent ones
             self.known = dict(islice(self.known.items(), REMEMBER // 2))
-        new = words - self.known.keys()
-        # Letters and a mark after them are pre-tokens of their own, so "word," is "word" and ",".
-        marked = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
-        parts = {w[:-1] for w in marked}
-        parts.update((".", ","), new.difference(marked))
-        self._encode(list(parts - self.known.keys()))
-        for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+        known, split = self.known, {}
+        # Letters and marks after them are pre-tokens of their own, so "Word," is "word" and ",".
+        whole = set()
+        for w in words:
+            if w not in known:
+                base = w.rstrip(MARKS)
+                if base.isalpha():
+                    split[w] = base.lower() if base.isascii() else base, w[len(base):]
+                else:
+                    whole.add(w)
+        whole.update(part for own in split.values() for part in own if part)
+        self._encode([w for w in whole if w not in known])
+        for w, (base, marks) in split.items():
+            known[w] = known[base] + known[marks] if marks else known[base]
 
     def of(self, words: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
