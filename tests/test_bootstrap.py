@@ -17,7 +17,7 @@ def brute(rows, reps, seed):
     names = sorted(sums, key=lambda c: (hashlib.md5(f"{c}|{seed}".encode()).hexdigest(), c))
     k, out = len(names), []
     for rep in range(reps):
-        picks = [int(hashlib.md5(f"{rep}|{pos}|{seed}".encode()).hexdigest()[:8], 16) % k for pos in range(k)]
+        picks = [int(hashlib.md5(f"{rep}|{pos}|{seed}".encode()).hexdigest()[:15], 16) % k for pos in range(k)]
         x, y = (sum(sums[names[p]][i] for p in picks) for i in (0, 1))
         if y > 0:
             out.append(x / y)

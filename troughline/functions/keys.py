@@ -37,7 +37,7 @@ def hash_order(keys: Sequence[str | Column], seed: int) -> Column:
 def hash_slot(n: Column, *parts: Column) -> Column:
     """Deterministic draw from 0..n-1 named by `parts`."""
     digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % n
 
 
 def hash_position(

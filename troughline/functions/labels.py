@@ -145,3 +145,13 @@ DISAGREEMENT_CATEGORIES = (
 def disagreement_label(**roles: str) -> Column:
     """The one category a row falls in; the five patterns never overlap."""
     return F.coalesce(*[F.when(disagreement_category(k, **roles), F.lit(k)) for k in DISAGREEMENT_CATEGORIES])
+
+
+# Fixed value: what a number looks like as text; type suffixes such as `120f` are none.
+NUMBER = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+)?$|^[+-]?(nan|inf|infinity)$"
+
+
+def number(text: Column) -> Column:
+    """A number written as text, blanks around it aside; NULL for anything else."""
+    bare = F.btrim(text, F.lit(" \t\r\n"))
+    return F.when(bare.rlike(NUMBER), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))

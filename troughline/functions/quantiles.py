@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from troughline.functions.keys import join_per_group
-from troughline.session import with_scalars
+from troughline.session import cut_lineage, with_scalars
 
 # Sketch size. Groups up to this many rows are bracketed by their own extremes; larger ones
 # by sketch quantiles set wide enough to contain the wanted rank.
 _ACCURACY = 10_000
 _MARGIN = 4.0 / _ACCURACY
+# Brackets up to this many (about 30 MB) are broadcast.
+_FEW = 500_000
 
 
 def exact_quantiles(
@@ -22,9 +24,9 @@ def exact_quantiles(
     """Linear-interpolated quantiles per group: `by..., n, <out>0, <out>1, ...`.
 
     1. A mergeable sketch brackets each wanted rank (partial aggregates, no skew).
-    2. Rows are counted by distinct value and meet their bracket salted by value, so neither a hot
-       group nor a hot value gathers in one task. Everything under the bracket folds into one
-       count per salt; only values inside are ordered.
+    2. Rows meet their bracket by broadcast (salted by value where the groups are too many for that), are
+       dropped above it and counted below it before any of them moves; only values inside are
+       shuffled, as counts, and ordered.
     """
     by = list(by)
     probs = [float(p) for p in probs]
@@ -50,20 +52,25 @@ def exact_quantiles(
     ])
     sketch = sketch.select(*by, "n", brackets.alias("_brackets"))
 
-    by_value = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     if by:
-        joined = join_per_group(by_value, sketch, by, F.col("_v"))
+        # One row per group, read twice: written once, and small enough to know its size.
+        sketch = cut_lineage(sketch)
+        if sketch.count() * len(probs) <= _FEW:
+            joined = rows.join(F.broadcast(sketch), by)
+        else:
+            joined = join_per_group(rows, sketch, by, F.col("_v")).drop("_salt")
     else:
-        joined = with_scalars(by_value, sketch).withColumn("_salt", F.lit(0))
+        joined = with_scalars(rows, sketch)
+    # Rows meet their bracket where they are: what lies below it is one count per task, what lies above is gone.
     inside = (
-        joined.select(*by, "_salt", "_v", "_c", "n", F.explode("_brackets").alias("_k"))
+        joined.select(*by, "_v", "n", F.explode("_brackets").alias("_k"))
         .where(F.col("_v") <= F.col("_k.hi"))
         .select(
-            *by, "_salt", "n", "_c", F.col("_k.i").alias("_i"), F.col("_k.p").alias("_p"),
+            *by, "n", F.col("_k.i").alias("_i"), F.col("_k.p").alias("_p"),
             F.when(F.col("_v") >= F.col("_k.lo"), F.col("_v")).alias("_v"),
         )
-        .groupBy(*by, "_salt", "n", "_i", "_p", "_v")
-        .agg(F.sum("_c").alias("_c"))
+        .groupBy(*by, "n", "_i", "_p", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
     upto = Window.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0

@@ -17,11 +17,15 @@ from troughline.functions.keys import hash_position, hash_slot
 from troughline.session import cut_lineage, with_scalars
 
 
+#: Cluster sums up to this many numbers (32 MB) are broadcast to the tasks that draw.
+FEW_VALUES = 4_000_000
+
+
 def _check(replicates: int, confidence: float) -> tuple[float, float]:
     if not isinstance(replicates, int) or replicates < 1:
-        raise ValueError(f"replicates must be a positive int; got {replicates!r}")
+        raise ValueError(f"need at least one replicate as an int, not {replicates!r}")
     if not 0.0 < confidence < 1.0:
-        raise ValueError(f"confidence must be in (0, 1); got {confidence!r}")
+        raise ValueError(f"confidence lies between 0 and 1, not {confidence!r}")
     tail = (1.0 - confidence) / 2.0
     return tail, 1.0 - tail
 
@@ -46,7 +50,9 @@ def _picks(numbered: DataFrame, replicates: int, seed: int, by: Sequence[str]) -
     first repeated per block of replicates and spread over all cores by number (which adaptive
     execution does not merge back), then expanded.
     """
-    cores = numbered.sparkSession.sparkContext.defaultParallelism
+    # Not the cores known now, which an idle cluster has few of.
+    spark = numbered.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     block = max(1, -(-replicates // 64))
     blocks = numbered.select(*by, "pos", "n_clusters").withColumn(
         "_from", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(block)))
@@ -81,10 +87,14 @@ def ratio_intervals(
     )
     # One row per cluster from here on: the input is read once, for these sums.
     sums = cut_lineage(sums)
-    numbered = hash_position(sums, ["_cluster"], seed, by, "pos", "n_clusters")
+    # Numbered once: the draws come from these rows and are looked up in them.
+    numbered = cut_lineage(hash_position(sums, ["_cluster"], seed, by, "pos", "n_clusters"))
     picks = _picks(numbered, replicates, seed, by)
     stats = [f"_{a}{i}" for i in range(len(names)) for a in "xy"]
-    drawn = picks.join(numbered.select(*by, F.col("pos").alias("pick"), *stats), [*by, "pick"])
+    table = numbered.select(*by, F.col("pos").alias("pick"), *stats)
+    # Few clusters go to every task, and draws are summed where they are made: a row per replicate and task moves.
+    few = numbered.count() * (len(by) + 1 + len(stats)) <= FEW_VALUES
+    drawn = picks.join(F.broadcast(table) if few else table, [*by, "pick"])
     per_rep = drawn.groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in stats])
     ratio = lambda i: F.when(F.col(f"_y{i}") > 0, F.col(f"_x{i}") / F.col(f"_y{i}"))
     # One value per replicate and group: the percentile input is bounded by `replicates`.

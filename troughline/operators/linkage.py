@@ -197,7 +197,8 @@ def anchor_windows(
     """Samples inside `[anchor - pre, anchor + post)` of every anchor.
 
     Joined on (key, time cell): a recording with a third of all samples is spread over its
-    cells, and each anchor touches two or three of them. `how="left"` keeps sample-less anchors.
+    cells, and each anchor touches two or three of them. `how="left"` keeps every anchor without a
+    sample, equal anchors and those with a NULL included.
     """
     width = float(pre_s + post_s)
     lo, hi = F.col(anchor_t) - pre_s, F.col(anchor_t) + post_s
@@ -206,5 +207,11 @@ def anchor_windows(
     found = spread.join(laid, [key, "_cell"]).where((F.col(sample_t) >= lo) & (F.col(sample_t) < hi)).drop("_cell")
     if how == "inner":
         return found
-    extra = [c for c in samples.columns if c != key]
-    return anchors.join(found.select(*anchors.columns, *extra), anchors.columns, "left")
+    # Equal anchors match the same samples, so anchors without any are told by content, NULLs included.
+    names, extra = anchors.columns, [c for c in samples.columns if c != key]
+    matched = found.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(names)]).distinct()
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"_m{i}"))
+    lone = anchors.join(matched, same, "left_anti")
+    return found.select(*names, *extra).unionByName(lone, allowMissingColumns=True)

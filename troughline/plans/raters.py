@@ -14,7 +14,7 @@ from troughline.plans.views import CARDS, cards, table
 SEED = V.SEED
 WITH = f"WITH {CARDS}"
 PREDICTORS = {"detector": ("detector_call", None), "model": ("model_call", "model_ok")}
-REPS = 100
+REPS = 5_000
 
 
 def r6(*names: str):
@@ -36,7 +36,7 @@ def draws_sql(sums: str, by: str, metrics: dict[str, tuple[str, str]], reps: int
     ratio = ", ".join(f"CASE WHEN sum({y}) > 0 THEN sum({x}) / sum({y}) END AS v_{m}" for m, (x, y) in metrics.items())
     ci = ", ".join(f"quantile_cont(v_{m}, 0.025) AS lo_{m}, quantile_cont(v_{m}, 0.975) AS hi_{m}" for m in metrics)
     return f"""numbered AS (SELECT *, row_number() OVER ({part}ORDER BY md5(concat_ws('|', cl, '{SEED}')), cl) - 1 AS pos, count(*) OVER ({part}) AS k FROM {sums}),
-draw AS (SELECT {lead}rep, ('0x' || substr(md5(concat_ws('|', CAST(rep AS VARCHAR), CAST(pos AS VARCHAR), '{SEED}')), 1, 8))::BIGINT % k AS pick FROM numbered, range({reps}) r(rep)),
+draw AS (SELECT {lead}rep, ('0x' || substr(md5(concat_ws('|', CAST(rep AS VARCHAR), CAST(pos AS VARCHAR), '{SEED}')), 1, 15))::BIGINT % k AS pick FROM numbered, range({reps}) r(rep)),
 reps AS (SELECT {dlead}rep, {ratio} FROM draw d JOIN numbered n ON {on}d.pick = n.pos {rgroup}),
 ci AS (SELECT {lead}{ci} FROM reps {group})"""
 
@@ -510,7 +510,7 @@ def e02(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e03_boot_statistic_ci", f"""{WITH}, sums AS (SELECT DISTINCT subject_id AS cl FROM cards), numbered AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', cl, '{SEED}')), cl) - 1 AS pos, count(*) OVER () AS k FROM sums),
-draw AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', CAST(rep AS VARCHAR), CAST(pos AS VARCHAR), '{SEED}')), 1, 8))::BIGINT % k AS pick FROM numbered, range({REPS}) r(rep)),
+draw AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', CAST(rep AS VARCHAR), CAST(pos AS VARCHAR), '{SEED}')), 1, 15))::BIGINT % k AS pick FROM numbered, range({REPS}) r(rep)),
 reps AS (SELECT rep, median(n_chars) AS s FROM draw JOIN numbered ON pick = pos JOIN cards ON subject_id = cl GROUP BY 1)
 SELECT (SELECT median(n_chars) FROM cards) AS point, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high, (SELECT count(*) FROM cards) AS n_obs, (SELECT count(*) FROM sums) AS n_clusters, count(s) AS n_replicates_used FROM reps""")
 def e03(spark: SparkSession, d: str) -> DataFrame:

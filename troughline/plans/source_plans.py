@@ -56,7 +56,9 @@ def _stay_csv(spark: SparkSession, d: str) -> str:
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("intime"),
         F.date_format(F.expr("o_orderdate + INTERVAL 2 DAYS"), "yyyy-MM-dd HH:mm:ss").alias("outtime"),
     )
-    stays.write.option("header", True).option("compression", "gzip").csv(path)
+    # The published layout has columns that are not asked for, and another order.
+    public = stays.select("stay_id", F.lit("unit, of care").alias("first_careunit"), "outtime", "subject_id", F.lit(1.5).alias("los"), "hadm_id", "intime")
+    public.write.option("header", True).option("compression", "gzip").csv(path)
     return path
 
 
@@ -65,13 +67,15 @@ def a04(spark: SparkSession, d: str) -> DataFrame:
     return files.read_csv(spark, _stay_csv(spark, d), STAYS)
 
 
-NUMERIC = "CASE WHEN event_type = 'error' THEN '' WHEN event_type = 'view' AND value > 50e0 THEN 'n/a' ELSE CAST(round(value) AS STRING) END"
+NUMERIC = "CASE WHEN event_type = 'error' THEN '' WHEN event_type = 'view' AND value > 50e0 THEN '120f' ELSE CAST(round(value) AS STRING) END"
 
 
 @query("a05_plausible_times", """SELECT event_id, round(event_id / 999.56e0, 6) AS t_nbp FROM events WHERE event_type <> 'error' AND NOT (event_type = 'view' AND value > 50e0) AND round(value) BETWEEN 40 AND 260""")
 def a05(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "numerics")
-    raw = table(spark, d, "events").select("event_id", F.col("event_id").alias("time"), F.expr(NUMERIC).alias("NBPs [mmHg]"))
+    raw = table(spark, d, "events").select(
+        F.col("event_id").alias("time"), F.lit("80").alias("HR [bpm]"), "event_id", F.expr(NUMERIC).alias("NBPs [mmHg]")
+    )
     raw.write.option("header", True).option("compression", "gzip").csv(path)
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("time", T.StringType()), T.StructField("NBPs [mmHg]", T.StringType())])
     found = files.plausible_times(files.read_csv(spark, path, schema), 999.56)
@@ -122,19 +126,30 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("a11_write_guard", f"{WITH} SELECT guard, n FROM (SELECT count(*) AS n FROM inv), (VALUES ('existing refused'), ('input refused')) g(guard)")
+GUARDS = ("existing refused", "input refused", "dotted input refused", "folder above input refused")
+
+
+@query("a11_write_guard", f"{WITH} SELECT guard, n FROM (SELECT count(*) AS n FROM inv), (VALUES {', '.join(f'({g!r})' for g in (*GUARDS, 'replaced'))}) g(guard)")
 def a11(spark: SparkSession, d: str) -> DataFrame:
+    """Every refusal leaves the table as it was; a forced write replaces another one."""
     from pyspark.errors import AnalysisException
 
-    path = scratch_path(spark, "guard")
+    path, other = scratch_path(spark, "guard"), scratch_path(spark, "guard")
     files.write_guarded(inventory(spark, d).select("record_id", "reject_reason"), path)
+    files.write_guarded(inventory(spark, d).select("record_id").limit(1), other)
     written, refused = spark.read.parquet(path), []
-    for name, table_in, force in (("existing refused", inventory(spark, d).select("record_id"), False), ("input refused", written, True)):
+    name, above = path.rsplit("/", 1)[1], path.rsplit("/", 1)[0]
+    targets = (path, path, f"{path}/../{name}", above)
+    for guard, target in zip(GUARDS, targets):
+        fresh = guard == "existing refused"
         try:
-            files.write_guarded(table_in, path, force=force)
+            files.write_guarded(inventory(spark, d).select("record_id") if fresh else written, target, force=not fresh)
         except (AnalysisException, ValueError):
-            refused.append(name)
-    return written.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*[F.lit(r) for r in refused])).alias("guard"), "n")
+            refused.append(guard)
+    files.write_guarded(written, other, force=True)
+    same = spark.read.parquet(other).count() == spark.read.parquet(path).count()
+    done = [*refused, *(["replaced"] if same else [])]
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*[F.lit(r) for r in done])).alias("guard"), "n")
 
 
 EVENTS = T.StructType([

@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from troughline.functions.labels import blank_to_null, nan_to_null
+from troughline.functions.labels import blank_to_null, nan_to_null, number
 from troughline.schema import STAYS, require_columns
 
 
+_ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def scan_parquet(spark: SparkSession, folder: str, glob: str = "events_*.parquet", schema: T.StructType | None = None) -> DataFrame:
-    """All Parquet files of a folder that match a name pattern, as one scan; none is an error."""
+    """All Parquet files of a folder that match a name pattern, as one scan; none is an error, with a schema as well."""
     reader = spark.read.option("pathGlobFilter", glob)
     try:
-        return reader.schema(schema).parquet(folder) if schema else reader.parquet(folder)
+        found = reader.schema(schema).parquet(folder) if schema else reader.parquet(folder)
     except AnalysisException as e:
+        if e.getCondition() not in _ABSENT:
+            raise
         raise FileNotFoundError(f"no {glob} files found in {folder}") from e
+    if schema and not found.inputFiles():
+        raise FileNotFoundError(f"no {glob} files found in {folder}")
+    return found
 
 
 def consolidate(parts: Sequence[DataFrame], sort_keys: Sequence[str] | None = None) -> DataFrame:
@@ -60,11 +71,33 @@ def read_csv(
     spark: SparkSession, path: str, schema: T.StructType = STAYS, timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
     glob: str | None = None,
 ) -> DataFrame:
-    """Typed CSV (compressed or not) with a header; no inference pass over the data."""
-    reader = spark.read.schema(schema).option("header", True).option("timestampNTZFormat", timestamp_format).option(
-        "timestampFormat", timestamp_format
-    )
-    return (reader.option("pathGlobFilter", glob) if glob else reader).csv(path)
+    """Typed CSV (compressed or not); columns are found by the names in the header, in any order and among others.
+
+    The first file's header gives the layout; a file with another one is an error when it is read, so
+    layouts are read one call each. A column that the header lacks is an error; a value that does
+    not fit its type is NULL. No inference pass over the data.
+    """
+    reader = spark.read.option("header", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    layout = reader.csv(path).columns  # one line of one file
+    missing = [f.name for f in schema if f.name not in layout]
+    if missing:
+        raise ValueError(f"CSV in {path} lacks columns {missing}")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in layout])
+    raw = reader.schema(text).option("enforceSchema", False).csv(path)
+
+    def typed(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
+            value = F.try_to_timestamp(value, F.lit(timestamp_format)).cast(field.dataType)
+        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            value = number(value).cast(field.dataType)
+        else:
+            value = value.try_cast(field.dataType)
+        return value.alias(field.name)
+
+    return raw.select(*[typed(f) for f in schema])
 
 
 def plausible_times(
@@ -73,8 +106,7 @@ def plausible_times(
 ) -> DataFrame:
     """Anchor seconds of a sparse numerics table: readable, plausible value; ticks over counter rate."""
     require_columns(numerics, value, tick, what="numerics")
-    v = F.btrim(F.col(f"`{value}`").cast("string")).try_cast("double")
-    t = F.btrim(F.col(f"`{tick}`").cast("string")).try_cast("double")
+    v, t = number(F.col(f"`{value}`").cast("string")), number(F.col(f"`{tick}`").cast("string"))
     rate = F.lit(float(counter_freq)) if isinstance(counter_freq, (int, float)) else counter_freq
     return numerics.withColumn(out, t / rate).where(v.between(lo, hi) & t.isNotNull())
 
@@ -151,25 +183,47 @@ def typed_log(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
-def _clean(path: str) -> str:
-    return re.sub(r"^file:/*", "/", path).rstrip("/")
+def _qualified(spark: SparkSession, path: str, is_uri: bool = False) -> str:
+    """Scheme, store and full path as the file system names them; links are followed where the path exists."""
+    jvm = spark._jvm
+    named = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path)) if is_uri else jvm.org.apache.hadoop.fs.Path(path)
+    fs = named.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = fs.makeQualified(named)
+    try:
+        full = fs.resolvePath(full)
+    except Py4JJavaError:  # not there yet
+        pass
+    text = full.toUri().normalize().toString()
+    if text.startswith("file:"):
+        text = "file:" + os.path.realpath(full.toUri().getPath())
+    return re.sub(r"^s3[an]:", "s3:", text).rstrip("/")
 
 
 def write_guarded(df: DataFrame, path: str, fmt: str = "parquet", force: bool = False, partition_by: Sequence[str] = ()) -> None:
     """Write a table, refusing to overwrite its own inputs or, without `force`, existing output.
 
-    Spark's commit protocol publishes the files only once every task has succeeded.
+    Paths are compared as the file system qualifies them, in both directions. With `force` the
+    new files are written beside the old ones, which give way only once every task has succeeded.
     """
-    target = _clean(path)
-    for source in map(_clean, df.inputFiles()):
-        if source == target or source.startswith(target + "/"):
+    spark = df.sparkSession
+    target = _qualified(spark, path)
+    for source in (_qualified(spark, f, True) for f in df.inputFiles()):
+        if source == target or source.startswith(target + "/") or target.startswith(source + "/"):
             raise ValueError(f"refusing to write onto an input: {path}")
-    writer = df.write.mode("overwrite" if force else "errorifexists").format(fmt)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    swap = force and fs.exists(place)
+    beside = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}" if swap else path
+    writer = df.write.mode("errorifexists").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    writer.save(beside)
+    if swap:
+        fs.delete(place, True)
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), place):
+            raise OSError(f"could not move {beside} to {path}")
 
 
 def append_log(df: DataFrame, path: str) -> None:
