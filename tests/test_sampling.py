@@ -136,3 +136,9 @@ def test_gallery_and_form(make):
     form = S.blinded_form(manifest, "g")
     assert form.columns == ["card_id", "image_path", "call", "notes"]
     assert all(not r.image_path.startswith("g/") and r.call == "" for r in form.collect())
+
+
+def test_rows_without_a_stratum_are_sampled_too(make):
+    cards = make("card_id string, stratum string", [(f"c{i:03}", None if i % 4 == 0 else "ab"[i % 2]) for i in range(100)])
+    picked = S.proportional_sample(cards, 20, ["card_id"]).collect()
+    assert len(picked) == 20 and sum(r.stratum is None for r in picked) == 5

@@ -90,8 +90,10 @@ def proportional_sample(
     """Stratified sample of exactly `n_rows` rows in proportion to the strata."""
     # No quota exceeds `n_rows`, so later buckets are dropped before rows move.
     placed = hash_position(df, keys, seed, [stratum], "_pos", below=F.lit(n_rows))
-    share = quotas(df, n_rows, stratum, ties).select(stratum, "quota")
-    return placed.join(share, stratum).where(F.col("_pos") < F.col("quota")).drop("_pos", "quota")
+    # Rows without a stratum are a stratum of their own, in the quotas and here.
+    share = quotas(df, n_rows, stratum, ties).select(F.col(stratum).alias("_stratum"), "quota")
+    met = placed.join(share, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    return met.where(F.col("_pos") < F.col("quota")).select(*df.columns)
 
 
 def simple_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = V.SEED) -> DataFrame:
