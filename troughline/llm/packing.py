@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -32,6 +33,10 @@ EFFORT = 2
 REMEMBER = 800_000
 #: Marks that may follow a word's letters; none of them begins a contraction.
 MARKS = ".,!?;:|"
+#: Characters that `str.split` takes for white space and the tokenizer does not.
+CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Runs without Unicode White_Space, which is what the tokenizer drops.
+RUNS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Documents in an Arrow batch: whole texts have no bound.
 BATCH = 256
@@ -40,6 +45,11 @@ BATCH = 256
 # --- pieces -----------------------------------------------------------------------------------------------------
 
 
+def token_words(text: str) -> list[str]:
+    """The text cut at the tokenizer's white space. The faster `str.split` does the same where no control stands."""
+    return RUNS.findall(text) if any(c in text for c in CONTROLS) else text.split()
+
+
 class WordIds:
     """Token ids of words as little-endian bytes. The tokenizer drops white space and never merges across it,
     so a text's ids are its words' ids. New words are encoded together and remembered up to a bound."""
@@ -97,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         ids_of, end = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            split = [(i, t.split()) for i, t in rows_of([batch], "id", "t")]
+            split = [(i, token_words(t)) for i, t in rows_of([batch], "id", "t")]
             ids_of.learn({w for _, words in split for w in words})
             for i, words in split:
                 ids = ids_of.of(words) + end
