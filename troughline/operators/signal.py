@@ -69,11 +69,13 @@ def perfusion_index(x: np.ndarray, fs: float) -> np.ndarray:
 
 def reduce_signal(
     windows: DataFrame, keys: Sequence[str], fs: float, anchor: str = "t_nbp", t: str = "t_s", v: str = "value",
-    pre_s: float = 200.0, min_valid: float = 0.5,
+    pre_s: float = 200.0, min_valid: float = 0.5, post_s: float = 200.0, start: str | None = None, end: str | None = None,
 ) -> DataFrame:
     """Per window: gap check, gap fill, filtering and one mean per full second.
 
-    Output `keys..., anchor, valid_fraction, t, v`: `t` counts seconds from `anchor - pre_s`.
+    `start` and `end` name columns with the recording's bounds on the sample clock; the window clipped to them is
+    what must be valid, so missing edges count as gaps. A bound that is not named or NULL is the window's first or
+    last sample row. Output `keys..., anchor, valid_fraction, t, v`: `t` counts seconds from `anchor - pre_s`.
     A window too sparse, or shorter than a second, yields one row with NULL `t`. Spark
     groups and shuffles the windows; numpy only filters one window (seconds x rate samples).
     """
@@ -87,8 +89,12 @@ def reduce_signal(
     def one_window(pdf: pd.DataFrame) -> pd.DataFrame:
         a = float(pdf[anchor].iloc[0])
         index = np.rint((pdf[t].to_numpy(float) - (a - pre_s)) * fs).astype(np.int64)
-        first = int(index.min())
-        grid = np.full(int(index.max()) - first + 1, np.nan)
+        first, last = int(index.min()), int(index.max())
+        if start is not None and pd.notna(begun := pdf[start].iloc[0]):
+            first = min(first, max(0, round((float(begun) - (a - pre_s)) * fs)))
+        if end is not None and pd.notna(ended := pdf[end].iloc[0]):
+            last = max(last, round(min(pre_s + post_s, float(ended) - (a - pre_s)) * fs) - 1)
+        grid = np.full(last - first + 1, np.nan)
         grid[index - first] = pdf[v].to_numpy(float)
         finite = np.isfinite(grid)
         share = float(finite.mean())
@@ -118,9 +124,13 @@ def to_record_time(local: str, anchor: str, pre_s: float = 200.0):
 def extract_events(
     anchors: DataFrame, samples: DataFrame, fs: float, p: detect.Detector = detect.Detector(),
     subject: str = "subject_id", record: str = "record_id", anchor_t: str = "t_nbp", sample_t: str = "t_s",
-    sample_v: str = "value", pre_s: float = 200.0, post_s: float = 200.0, min_valid: float = 0.5,
+    sample_v: str = "value", pre_s: float = 200.0, post_s: float = 200.0, min_valid: float = 0.5, bounds: DataFrame | None = None,
 ) -> DataFrame:
-    """Anchors and raw samples to the event inventory: every anchor yields exactly one row."""
+    """Anchors and raw samples to the event inventory: every anchor yields exactly one row.
+
+    `bounds` has one row per recording: its id, `start_s` and `end_s` on the sample clock. Without it a recording
+    lasts from its first to its last sample row.
+    """
     keys = [subject, record, anchor_t]
     anchors = anchors.select(
         F.col(subject).cast("string").alias(subject), F.col(record).cast("string").alias(record),
@@ -129,11 +139,14 @@ def extract_events(
     samples = samples.select(
         F.col(record).cast("string").alias(record), F.col(sample_t).alias(sample_t), F.col(sample_v).alias(sample_v)
     )
+    if bounds is None:
+        bounds = samples.groupBy(record).agg(F.min(sample_t).alias("start_s"), (F.max(sample_t) + 1 / fs).alias("end_s"))
+    limits = bounds.select(F.col(record).cast("string").alias(record), F.col("start_s").alias("_start"), F.col("end_s").alias("_end"))
     # Copies of an anchor share one window and meet their result again in the final join.
-    windows = anchor_windows(anchors.distinct(), samples, record, anchor_t, sample_t, pre_s, post_s)
+    windows = anchor_windows(anchors.distinct().join(limits, record, "left"), samples, record, anchor_t, sample_t, pre_s, post_s)
     # The key columns double as the anchor column, so the pandas step is handed a copy.
     windows = windows.withColumn("_anchor", F.col(anchor_t))
-    trace = reduce_signal(windows, keys, fs, "_anchor", sample_t, sample_v, pre_s, min_valid)
+    trace = reduce_signal(windows, keys, fs, "_anchor", sample_t, sample_v, pre_s, min_valid, post_s, "_start", "_end")
     local = trace.withColumn("_center", F.lit(float(pre_s)))
     usable = local.where(F.col("t").isNotNull())
     found = detect.classify(usable, keys, "_center", p, "t", "v").drop("_center")

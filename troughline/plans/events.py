@@ -274,17 +274,23 @@ def _samples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return anchors, ticks.select("record_id", (F.col("i") / F.lit(FS)).alias("t_s"), "value")
 
 
+def _bounds(anchors: DataFrame, samples: DataFrame) -> DataFrame:
+    """Every recording lasts as long as the stream: from tick 0 to the last tick of all."""
+    last = samples.agg(F.lit(0.0).alias("start_s"), (F.max("t_s") + 1 / FS).alias("end_s"))
+    return with_scalars(anchors.select("record_id").distinct(), last)
+
+
 @query("f01_signal_reduce")
 def f01(spark: SparkSession, d: str) -> DataFrame:
     anchors, samples = _samples(spark, d)
-    windows = linkage.anchor_windows(anchors, samples, "record_id").withColumn("a", F.col("t_nbp"))
-    return signal.reduce_signal(windows, ["record_id", "t_nbp"], FS, "a").drop("a")
+    windows = linkage.anchor_windows(anchors.join(_bounds(anchors, samples), "record_id"), samples, "record_id").withColumn("a", F.col("t_nbp"))
+    return signal.reduce_signal(windows, ["record_id", "t_nbp"], FS, "a", start="start_s", end="end_s").drop("a")
 
 
 @query("f09_extract_events")
 def f09(spark: SparkSession, d: str) -> DataFrame:
     anchors, samples = _samples(spark, d)
-    return signal.extract_events(anchors, samples, FS)
+    return signal.extract_events(anchors, samples, FS, bounds=_bounds(anchors, samples))
 
 
 @query("d37_run_window", """SELECT event_type, CASE WHEN count(nullif(s, '')) = count(*) THEN min(s) END AS run_utc_start, CASE WHEN count(nullif(s, '')) = count(*) THEN max(s) END AS run_utc_end, count(*) AS n_rows
