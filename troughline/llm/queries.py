@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troughline.llm import exact_dedup, katz, licenses, line_dedup, mixing, packing, quality, simhash_dedup, spotsigs, token_counts
+from troughline.llm import exact_dedup, katz, licenses, line_dedup, mixing, packing, polytope, quality, simhash_dedup, spotsigs, token_counts
 from troughline.llm.common import id_remainder
 from troughline.plans.views import table
 
@@ -129,3 +129,8 @@ def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
     return token_counts.edit_counts(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op12_cross_polytope")
+def cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
