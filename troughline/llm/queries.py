@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troughline.llm import exact_dedup, katz, licenses, line_dedup, mixing, packing, polytope, quality, simhash_dedup, spotsigs, token_counts
+from troughline.llm import alignment, collocations, exact_dedup, katz, licenses, line_dedup, mixing, packing, polytope, quality, simhash_dedup, spotsigs, token_counts
 from troughline.llm.common import id_remainder
 from troughline.plans.views import table
 
@@ -134,3 +134,31 @@ def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_cross_polytope")
 def cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op13_itemset_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+lengths AS (SELECT lang, w, unnest(range(1, 5)) AS k FROM split),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lengths),
+f AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, words, unnest(range(1, words)) AS k FROM f WHERE words > 1),
+parts AS (SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM cuts),
+scored AS (SELECT p.lang, p.phrase, a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.head JOIN f y ON y.lang = p.lang AND y.phrase = p.rest),
+worst AS (SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_k AS (SELECT lang, f, string_split(phrase, ' ') AS w, words, unnest(range(2, words)) AS k FROM f WHERE words > 2),
+inner_at AS (SELECT *, unnest(range(1, words - k + 2)) AS i FROM inner_k),
+held AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(f) AS longer FROM inner_at GROUP BY ALL),
+free AS (SELECT worst.* FROM worst LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""")
+def itemset_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_fragment_alignment")
+def fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
