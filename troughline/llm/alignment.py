@@ -101,21 +101,21 @@ class Pair:
             return self.b.encode(part[1:]) if len(part) > 1 else [self.space]
         return self.b.encode(part)[1:]
 
-    def cuts_a(self, text: str) -> list[int]:
+    def cuts_a(self, text: str, size: int) -> list[int]:
         out, at = [0], 0
-        while len(text) - at > 2 * PART and (m := _A_END.search(text, at + PART)) and m.start() < len(text):
+        while len(text) - at > 2 * size and (m := _A_END.search(text, at + size)) and m.start() < len(text):
             at = m.start()
             out.append(at)
         return out
 
-    def cuts_b(self, text: str) -> list[int]:
-        out, at, i = [0], 0, PART
+    def cuts_b(self, text: str, size: int) -> list[int]:
+        out, i = [0], size
         shown = text.replace(_SPACE, " ")
-        while i < len(text) - PART:
+        while i < len(text) - size:
             y = shown[i]
             if shown[i - 1:i + 1] not in self.adjacent and (text[i] == " " or y != " " and " " + y not in self.adjacent):
                 out.append(i)
-                i += PART
+                i += size
             else:
                 i += 1
         return out
@@ -200,7 +200,7 @@ def _doc_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_DOC_TYPES)], names)
 
 
-def _cut(a_path: str, b_path: str):
+def _cut(a_path: str, b_path: str, size: int):
     """Parts of long texts for each tokenizer, with the byte of space+text they start at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def _cut(a_path: str, b_path: str):
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 text = " " + text
-                for side, cuts in ((0, pair.cuts_a(text)), (1, pair.cuts_b(text))):
+                for side, cuts in ((0, pair.cuts_a(text, size)), (1, pair.cuts_b(text, size))):
                     parts = [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)])]
                     starts = np.cumsum([0, *[len(p.encode()) for p in parts[:-1]]])
                     yield pa.RecordBatch.from_arrays(
@@ -219,7 +219,7 @@ def _cut(a_path: str, b_path: str):
     return run
 
 
-def _encode(a_path: str, b_path: str):
+def _encode(a_path: str, b_path: str, span: int):
     """Tokens of parts, dealt out by the byte range in which they end; `same`: the part's bytes come back from its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,7 @@ def _encode(a_path: str, b_path: str):
                 same = _same_bytes(pair.b_bytes if side else pair.a_bytes, ids, part.encode())
                 tokens = np.array(ids, np.int64)
                 ends = start + np.cumsum((pair.b_size if side else pair.a_size)[tokens])
-                k = (ends - 1) // RANGE
+                k = (ends - 1) // span
                 for at in np.split(np.arange(len(k)), np.flatnonzero(np.diff(k)) + 1):
                     if len(at):
                         rows.append((row, int(k[at[0]]), side, same, tokens[at].astype(np.int32), ends[at]))
@@ -359,14 +359,14 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield finished()
 
 
-def _long_groups(long: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def _long_groups(long: DataFrame, a_path: str, b_path: str, part: int, span: int) -> DataFrame:
     """Groups of long texts (`row, doc_id, text`) through fragments."""
     spark = long.sparkSession
     width = shuffle_width(long)
     with batch_rows(spark, 64):
-        parts = keep(long.select("row", "text").mapInArrow(_cut(a_path, b_path), "row long, side int, start long, part string"), "parts")
+        parts = keep(long.select("row", "text").mapInArrow(_cut(a_path, b_path, part), "row long, side int, start long, part string"), "parts")
         tokens = keep(
-            parts.repartition(width).mapInArrow(_encode(a_path, b_path), "row long, k long, side int, same boolean, ids array<int>, ends array<long>"), "tokens"
+            parts.repartition(width).mapInArrow(_encode(a_path, b_path, span), "row long, k long, side int, same boolean, ids array<int>, ends array<long>"), "tokens"
         )
         per_text = tokens.groupBy("row").agg(
             F.sum(F.when(F.col("side") == 0, F.size("ids")).otherwise(0)).alias("n_a"),
@@ -428,7 +428,9 @@ def _scored(counts, best):
     return run
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def align(
+    docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", long_from: int = LONG, part: int = PART, span: int = RANGE
+) -> DataFrame:
     """`doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`, one row for each row of `docs`.
 
     A encodes space+text, B the text to which it adds the space itself, both without special tokens. A text that is null,
@@ -444,11 +446,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     size = F.octet_length(F.coalesce("text", F.lit("")))
     pair = _pair(a_path, b_path)
     with batch_rows(spark, 256):
-        short = rows.where(size <= LONG).select(F.lit(-1).cast("long").alias("row"), "doc_id", "text")
+        short = rows.where(size <= long_from).select(F.lit(-1).cast("long").alias("row"), "doc_id", "text")
         groups = keep(short.mapInArrow(_short(a_path, b_path), _DOC), "groups")
-    long = keep(rows.where(size > LONG).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "long")
+    long = keep(rows.where(size > long_from).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "long")
     if long.limit(1).count():
-        groups = groups.unionByName(_long_groups(long, a_path, b_path))
+        groups = groups.unionByName(_long_groups(long, a_path, b_path, part, span))
     met = groups.select("pairs", "times").mapInArrow(_link_counts(len(pair.keys)), "pair int, count long")
     met = met.groupBy("pair").agg(F.sum("count").alias("count")).toArrow()
     count = np.zeros(len(pair.keys), np.int64)

@@ -17,19 +17,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from troughline.llm.common import LOWER, UPPER, batch_rows, keep, text_of
+from troughline.llm.common import LOWER, UPPER, batch_rows, keep, pack, text_of, unpack
 from troughline.session import scratch_path
 
 #: Shards of a cycle; bytes of the table of reached phrases; bytes of text that a task counts at once.
-SHARDS, SLOTS, CHUNK = 3, 1 << 24, 12 << 20
+SHARDS, SLOTS, CHUNK = 2, 1 << 24, 12 << 20
 LONGEST = 4
 _ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _LOWER = np.frombuffer(bytes(range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode())), np.uint8)
 _IS_END = np.isin(np.arange(256), list(_ENDS))
 _IS_GAP = np.isin(np.arange(256), list(_ENDS + _BLANKS))
+_CODED = "shard int, lang string, words binary, codes binary, begins binary"
 _COUNTS = "lang string, n int, phrase string, c long, slot int, until int"
 
 
@@ -40,8 +42,8 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+def _slots(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes & np.uint64(size - 1)).astype(np.int64)
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -59,59 +61,73 @@ def _parts(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-class _Words:
-    """Words of one language's texts: dense codes, the piece of each, and their hashes."""
-
-    def __init__(self, lang: str, texts: list[bytes]) -> None:
-        raw = np.frombuffer(b"\n".join(texts), np.uint8)
-        gap = _IS_GAP[raw]
-        edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.piece = np.cumsum(_IS_END[raw], dtype=np.int32)[start]
-        offsets = np.concatenate(([0], np.cumsum(end - start)))
-        chars = _LOWER[raw[~gap]]
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(chars)])
-        coded = words.dictionary_encode()
-        self.code, self.distinct = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
-        seed = xxhash.xxh64_intdigest(lang.encode())
-        hashed = np.array([xxhash.xxh64_intdigest(w, seed=seed) for w in self.distinct], np.uint64)
-        self.hash = hashed[self.code]
-
-
-def _counted(step: int, latest: np.ndarray, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of `texts` that are active at `step`; `until`: the last step of a phrase's cycle."""
-    w = _Words(lang, texts)
-    total, code = len(w.code), w.code
+def _coded(lang: str, texts: list[bytes], shard: int) -> pa.RecordBatch:
+    """Words of some texts of a language as numbers, with the words they stand for and a mark where a piece begins."""
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
+    gap = _IS_GAP[raw]
+    edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    piece = np.cumsum(_IS_END[raw], dtype=np.int32)[start]
+    offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[~gap]])])
+    coded = words.dictionary_encode()
+    begins = np.packbits(np.diff(piece, prepend=-1) > 0)
+    return pa.RecordBatch.from_arrays([
+        pa.array([shard], pa.int32()), pa.array([lang]), pa.array([pack(np.frombuffer(b"\n".join(coded.dictionary.to_pylist()), np.uint8))], pa.binary()),
+        pa.array([pack(np.asarray(coded.indices).astype(np.int32))], pa.binary()), pa.array([pack(begins)], pa.binary()),
+    ], ["shard", "lang", "words", "codes", "begins"])
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as coded chunks, which go round the shards."""
+    held: dict[str, list[bytes]] = {}
+    size, shard = 0, TaskContext.get().partitionId() % SHARDS
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for part in _parts(text.encode()):
+                held.setdefault(lang, []).append(part)
+                size += len(part) + 1
+                if size >= CHUNK:
+                    yield from (_coded(name, texts, shard) for name, texts in held.items())
+                    held, size, shard = {}, 0, (shard + 1) % SHARDS
+    yield from (_coded(name, texts, shard) for name, texts in held.items())
+
+
+def _counted(step: int, latest: np.ndarray, lang: str, distinct: list[bytes], code: np.ndarray, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of a chunk that are active at `step`; `until`: the last step of a phrase's cycle."""
+    total, size = len(code), len(distinct)
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    hashed = np.array([xxhash.xxh64_intdigest(w, seed=seed) for w in distinct], np.uint64)
     if step < SHARDS:
-        n = np.bincount(code, minlength=len(w.distinct))
-        slots = np.zeros(len(n), np.int64)
-        slots[code] = _slots(w.hash)
+        n = np.bincount(code, minlength=size)
         yield _batch(lang, 0, [b""], np.array([total]), np.zeros(1), np.array([SHARDS - 1]))
-        yield _batch(lang, 1, w.distinct, n, slots, np.full(len(n), SHARDS - 1))
+        yield _batch(lang, 1, distinct, n, _slots(hashed, len(latest)), np.full(size, SHARDS - 1))
+    piece = np.cumsum(begins, dtype=np.int32)
     # For the phrases of one length less at every place: hash, step at which longer ones start (0: never).
-    hashes = w.hash
-    pair_code = None
+    hashes, first, pair_code = hashed[code], latest[_slots(hashed, len(latest))][code], None
     for length in range(2, LONGEST + 1):
         places = total - length + 1
-        if places <= 0:
+        if places <= 0 or not first.any():
             return
-        first = latest[_slots(hashes)]
-        within = w.piece[:places] == w.piece[length - 1:]
+        within = piece[:places] == piece[length - 1:]
         until = np.maximum(first[:places], first[1:places + 1]).astype(np.int16) + SHARDS - 1
-        at = np.flatnonzero(within & (first[:places] > 0) & (first[1:places + 1] > 0) & (until >= step))
+        both = within & (first[:places] > 0) & (first[1:places + 1] > 0)
         hashes = _mix(hashes[:places], hashes[1:places + 1])
-        if length == 2:
-            key = code[at] * len(w.distinct) + code[at + 1]
-        else:
-            if pair_code is None:  # dense numbers of all neighbouring words, so that longer keys fit 64 bits
-                pair_code = np.unique(code[:-1] * len(w.distinct) + code[1:], return_inverse=True)[1]
-                pairs = int(pair_code.max()) + 1
-            key = pair_code[at] * (len(w.distinct) if length == 3 else pairs) + (code[at + 2] if length == 3 else pair_code[at + 2])
+        at = np.flatnonzero(both & (until >= step))
         if len(at):
+            if length == 2:
+                key = code[at].astype(np.int64) * size + code[at + 1]
+            else:  # dense numbers of neighbouring words, so that longer keys fit 64 bits
+                if pair_code is None:
+                    pair_code = np.unique(code[:-1].astype(np.int64) * size + code[1:], return_inverse=True)[1]
+                    pairs = int(pair_code.max()) + 1
+                key = pair_code[at] * size + code[at + 2] if length == 3 else pair_code[at] * pairs + pair_code[at + 2]
             _, where, n = np.unique(key, return_index=True, return_counts=True)
             place = at[where]
-            phrases = [b" ".join(map(w.distinct.__getitem__, p)) for p in np.stack([code[place + i] for i in range(length)], axis=1).tolist()]
-            yield _batch(lang, length, phrases, n, _slots(hashes[place]), until[place])
+            parts = [map(distinct.__getitem__, code[place + i].tolist()) for i in range(length)]
+            yield _batch(lang, length, list(map(b" ".join, zip(*parts))), n, _slots(hashes[place], len(latest)), until[place])
+        # A phrase that no task may have counted cannot have reached the threshold.
+        first = np.where(both, latest[_slots(hashes, len(latest))], 0)
 
 
 def _batch(lang: str, n: int, phrases: list[bytes], counts: np.ndarray, slots: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
@@ -126,27 +142,20 @@ def _scan(step: int, latest):
     """Counting of one shard; `latest` is the broadcast table of reached phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        size, table = 0, latest.value
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for part in _parts(text.encode()):
-                    held.setdefault(lang, []).append(part)
-                    size += len(part) + 1
-                    if size >= CHUNK:
-                        for name, texts in held.items():
-                            yield from _counted(step, table, name, texts)
-                        held, size = {}, 0
-        for name, texts in held.items():
-            yield from _counted(step, table, name, texts)
+            for lang, words, codes, begins in zip(*[batch.column(c).to_pylist() for c in ("lang", "words", "codes", "begins")]):
+                code = unpack(codes, "int32")
+                if len(code):
+                    starts = np.unpackbits(unpack(begins, "uint8"), count=len(code))
+                    yield from _counted(step, latest.value, lang, unpack(words, "uint8").tobytes().split(b"\n"), code, starts)
 
     return run
 
 
-def _entered(step: int, state: DataFrame | None, counts: DataFrame, threshold: int) -> DataFrame:
+def _entered(step: int, state: DataFrame | None, found: DataFrame, threshold: int) -> DataFrame:
     """Totals after this step. A shard's count enters once, though a phrase may be counted in it again."""
     bit = 1 << (step % SHARDS)
-    new = counts.select("lang", "phrase", "n", "slot", "until", "c", F.lit(None).cast("long").alias("old"), F.lit(0).alias("mask"))
+    new = found.select("lang", "phrase", "n", "slot", "until", "c", F.lit(None).cast("long").alias("old"), F.lit(0).alias("mask"))
     if state is not None:
         new = new.unionByName(state.select("lang", "phrase", "n", "slot", "until", F.lit(None).cast("long").alias("c"), F.col("total").alias("old"), "mask"))
     met = new.groupBy("lang", "phrase").agg(
@@ -156,9 +165,9 @@ def _entered(step: int, state: DataFrame | None, counts: DataFrame, threshold: i
     seen = F.col("mask").bitwiseAND(F.lit(bit)) > 0
     met = met.withColumn("total", F.col("old") + F.when(seen, 0).otherwise(F.col("c")))
     met = met.withColumn("mask", F.when(F.col("c") > 0, F.col("mask").bitwiseOR(F.lit(bit))).otherwise(F.col("mask")))
-    settled = F.col("until") <= step
+    # Frequent phrases stay after their cycle: one that is counted again must not reach the threshold a second time.
     frequent = (F.col("total") >= threshold) | (F.col("n") == 0)
-    return met.where(~settled | frequent).withColumns({"settled": settled, "reached": (F.col("total") >= threshold) & (F.col("old") < threshold)})
+    return met.where((F.col("until") > step) | frequent).withColumn("reached", (F.col("total") >= threshold) & (F.col("old") < threshold))
 
 
 def _new_slots(state: DataFrame) -> np.ndarray:
@@ -180,29 +189,24 @@ def phrase_counts(docs: DataFrame, text: Column, lang: Column, threshold: int =
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "shards")
-    dealt = docs.select(lang.alias("lang"), text.alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(SHARDS)).cast("int").alias("shard"))
-    dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    shards = spark.read.schema("lang string, text string, shard int").parquet(path)
-    latest = np.zeros(SLOTS, np.uint8)
-    state, done, step, last = None, None, 0, 0
     with batch_rows(spark, 256):
+        coded = docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(_code, _CODED)
+        coded.write.partitionBy("shard").parquet(path)
+    shards = spark.read.schema(_CODED).parquet(path)
+    latest = np.zeros(SLOTS, np.uint8)
+    state, step, last = None, 0, 0
+    with batch_rows(spark, 1):  # a row is a whole chunk
         while step <= max(last + SHARDS, SHARDS - 1):
             known = spark.sparkContext.broadcast(latest)
-            found = shards.where(F.col("shard") == step % SHARDS).select("lang", "text").mapInArrow(_scan(step, known), _COUNTS)
-            counts = found.groupBy("lang", "phrase").agg(
-                F.max("n").alias("n"), F.sum("c").alias("c"), F.max("slot").alias("slot"), F.max("until").alias("until")
-            )
-            state = keep(_entered(step, state, counts, threshold), "phrases")
+            shard = shards.where(F.col("shard") == step % SHARDS).select("lang", "words", "codes", "begins")
+            found = shard.mapInArrow(_scan(step, known), _COUNTS)
+            state = keep(_entered(step, state, found, threshold), "phrases")
             slots = _new_slots(state)
             latest[slots] = step + 1
             last = step if len(slots) else last
-            ready = state.where("settled").select("lang", "n", "phrase", "total")
-            done = ready if done is None else done.unionByName(ready)
-            state = state.where("NOT settled")
             known.unpersist()
             step += 1
-    # A phrase counted again after its cycle settles a second time, with part of its count at most.
-    return done.groupBy("lang", "phrase").agg(F.max("n").alias("n"), F.max("total").alias("f"))
+    return state.where((F.col("total") >= threshold) | (F.col("n") == 0)).select("lang", "n", "phrase", F.col("total").alias("f"))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = 30, cover: int = 80, top: int = 2000) -> DataFrame:
