@@ -5,9 +5,30 @@ import pytest
 from pyspark.sql import functions as F
 
 from troughline import vocabulary as V
+from troughline.functions import keys
 from troughline.operators import bootstrap as B
 
 
+def slot(rep, pos, seed):
+    """The named draw, step by step in whole numbers."""
+    out, prime = 0, 2**31 - 1
+    for a, b, c, d in keys.SLOT_FACTORS:
+        u = (rep * a + pos * b + seed) % prime
+        u = (u ^ u >> 15) * c % prime
+        u = (u ^ u >> 13) * d % prime
+        out = out * prime + (u ^ u >> 16) % prime
+    return out
+
+
+def test_draws_are_even():
+    for k in (7, 1000):
+        counts = np.bincount([slot(rep, pos, V.SEED) % k for rep in range(200) for pos in range(500)], minlength=k)
+        expected = 100_000 / k
+        assert ((counts - expected) ** 2 / expected).sum() < k + 5 * np.sqrt(2 * k)
+    per_rep = [len({slot(rep, pos, 1) % 500 for pos in range(500)}) for rep in range(200)]
+    assert abs(np.mean(per_rep) / 500 - (1 - np.exp(-1))) < 0.01  # as many different ones as draws with replacement give
+
+
 def brute(rows, reps, seed):
     """rows: (cluster, num, den). Same named draws, walked in plain Python."""
     sums = {}
@@ -17,7 +38,7 @@ def brute(rows, reps, seed):
     names = sorted(sums, key=lambda c: (hashlib.md5(f"{c}|{seed}".encode()).hexdigest(), c))
     k, out = len(names), []
     for rep in range(reps):
-        picks = [int(hashlib.md5(f"{rep}|{pos}|{seed}".encode()).hexdigest()[:15], 16) % k for pos in range(k)]
+        picks = [slot(rep, pos, seed) % k for pos in range(k)]
         x, y = (sum(sums[names[p]][i] for p in picks) for i in (0, 1))
         if y > 0:
             out.append(x / y)
@@ -74,6 +95,25 @@ def test_any_weighted_statistic(make):
     assert (out.ci_low, out.ci_high, out.n_clusters) == (pytest.approx(lo), pytest.approx(hi), 8)
 
 
+def test_quantile_interval_equals_plain_resampling(make):
+    rng = np.random.default_rng(3)
+    data = [(f"c{int(rng.integers(9))}", float(np.round(rng.normal() * 10, 1))) for _ in range(200)] + [("c1", None), ("c2", float("nan"))]
+    clean = [(c, v) for c, v in data if v is not None and v == v]
+    out = B.quantile_interval(make("c string, v double", data), "v", "c", 0.5, 60, 4).first()
+    names = sorted({c for c, _ in clean}, key=lambda c: (hashlib.md5(f"{c}|4".encode()).hexdigest(), c))
+    own = {c: [v for d, v in clean if d == c] for c in names}
+    medians = [np.median([v for pos in range(len(names)) for v in own[names[slot(rep, pos, 4) % len(names)]]]) for rep in range(60)]
+    lo, hi = np.percentile(medians, [2.5, 97.5])
+    assert (out.point, out.ci_low, out.ci_high) == (pytest.approx(np.median([v for _, v in clean])), pytest.approx(lo), pytest.approx(hi))
+    assert (out.n_obs, out.n_clusters, out.n_replicates_used) == (200, 9, 60)
+
+
+def test_no_task_holds_the_values_of_a_replicate(make, capsys):
+    B.quantile_interval(make("c string, v double", [("a", 1.0), ("b", 2.0)]), "v", "c", 0.5, 5).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "percentile(_v" not in plan and "percentile_approx" not in plan
+
+
 @pytest.mark.parametrize("reps, conf", [(0, 0.95), (10, 1.0), (10, 0.0)])
 def test_bad_arguments(make, reps, conf):
     with pytest.raises(ValueError):

@@ -79,3 +79,35 @@ def test_anchor_windows_equal_brute_force(make):
     assert sorted((r.record_id, r.t_nbp, r.t_s) for r in got.collect()) == want
     kept = Ln.anchor_windows(a, s, pre_s=30, post_s=50, how="left")
     assert [r.t_s for r in kept.where(F.col("record_id") == "none").collect()] == [None]
+
+
+# --- artifacts by triple ------------------------------------------------------------------------------------
+
+MANIFEST = "card_id string, stratum string, subject_id string, record_id string, t_nbp double, path string"
+
+
+def test_only_cards_whose_triple_is_listed(make):
+    cards = make(MANIFEST, [("A", "s", "1", "r1", 10.0004, "x"), ("B", "s", "1", "r1", 10.0006, "x"), ("C", "s", "2", "r1", -0.5, "x"), ("D", "s", None, "r1", 1.0, "x"), ("E", "s", "1", "r1", None, "x")])
+    listing = make("path string", [("g/s/1_r1_10000.png",), ("h/1_r1_10000.png",), ("1_r1_10002.png",), ("g/2_r1_-500.png",), ("g/9_r9_1.png",), ("g/1_r1_10001.svg",), ("g/notes.txt",), (None,)])
+    files = Ln.artifact_triples(listing)
+    assert sorted(r.ms for r in files.collect()) == [-500, 1, 10000, 10000, 10002]
+    assert sorted(r.card_id for r in Ln.with_artifact(cards, files).collect()) == ["A", "C"]
+    nulls = make("path string, subject string, record string, ms long", [("p", None, "r1", 1000), ("q", "1", "r1", None)])
+    assert sorted(r.card_id for r in Ln.with_artifact(cards, nulls).collect()) == ["D", "E"]
+
+
+def test_cards_resolve_to_files_that_exist(spark, make, tmp_path):
+    from troughline.sources.files import list_files
+
+    for name in ("s/A.png", "s/B.png", "old/C.png", "s/A.svg", "s/Z.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * 3)
+    listing = list_files(spark, str(tmp_path), "*.png")
+    assert {r.n_bytes for r in listing.collect()} == {3} and listing.count() == 4
+    cards = make(MANIFEST, [("A", "s", "1", "r1", 10.0, "x"), ("B", "s", "1", "r1", 10.0001, "x"), ("C", "s", "2", "r1", 1.0, "x"), ("D", "s", "3", "r1", 1.0, "x")])
+    lookup = Ln.artifact_lookup(cards, listing)
+    assert [(r.subject, r.ms, r.path.split("/")[-1]) for r in lookup.collect()] == [("1", 10000, "B.png")]
+    rows = make("subject_id string, record_id string, t_nbp double, path int", [("1", "r1", 10.0004, 1), ("1", "r1", 10.0006, 2), ("2", "r1", 1.0, 3), (None, "r1", 1.0, 4)])
+    found = {r.path: r.artifact and r.artifact.split("/")[-1] for r in Ln.resolve_artifacts(rows, lookup).collect()}
+    assert found == {1: "B.png", 2: None, 3: None, 4: None}
+    assert tuple(Ln.lookup_report(cards, listing, lookup).first()) == (4, 1, 4)

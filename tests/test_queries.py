@@ -42,3 +42,26 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.skipif(not DATA.exists(), reason="given tables are absent")
 def test_flagship_query(spark):
     assert entry.entry(spark).count() == 11
+
+
+def _plan(spark, capsys, name):
+    entry.queries()[name](spark, str(DATA)).explain("formatted")
+    text = capsys.readouterr().out
+    return text[:text.index("\n(1) ")], text
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="given tables are absent")
+@pytest.mark.parametrize("name", ["f03_baseline_qc", "f08_signature_events", "f10_param_sweep", "b12_record_time"])
+def test_ticks_of_windows_move_once(spark, capsys, name):
+    tree, text = _plan(spark, capsys, name)
+    by_window = [line for line in text.splitlines() if line.startswith("Arguments: hashpartitioning(series") and "anchor" in line]
+    # Windows of a sweep are counted by setting afterwards; their ticks do not move again.
+    ticks = [line for line in by_window if "setting" not in line]
+    assert len(ticks) == 1 and "REPARTITION" in ticks[0]
+    assert "SortMergeJoin" not in tree
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="given tables are absent")
+def test_extraction_is_one_grouped_step(spark, capsys):
+    tree, _ = _plan(spark, capsys, "f09_extract_events")
+    assert tree.count("FlatMapGroupsInPandas") == 1

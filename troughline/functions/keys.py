@@ -34,10 +34,23 @@ def hash_order(keys: Sequence[str | Column], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols], F.lit(str(seed))))
 
 
-def hash_slot(n: Column, *parts: Column) -> Column:
-    """Deterministic draw from 0..n-1 named by `parts`."""
-    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % n
+#: Fixed values of `mixed_slot`: for each half the factors of the replicate and of the position, then of the two rounds.
+SLOT_PRIME = 2147483647
+SLOT_FACTORS = ((48271, 69621, 1597334677, 1403630843), (39373, 62089911, 1812433253, 1664525013))
+
+
+def mixed_slot(n: Column, rep: Column, pos: Column, seed: int) -> Column:
+    """Deterministic draw from 0..n-1 named by a replicate, a position (both from 0, below 2^37) and a seed.
+
+    Two 31-bit mixes of whole numbers below 2^63, so billions of draws cost no text and no digest.
+    """
+    half = F.lit(0).cast("bigint")
+    for per_rep, per_pos, first, second in SLOT_FACTORS:
+        u = (rep * F.lit(per_rep).cast("bigint") + pos * F.lit(per_pos).cast("bigint") + F.lit(seed).cast("bigint")) % SLOT_PRIME
+        u = (u.bitwiseXOR(F.shiftright(u, 15)) * F.lit(first).cast("bigint")) % SLOT_PRIME
+        u = (u.bitwiseXOR(F.shiftright(u, 13)) * F.lit(second).cast("bigint")) % SLOT_PRIME
+        half = half * SLOT_PRIME + u.bitwiseXOR(F.shiftright(u, 16)) % SLOT_PRIME
+    return half % n
 
 
 def hash_position(

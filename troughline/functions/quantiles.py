@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troughline.functions.keys import join_per_group
@@ -84,3 +84,50 @@ def exact_quantiles(
     return per_prob.groupBy(*by, "n").agg(
         *[F.max(F.when(F.col("_i") == i, interpolated)).alias(f"{out}{i}") for i in range(len(probs))]
     )
+
+
+# Value cells per factor of e. Cells follow the logarithm, so they fit values of any scale.
+_PER_E = 256
+_SCALE = 1e6
+
+
+def value_cell(v: Column) -> Column:
+    """Cell of a value; never falls as the value rises, so ranks can be found among cells first."""
+    return (F.signum(v) * F.floor(F.log1p(F.abs(v) * _SCALE) * _PER_E)).cast("bigint")
+
+
+def binned_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), out: str = "q", weight: str | None = None
+) -> DataFrame:
+    """Linear-interpolated quantiles per group of many rows: `by..., n, <out>0, ...`; equal to those of `exact_quantiles`.
+
+    Rows are counted per value cell (a whole-stage aggregate without sketches), which tells the one or two cells that hold
+    each rank. In a second reading only rows of those cells are counted by value and ordered. `weight` names
+    a whole number that says how often a row counts.
+    """
+    by, probs = list(by), [float(p) for p in probs]
+    w = F.col(weight) if weight else F.lit(1)
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"), w.cast("bigint").alias("_w"), value_cell(v).alias("_b"))
+    cells = cut_lineage(rows.groupBy(*by, "_b").agg(F.sum("_w").alias("_c")).where("_c > 0"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    upto = F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    placed = cells.withColumns({"_upto": upto, "n": F.sum("_c").over(group)}).withColumn("_before", F.col("_upto") - F.col("_c"))
+    ranks = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    holds = F.lit(False)
+    for rank in ranks:
+        for edge in (F.floor(rank), F.ceil(rank)):
+            holds = holds | ((F.col("_before") <= edge) & (edge < F.col("_upto")))
+    wanted = cut_lineage(placed.where(holds).select(*by, "_b", "n", "_before"))
+    # At most two cells a quantile and group; counted before they are sent to every task.
+    few = wanted.count() <= _FEW
+    inside = rows.join(F.broadcast(wanted) if few else wanted, [*by, "_b"]).groupBy(*by, "n", "_b", "_before", "_v").agg(F.sum("_w").alias("_c"))
+    within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = inside.withColumn("_cum", F.col("_before") + F.sum("_c").over(within)).withColumn("_from", F.col("_cum") - F.col("_c"))
+    at = lambda edge: F.max(F.when((F.col("_from") <= edge) & (edge < F.col("_cum")), F.col("_v")))
+    found = ordered.groupBy(*by, "n").agg(
+        *[at(F.floor(r)).alias(f"_a{i}") for i, r in enumerate(ranks)], *[at(F.ceil(r)).alias(f"_z{i}") for i, r in enumerate(ranks)]
+    )
+    return found.select(*by, "n", *[
+        (F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * (r - F.floor(r))).alias(f"{out}{i}") for i, r in enumerate(ranks)
+    ])

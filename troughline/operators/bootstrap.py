@@ -1,7 +1,7 @@
 """Cluster bootstrap intervals as joins and aggregates.
 
 Rows collapse to per-cluster sums first. Replicate draws are named by (replicate, slot) and
-picked by hash, so they depend on neither partitioning nor order and a lost task redraws the same.
+picked by an integer mix, so they depend on neither partitioning nor order and a lost task redraws the same.
 Draws are generated on the cluster rows themselves: nothing is sampled on the driver.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from troughline import vocabulary as V
-from troughline.functions.keys import hash_position, hash_slot
+from troughline.functions.keys import hash_position, mixed_slot
+from troughline.functions.quantiles import binned_quantiles
 from troughline.session import cut_lineage, with_scalars
 
 
@@ -60,7 +61,7 @@ def _picks(numbered: DataFrame, replicates: int, seed: int, by: Sequence[str]) -
     reps = blocks.withColumn(
         "rep", F.explode(F.sequence("_from", F.least(F.lit(replicates - 1), F.col("_from") + (block - 1))))
     )
-    return reps.select(*by, "rep", hash_slot(F.col("n_clusters"), F.col("rep"), F.col("pos"), F.lit(seed)).alias("pick"))
+    return reps.select(*by, "rep", mixed_slot(F.col("n_clusters"), F.col("rep"), F.col("pos"), seed).alias("pick"))
 
 
 def ratio_intervals(
@@ -128,6 +129,25 @@ def mean_interval(
     return ratio_intervals(df, cluster, {"mean": (value, one)}, by, replicates, seed, confidence).drop("metric")
 
 
+def _weighted_replicates(df: DataFrame, value: str, cluster: str, replicates: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows counted by (cluster, value), the clusters, and each replicate's counts: `rep, _v, _w`."""
+    counted = cut_lineage(df.groupBy(F.col(cluster).alias("_cluster"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k")))
+    clusters = counted.select("_cluster").distinct()
+    draws = cluster_draws(clusters, "_cluster", replicates, seed)
+    return counted, clusters, draws.join(counted, "_cluster").select("rep", "_v", (F.col("_k") * F.col("m")).alias("_w"))
+
+
+def _of_replicates(per_rep: DataFrame, tails: tuple[float, float], point: DataFrame, counted: DataFrame, clusters: DataFrame) -> DataFrame:
+    bounds = per_rep.agg(
+        F.percentile("s", F.array(*[F.lit(q) for q in tails])).alias("_ci"), F.count("s").alias("n_replicates_used")
+    )
+    sizes = counted.agg(F.sum("_k").alias("n_obs"))
+    k = clusters.agg(F.count(F.lit(1)).alias("n_clusters"))
+    return with_scalars(with_scalars(with_scalars(point, sizes), k), bounds).select(
+        "point", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"), "n_obs", "n_clusters", "n_replicates_used"
+    )
+
+
 def statistic_interval(
     df: DataFrame,
     value: str,
@@ -139,24 +159,28 @@ def statistic_interval(
 ) -> DataFrame:
     """Cluster bootstrap of any aggregate that takes a value and an integer weight.
 
-    `statistic(value, weight)` returns a Spark aggregate, for example
-    `lambda v, w: F.percentile(v, F.lit(0.5), w)`. Rows are first counted by (cluster, value),
-    then weighted by how often a replicate drew their cluster.
+    `statistic(value, weight)` returns a Spark aggregate that merges, for example
+    `lambda v, w: F.sum(v * w) / F.sum(w)`. Rows are first counted by (cluster, value),
+    then weighted by how often a replicate drew their cluster. For quantiles use `quantile_interval`.
     """
     tails = _check(replicates, confidence)
-    counted = df.groupBy(F.col(cluster).alias("_cluster"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    counted = cut_lineage(counted)
-    clusters = counted.select("_cluster").distinct()
-    draws = cluster_draws(clusters, "_cluster", replicates, seed)
-    per_rep = draws.join(counted, "_cluster").groupBy("rep").agg(
-        statistic(F.col("_v"), F.col("_k") * F.col("m")).alias("s")
-    )
-    bounds = per_rep.agg(
-        F.percentile("s", F.array(*[F.lit(q) for q in tails])).alias("_ci"), F.count("s").alias("n_replicates_used")
-    )
-    point = counted.agg(statistic(F.col("_v"), F.col("_k")).alias("point"), F.sum("_k").alias("n_obs"))
-    k = clusters.agg(F.count(F.lit(1)).alias("n_clusters"))
-    return with_scalars(with_scalars(point, k), bounds).select(
-        "point", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"), "n_obs", "n_clusters", "n_replicates_used"
-    )
+    counted, clusters, weighted = _weighted_replicates(df, value, cluster, replicates, seed)
+    per_rep = weighted.groupBy("rep").agg(statistic(F.col("_v"), F.col("_w")).alias("s"))
+    point = counted.agg(statistic(F.col("_v"), F.col("_k")).alias("point"))
+    return _of_replicates(per_rep, tails, point, counted, clusters)
+
+
+def quantile_interval(
+    df: DataFrame, value: str, cluster: str, prob: float = 0.5, replicates: int = 1_000, seed: int = V.SEED, confidence: float = 0.95,
+) -> DataFrame:
+    """Cluster bootstrap of an exact quantile.
 
+    Each replicate's rank is found by weighted counts per value cell, and only the cells that hold it are ordered, so
+    no task holds the values of a replicate. NULL and NaN values are left out.
+    """
+    tails = _check(replicates, confidence)
+    v = F.col(value).cast("double")
+    counted, clusters, weighted = _weighted_replicates(df.where(v.isNotNull() & ~F.isnan(v)).withColumn("_x", v), "_x", cluster, replicates, seed)
+    per_rep = binned_quantiles(weighted, "_v", [prob], ["rep"], weight="_w").select(F.col("q0").alias("s"))
+    point = binned_quantiles(counted, "_v", [prob], weight="_k").select(F.col("q0").alias("point"))
+    return _of_replicates(per_rep, tails, point, counted, clusters)

@@ -86,8 +86,13 @@ def held_out_yields(
         F.sum("k").alias("n_events_primary_heldout"), F.count_if(F.col("k") > 0).alias("n_patients_primary_heldout"),
         F.sum("n").alias("n_evaluable_qc_pass_heldout"),
     )
-    rate = ratio_intervals(per_subject, cols.subject, {"rate": (F.col("k"), F.col("n"))}, ["window_no"], replicates, seed)
-    return counts.join(rate.select("window_no", "point", "ci_low", "ci_high"), "window_no").select(
+    # Every window holds the same subjects, so all windows are metrics of one set of draws. Windows are few by nature.
+    numbers = [r["window_no"] for r in counts.select("window_no").orderBy("window_no").collect()]
+    side = lambda i, c: F.sum(F.when(F.col("window_no") == i, F.col(c)).otherwise(0)).alias(f"{c}{i}")
+    wide = per_subject.groupBy(cols.subject).agg(*[side(i, c) for i in numbers for c in ("k", "n")])
+    rate = ratio_intervals(wide, cols.subject, {str(i): (F.col(f"k{i}"), F.col(f"n{i}")) for i in numbers}, (), replicates, seed)
+    rate = rate.select(F.col("metric").cast("int").alias("window_no"), "point", "ci_low", "ci_high")
+    return counts.join(F.broadcast(rate), "window_no").select(
         *by, "n_events_primary_heldout", "n_patients_primary_heldout", "n_evaluable_qc_pass_heldout",
         F.col("point").alias("primary_rate_per_evaluable_heldout"), "ci_low", "ci_high",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from troughline.functions.quantiles import exact_quantiles
+from troughline.functions.quantiles import binned_quantiles
 from troughline.schema import INVENTORY, InventoryColumns
 from troughline.session import with_scalars
 
@@ -47,7 +47,7 @@ def curve_quantiles(curve: DataFrame, n_rows: DataFrame, min_share: float = MIN_
 
     `n_rows` is the one-row count of all curves.
     """
-    q = exact_quantiles(curve, "y", [0.25, 0.5, 0.75], ["ti", "t"])
+    q = binned_quantiles(curve, "y", [0.25, 0.5, 0.75], ["ti", "t"])
     total = n_rows.toDF("_rows")
     return with_scalars(q, total).where(F.col("n") >= min_share * F.col("_rows")).select(
         "ti", "t", "n", F.col("q1").alias("median"), F.col("q0").alias("q25"), F.col("q2").alias("q75")

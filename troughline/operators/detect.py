@@ -83,7 +83,7 @@ def baseline_quality(
 ) -> DataFrame:
     """Add `n_pre, n_finite, baseline, rel_sd, quality_reason` of the pre-anchor window to every row.
 
-    Also `n_search` (ticks in the search window) and `first_t`, taken in the same pass.
+    Also `n_search` (ticks in the search window), `first_t` and `n_ticks`, taken in the same pass.
     """
     every = Window.partitionBy(*keys)
     in_pre = _between(F.col(t), F.col(anchor) - p.pre_lo, F.col(anchor) - p.pre_hi)
@@ -96,6 +96,7 @@ def baseline_quality(
         "_sd": F.stddev_pop(pre).over(every),
         "n_search": F.count_if(_searching(anchor, p, t)).over(every),
         "first_t": F.min(t).over(every),
+        "n_ticks": F.count(t).over(every),
     }).withColumns({
         "baseline": F.when(enough, F.col("_median")),
         "rel_sd": F.when(enough & (F.col("_median") > 0), F.col("_sd") / F.col("_median")),
@@ -159,10 +160,11 @@ def runs_below(
 ) -> DataFrame:
     """One row per run: its span, its first minimum and the recovery seen from there.
 
-    `keep_empty` keeps one run-less row per window so windows without any run survive.
+    `keep_empty` keeps one run-less row per window so windows without any run survive, also one whose only row has no tick.
     """
-    rows = mark_runs(df.where(_searching(anchor, p, t) | (F.col(t) == F.col("first_t"))), keys, anchor, p, t, v, swept)
-    rows = rows.where(F.col("run").isNotNull() | ((F.col(t) == F.col("first_t")) if keep_empty else F.lit(False)))
+    first = F.col(t).eqNullSafe(F.col("first_t"))
+    rows = mark_runs(df.where(F.coalesce(_searching(anchor, p, t), F.lit(False)) | first), keys, anchor, p, t, v, swept)
+    rows = rows.where(F.col("run").isNotNull() | (first if keep_empty else F.lit(False)))
     low = F.struct(F.col(v).alias("v"), F.col(t).alias("t"), F.col("next_release"), F.col("max_after"))
     constant = [c for c in dict.fromkeys([anchor, "baseline", "n_search", *carry]) if c not in keys]
     grouped = rows.groupBy(*keys, "run").agg(
@@ -213,16 +215,19 @@ def select_run(runs: DataFrame, keys: Sequence[str], p: Detector = Detector()) -
 
 def classify_windows(
     smoothed: DataFrame, keys: Sequence[str], anchor: str = "anchor", p: Detector = Detector(), t: str = "t",
-    v: str = "sm",
+    v: str = "sm", carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One classified row per window from a smoothed trace that carries its baseline columns."""
-    carry = ["rel_sd", "quality_reason"]
-    runs = runs_below(smoothed, keys, anchor, p, t, v, keep_empty=True, carry=carry)
-    return _classify_runs(runs, keys, anchor, p, carry, False)
+    """One classified row per window from a smoothed trace that carries its baseline columns.
+
+    `carry` names further columns, constant in a window, that the row keeps (`n_ticks`, its ticks, is one to be had).
+    """
+    held = ["rel_sd", "quality_reason", *carry]
+    runs = runs_below(smoothed, keys, anchor, p, t, v, keep_empty=True, carry=held)
+    return _classify_runs(runs, keys, anchor, p, held, False, carry)
 
 
 def _classify_runs(
-    runs: DataFrame, keys: Sequence[str], anchor: str, p: Detector, carry: Sequence[str], swept: bool
+    runs: DataFrame, keys: Sequence[str], anchor: str, p: Detector, carry: Sequence[str], swept: bool, shown: Sequence[str] = ()
 ) -> DataFrame:
     per_window = _best_run(qualify_runs(runs, p, swept), keys, p).groupBy(*keys).agg(
         F.count_if("qualifies").alias("n_qualifying"),
@@ -242,7 +247,7 @@ def _classify_runs(
     found = valid & F.col("m").isNotNull()
     pick = lambda field: F.when(found, F.col(f"m.{field}").cast("double"))
     return per_window.withColumn("reject_reason", reason).select(
-        *dict.fromkeys([*keys, anchor]),
+        *dict.fromkeys([*keys, anchor, *shown]),
         F.col("reject_reason").isNull().alias("is_occlusion_signature"),
         (found & F.col("reject_reason").isNotNull()).alias("stat_mode_candidate"),
         (found & recovered).alias("recovered"),
@@ -274,12 +279,25 @@ def prepare(
     return baseline_quality(rolling_median(spread, keys, t, v, p.smooth_window, "sm", skip_missing), keys, anchor, p, t)
 
 
+def _exact_keys(trace: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """The trace with fractional keys named as text, the keys to group by, and the fractional ones.
+
+    Windows group a fractional key by a normalised copy, which no exchange by the key itself serves, so ticks would move twice.
+    """
+    floats = [k for k in keys if trace.schema[k].dataType.typeName() in ("double", "float")]
+    named = trace.withColumns({f"_key_{k}": (F.col(k) + 0.0).cast("string") for k in floats})
+    return named, [f"_key_{k}" if k in floats else k for k in keys], floats
+
+
 def classify(
     trace: DataFrame, keys: Sequence[str], anchor: str = "anchor", p: Detector = Detector(), t: str = "t", v: str = "v",
-    skip_missing: bool = False,
+    skip_missing: bool = False, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Raw trace to one classified row per window."""
-    return classify_windows(prepare(trace, keys, anchor, p, t, v, skip_missing), keys, anchor, p, t)
+    """Raw trace to one classified row per window; `carry` as in `classify_windows`."""
+    named, exact, floats = _exact_keys(trace, keys)
+    found = classify_windows(prepare(named, exact, anchor, p, t, v, skip_missing), exact, anchor, p, t, carry=list(dict.fromkeys([*floats, *carry])))
+    lead = list(dict.fromkeys([*keys, anchor, *carry]))
+    return found.select(*lead, *[c for c in found.columns if c not in {*lead, *exact}])
 
 
 def sweep_settings(p: Detector = Detector(), grids: Sequence = V.SWEEP_GRIDS) -> list[dict[str, object]]:
@@ -303,6 +321,7 @@ def sweep(
     applied to the few runs found. Repeated rows keep the window's partitioning: the sweep adds
     no exchange of the trace.
     """
+    trace, keys, floats = _exact_keys(trace, keys)
     ready = prepare(trace, keys, anchor, p, t, v, skip_missing).where(
         F.col("quality_reason").isNull() & _searching(anchor, p, t)
     )
@@ -312,7 +331,7 @@ def sweep(
         F.struct(F.lit(i).alias("pass"), *[F.lit(x).alias(k) for k, x in zip(tick_level, pair)]) for i, pair in enumerate(pairs)
     ])
     repeated = ready.withColumn("_o", F.explode(passes)).select(*ready.columns, "_o.*")
-    carry = ["rel_sd", "quality_reason"]
+    carry = ["rel_sd", "quality_reason", *([subject] if subject in floats else [])]
     runs = runs_below(repeated, [*keys, "pass"], anchor, p, t, v="sm", swept=True, carry=carry)
     options = F.array(*[
         F.struct(
@@ -323,7 +342,8 @@ def sweep(
     ])
     mine = F.filter(options, lambda o: o["of_pass"] == F.col("pass"))
     expanded = runs.withColumn("_o", F.explode(mine)).select(*runs.columns, "_o.*")
-    scored = _classify_runs(expanded, [*keys, "setting"], anchor, p, [*carry, "primary_min", "sensitivity_min"], True)
+    shown = [subject] if subject in floats else []
+    scored = _classify_runs(expanded, [*keys, "setting"], anchor, p, [*carry, "primary_min", "sensitivity_min"], True, shown)
     floor = F.element_at(F.array(*[F.lit(float(s["sensitivity_min"])) for s in settings]), F.col("setting") + 1)
     primary = F.col("reject_reason").isNull() & F.col("phase3_duration_s").isNotNull()
     sensitive = (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troughline.functions.keys import time_key
+from troughline.session import with_scalars
 
 
 def seconds(ts: Column) -> Column:
@@ -184,6 +185,68 @@ def bridge_summary(bridged: DataFrame, row_id: str = "row_id") -> DataFrame:
     )
 
 
+#: `<subject>_<record>_<millisecond>.png` in any folder.
+TRIPLE_NAME = r"(?:^|/)([^/_]+)_([^/_]+)_(-?[0-9]{1,18})\.png$"
+
+
+def artifact_triples(listing: DataFrame, path: str = "path", pattern: str = TRIPLE_NAME) -> DataFrame:
+    """`path, subject, record, ms` of the listed files whose name states a triple; other files are left out."""
+    part = lambda i: F.regexp_extract(path, pattern, i)
+    return listing.where(F.col(path).rlike(pattern)).select(
+        F.col(path).alias("path"), part(1).alias("subject"), part(2).alias("record"), part(3).cast("bigint").alias("ms")
+    )
+
+
+def _same_triple(rows: DataFrame, files: DataFrame, subject: str, record: str, t: str) -> Column:
+    """Equality of (subject, record, rounded time), null matching null."""
+    mine = (F.col(f"_rows.{subject}").cast("string"), F.col(f"_rows.{record}").cast("string"), time_key(F.col(f"_rows.{t}")))
+    same = F.lit(True)
+    for value, name in zip(mine, ("subject", "record", "ms")):
+        same = same & value.eqNullSafe(F.col(f"_files.{name}"))
+    return same
+
+
+def with_artifact(
+    rows: DataFrame, files: DataFrame, subject: str = "subject_id", record: str = "record_id", t: str = "t_nbp",
+) -> DataFrame:
+    """Rows whose triple has a file (`files`: subject, record, ms), each once however many files it has."""
+    return rows.alias("_rows").join(files.alias("_files"), _same_triple(rows, files, subject, record, t), "left_semi")
+
+
+def artifact_lookup(
+    manifest: DataFrame, listing: DataFrame, card: str = "card_id", stratum: str = "stratum", subject: str = "subject_id",
+    record: str = "record_id", t: str = "t_nbp", path: str = "path", suffix: str = ".png",
+) -> DataFrame:
+    """`subject, record, ms, path`: the listed file of each manifest card, `<stratum>/<card><suffix>` in any folder.
+
+    Cards without a file and files without a card are left out. Cards that share a rounded triple give one row,
+    that of the greatest path.
+    """
+    tail = F.concat_ws("/", F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1))
+    files = listing.where(F.col(path).endswith(suffix) & F.col(path).contains("/")).select(F.col(path).alias("path"), tail.alias("_tail"))
+    cards = manifest.select(
+        F.concat(F.col(stratum), F.lit("/"), F.col(card), F.lit(suffix)).alias("_tail"), F.col(subject).cast("string").alias("subject"),
+        F.col(record).cast("string").alias("record"), time_key(F.col(t)).alias("ms"),
+    )
+    return cards.join(files, "_tail").groupBy("subject", "record", "ms").agg(F.max("path").alias("path"))
+
+
+def resolve_artifacts(
+    rows: DataFrame, lookup: DataFrame, subject: str = "subject_id", record: str = "record_id", t: str = "t_nbp", out: str = "artifact",
+) -> DataFrame:
+    """Every row with the path of its triple's file, NULL where there is none."""
+    files = lookup.withColumnRenamed("path", "_path").alias("_files")
+    return rows.alias("_rows").join(files, _same_triple(rows, files, subject, record, t), "left").select(
+        *[F.col(f"_rows.{c}") for c in rows.columns], F.col("_files._path").alias(out)
+    )
+
+
+def lookup_report(manifest: DataFrame, listing: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Cards, triples with a file, and listed files, in one row."""
+    cards = manifest.agg(F.count(F.lit(1)).alias("n_cards"))
+    return with_scalars(with_scalars(cards, lookup.agg(F.count(F.lit(1)).alias("n_resolved"))), listing.agg(F.count(F.lit(1)).alias("n_files")))
+
+
 def anchor_windows(
     anchors: DataFrame,
     samples: DataFrame,

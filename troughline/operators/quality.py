@@ -179,18 +179,29 @@ def run_window(log: DataFrame, stamp: str = "run_utc", by: Sequence[str] = ()) -
     )
 
 
-def robustness_rows(agreement_metrics: DataFrame, concordance: DataFrame, label: str) -> DataFrame:
-    """Text rows of the robustness summary: re-run agreement and per-variant concordance."""
+def robustness_rows(rerun_metrics: DataFrame, reworded: DataFrame, reference: DataFrame, rendered: DataFrame) -> DataFrame:
+    """`analysis, result`: three text rows on re-run agreement, changed wording and changed rendering.
+
+    `rerun_metrics` is tidy (`metric, value`), `reworded` and `rendered` are concordance tables, `reference` holds
+    the canonical positive rate (`positive_rate_pct, n`) that the positive rates of the wordings stand beside.
+    """
     pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
-    rerun = agreement_metrics.agg(
+    rerun = rerun_metrics.agg(
         pick("overall_agreement_pct").alias("a"), pick("n_agree").alias("k"), pick("n_paired").alias("n")
     ).select(
         F.lit("determinism").alias("analysis"),
         F.format_string("%.0f%% paired agreement (%d/%d)", "a", F.col("k").cast("bigint"), F.col("n").cast("bigint")).alias("result"),
     )
-    part = F.format_string("%s %.1f%%", F.col("variant"), F.col("concordance_pct"))
     # A run compares a handful of named variants; the text lists each of them.
-    words = concordance.agg(F.concat_ws(", ", F.array_sort(F.collect_list(part))).alias("w")).select(
-        F.lit(label).alias("analysis"), F.concat(F.lit("Concordance: "), F.col("w"), F.lit(".")).alias("result")
+    listed = lambda form, rate: F.concat_ws(", ", F.transform(
+        F.array_sort(F.collect_list(F.struct("variant", rate))), lambda x: F.format_string(form, x["variant"], x[rate])
+    ))
+    by_wording = reworded.agg(listed("%s %.1f%%", "concordance_pct").alias("w"), listed("%s %.0f%%", "var_positive_rate_pct").alias("p"))
+    by_wording = with_scalars(by_wording, reference.select("positive_rate_pct", F.col("n").alias("_n"))).select(
+        F.lit("prompt sensitivity").alias("analysis"),
+        F.format_string("Concordance: %s. Positive rate: %s (reference %.0f%% positive over %d).", "w", "p", "positive_rate_pct", "_n").alias("result"),
+    )
+    by_render = rendered.agg(listed("%s %.1f%%", "concordance_pct").alias("w")).select(
+        F.lit("render sensitivity").alias("analysis"), F.format_string("Concordance: %s.", "w").alias("result")
     )
-    return rerun.unionByName(words)
+    return rerun.unionByName(by_wording).unionByName(by_render)

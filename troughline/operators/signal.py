@@ -70,17 +70,19 @@ def perfusion_index(x: np.ndarray, fs: float) -> np.ndarray:
 def reduce_signal(
     windows: DataFrame, keys: Sequence[str], fs: float, anchor: str = "t_nbp", t: str = "t_s", v: str = "value",
     pre_s: float = 200.0, min_valid: float = 0.5, post_s: float = 200.0, start: str | None = None, end: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Per window: gap check, gap fill, filtering and one mean per full second.
 
     `start` and `end` name columns with the recording's bounds on the sample clock; the window clipped to them is
     what must be valid, so missing edges count as gaps. A bound that is not named or NULL is the window's first or
     last sample row. Output `keys..., anchor, valid_fraction, t, v`: `t` counts seconds from `anchor - pre_s`.
-    A window too sparse, or shorter than a second, yields one row with NULL `t`. Spark
+    A window too sparse, or shorter than a second, yields one row with NULL `t`; so does one whose rows all lack `t`,
+    with a NULL fraction. `carry` names columns, constant in a window, that every output row keeps. Spark
     groups and shuffles the windows; numpy only filters one window (seconds x rate samples).
     """
     keys = list(keys)
-    key_fields = [windows.schema[k] for k in keys]
+    key_fields = [windows.schema[k] for k in [*keys, *carry]]
     schema = T.StructType([
         *key_fields, T.StructField(anchor, T.DoubleType()), T.StructField("valid_fraction", T.DoubleType()),
         T.StructField("t", T.IntegerType()), T.StructField("v", T.DoubleType()),
@@ -88,30 +90,33 @@ def reduce_signal(
 
     def one_window(pdf: pd.DataFrame) -> pd.DataFrame:
         a = float(pdf[anchor].iloc[0])
-        index = np.rint((pdf[t].to_numpy(float) - (a - pre_s)) * fs).astype(np.int64)
-        first, last = int(index.min()), int(index.max())
-        if start is not None and pd.notna(begun := pdf[start].iloc[0]):
-            first = min(first, max(0, round((float(begun) - (a - pre_s)) * fs)))
-        if end is not None and pd.notna(ended := pdf[end].iloc[0]):
-            last = max(last, round(min(pre_s + post_s, float(ended) - (a - pre_s)) * fs) - 1)
-        grid = np.full(last - first + 1, np.nan)
-        grid[index - first] = pdf[v].to_numpy(float)
-        finite = np.isfinite(grid)
-        share = float(finite.mean())
-        ticks, means = np.array([np.nan]), np.array([np.nan])
-        if share >= min_valid:
-            pi = perfusion_index(np.where(finite, grid, np.median(grid[finite])), fs)
-            second = np.floor((first + np.arange(len(pi)) + 0.5) / fs).astype(np.int64)
-            size = np.bincount(second - second[0])
-            total = np.bincount(second - second[0], weights=pi)
-            full = size >= int(fs)
-            if full.any():
-                ticks, means = (np.nonzero(full)[0] + second[0]).astype(float), total[full] / size[full]
+        head = pdf.iloc[0]
+        pdf = pdf[pdf[t].notna()]
+        ticks, means, share = np.array([np.nan]), np.array([np.nan]), np.nan
+        if len(pdf):
+            index = np.rint((pdf[t].to_numpy(float) - (a - pre_s)) * fs).astype(np.int64)
+            first, last = int(index.min()), int(index.max())
+            if start is not None and pd.notna(begun := head[start]):
+                first = min(first, max(0, round((float(begun) - (a - pre_s)) * fs)))
+            if end is not None and pd.notna(ended := head[end]):
+                last = max(last, round(min(pre_s + post_s, float(ended) - (a - pre_s)) * fs) - 1)
+            grid = np.full(last - first + 1, np.nan)
+            grid[index - first] = pdf[v].to_numpy(float)
+            finite = np.isfinite(grid)
+            share = float(finite.mean())
+            if share >= min_valid:
+                pi = perfusion_index(np.where(finite, grid, np.median(grid[finite])), fs)
+                second = np.floor((first + np.arange(len(pi)) + 0.5) / fs).astype(np.int64)
+                size = np.bincount(second - second[0])
+                total = np.bincount(second - second[0], weights=pi)
+                full = size >= int(fs)
+                if full.any():
+                    ticks, means = (np.nonzero(full)[0] + second[0]).astype(float), total[full] / size[full]
         out = pd.DataFrame({"t": ticks, "v": means}).astype({"t": "Int32"})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
+        for k in [*keys, *carry]:
+            out[k] = head[k]
         out[anchor], out["valid_fraction"] = a, share
-        return out[[*keys, anchor, "valid_fraction", "t", "v"]]
+        return out[[*keys, *carry, anchor, "valid_fraction", "t", "v"]]
 
     return windows.groupBy(*keys).applyInPandas(one_window, schema)
 
@@ -142,23 +147,26 @@ def extract_events(
     if bounds is None:
         bounds = samples.groupBy(record).agg(F.min(sample_t).alias("start_s"), (F.max(sample_t) + 1 / fs).alias("end_s"))
     limits = bounds.select(F.col(record).cast("string").alias(record), F.col("start_s").alias("_start"), F.col("end_s").alias("_end"))
-    # Copies of an anchor share one window and meet their result again in the final join.
-    windows = anchor_windows(anchors.distinct().join(limits, record, "left"), samples, record, anchor_t, sample_t, pre_s, post_s)
+    # Copies of an anchor share one window; their number travels with it.
+    asked = anchors.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_copies")).join(limits, record, "left")
+    # A row without a sample stands for the anchor itself, so anchors that meet no sample go the same way as all others.
+    marks = asked.withColumns({sample_t: F.lit(None).cast(samples.schema[sample_t].dataType), sample_v: F.lit(None).cast(samples.schema[sample_v].dataType)})
+    windows = anchor_windows(asked, samples, record, anchor_t, sample_t, pre_s, post_s).unionByName(marks)
     # The key columns double as the anchor column, so the pandas step is handed a copy.
     windows = windows.withColumn("_anchor", F.col(anchor_t))
-    trace = reduce_signal(windows, keys, fs, "_anchor", sample_t, sample_v, pre_s, min_valid, post_s, "_start", "_end")
-    local = trace.withColumn("_center", F.lit(float(pre_s)))
-    usable = local.where(F.col("t").isNotNull())
-    found = detect.classify(usable, keys, "_center", p, "t", "v").drop("_center")
-    quality = trace.groupBy(*keys).agg(F.max("valid_fraction").alias("pleth_valid_fraction"))
-    rows = anchors.join(quality, keys, "left").join(found, keys, "left")
+    gates = ["valid_fraction", "_copies", "n_ticks"]
+    trace = reduce_signal(windows, keys, fs, "_anchor", sample_t, sample_v, pre_s, min_valid, post_s, "_start", "_end", carry=["_copies"])
+    found = detect.classify(trace.withColumn("_center", F.lit(float(pre_s))), keys, "_center", p, "t", "v", carry=gates)
+    rows = found.drop("_center").withColumnRenamed("valid_fraction", "pleth_valid_fraction").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     reason = (
         F.when(F.coalesce(F.col("pleth_valid_fraction"), F.lit(0.0)) == 0, V.NO_SIGNAL)  # no sample, or none readable
         .when(F.col("pleth_valid_fraction") < min_valid, V.SIGNAL_MOSTLY_MISSING)
-        .when(F.col("is_occlusion_signature").isNull(), V.NO_TRACE)
+        .when(F.col("n_ticks") == 0, V.NO_TRACE)
         .otherwise(F.col("reject_reason"))
     )
     gated = F.col("pleth_valid_fraction").isNull() | (F.col("pleth_valid_fraction") < min_valid)
+    # The verdict of a window without ticks is no more than its reason.
+    rows = rows.withColumns({c: F.when(F.col("n_ticks") > 0, F.col(c)) for c in found.columns if c not in [*keys, *gates, "_center", "reject_reason"]})
     rows = rows.withColumn("reject_reason", reason).withColumn("nbp_timestamp_s", F.col(anchor_t))
     for c in ("t_occlusion_start_s", "t_deflate_start_s", "t_nadir_s", "t_release_s"):
         rows = rows.withColumn(c, to_record_time(c, anchor_t, pre_s))

@@ -133,7 +133,7 @@ isl AS (SELECT *, t - row_number() OVER (PARTITION BY series, anchor, below ORDE
 run0 AS (SELECT series, anchor, grp, min(t) AS t_start, max(t) AS t_end, min(sm) AS low, any_value(baseline) AS baseline FROM isl WHERE below GROUP BY 1, 2, 3),
 run1 AS (SELECT r.*, (SELECT min(t) FROM isl i WHERE i.series = r.series AND i.anchor = r.anchor AND i.t BETWEEN r.t_start AND r.t_end AND i.sm = r.low) AS t_nadir FROM run0 r),
 held AS (SELECT series, anchor, t, sm, above AND coalesce(lead(above) OVER (PARTITION BY series, anchor ORDER BY t), false) AS held FROM srch),
-run AS (SELECT r.series, r.anchor, r.t_start, r.t_end, r.t_nadir, r.low, r.baseline, CAST(r.t_end - r.t_start AS DOUBLE) AS duration, r.low / r.baseline AS depth_frac, r.t_nadir - r.anchor AS off,
+run AS (SELECT r.series, r.anchor, r.t_start, r.t_end, r.t_nadir, r.low, r.baseline, CAST(r.t_end - r.t_start AS DOUBLE) AS duration, r.low / r.baseline AS depth_frac, CAST(r.t_nadir - r.anchor AS DOUBLE) AS off,
  min(h.t) FILTER (h.held) AS t_release, CASE WHEN count(h.sm) = count(*) THEN max(h.sm) / r.baseline END AS recovery_end
  FROM run1 r JOIN held h ON h.series = r.series AND h.anchor = r.anchor AND h.t >= r.t_nadir GROUP BY r.series, r.anchor, r.t_start, r.t_end, r.t_nadir, r.low, r.baseline)"""
 QUAL_SQL = f"""{SEARCH_SQL},

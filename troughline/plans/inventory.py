@@ -9,8 +9,8 @@ from troughline import vocabulary as V
 from troughline.functions.keys import content_id, sorted_row_id, time_key
 from troughline.functions.labels import blank_to_null, evaluable, measured
 from troughline.operators import calibrate, choose, curves, funnel, quality, sampling
-from troughline.operators.linkage import bridge, bridge_summary
-from troughline.plans.registry import query
+from troughline.operators.linkage import artifact_lookup, artifact_triples, bridge, bridge_summary, lookup_report, resolve_artifacts, with_artifact
+from troughline.plans.registry import draw_sql, query
 from troughline.plans.views import INV, inventory
 from troughline.schema import require_columns
 from troughline.session import cut_lineage
@@ -265,11 +265,69 @@ def c14(spark: SparkSession, d: str) -> DataFrame:
     return found.select("card_id", "record_id", F.col("depth").alias("nadir_depth_frac"))
 
 
-@query("c15_cards_on_disk", f"""{WITH}, {POOL}, {MANIFEST_SQL} SELECT card_id, stratum FROM manifest WHERE phase3_duration_s >= 20e0""")
+# A folder of cards named by triple: long runs have theirs, short ones are off by a millisecond, others are absent; some files belong to no card.
+_NAMED = "subject_id || '_' || record_id || '_' || CAST(CAST(round({t} * 1000) AS BIGINT) + {off} AS {text}) || '.png'"
+_FOLDERS = (
+    ("manifest", "'gallery/' || stratum || '/' || ", "t_nbp", 0, "phase3_duration_s >= 20e0"),
+    ("manifest", "'gallery/' || stratum || '/' || ", "t_nbp", 1, "phase3_duration_s < 10e0"),
+    ("inv", "'gallery/extra/' || ", "nbp_timestamp_s", 0, "reject_reason = 'no_pleth' AND phase3_duration_s IS NULL"),
+)
+
+
+def _listing_sql(text: str) -> str:
+    return " UNION ALL ".join(f"SELECT {folder}{_NAMED.format(t=t, off=off, text=text)} AS path FROM {rows} WHERE {cond}" for rows, folder, t, off, cond in _FOLDERS)
+
+
+C15_SQL = f"""{WITH}, {POOL}, {MANIFEST_SQL}, listing AS ({_listing_sql("VARCHAR")} UNION ALL SELECT 'gallery/notes/' || card_id || '.txt' FROM manifest),
+files AS (SELECT regexp_extract(path, '([^/_]+)_([^/_]+)_(-?[0-9]+)\\.png$', ['s', 'r', 'ms']) AS k FROM listing WHERE regexp_matches(path, '([^/_]+)_([^/_]+)_(-?[0-9]+)\\.png$'))"""
+
+
+def _triple_listing(manifest: DataFrame, inv: DataFrame) -> DataFrame:
+    """Paths as a folder of rendered cards would list them."""
+    rows = {"manifest": manifest, "inv": inv}
+    parts = [rows[r].where(cond).selectExpr(f"{folder}{_NAMED.format(t=t, off=off, text='STRING')} AS path") for r, folder, t, off, cond in _FOLDERS]
+    notes = manifest.selectExpr("'gallery/notes/' || card_id || '.txt' AS path")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(notes)
+
+
+@query("c15_cards_on_disk", f"""{C15_SQL} SELECT card_id, stratum FROM manifest m
+WHERE EXISTS (SELECT 1 FROM files f WHERE f.k.s = m.subject_id AND f.k.r = m.record_id AND CAST(f.k.ms AS BIGINT) = CAST(round(m.t_nbp * 1000) AS BIGINT))""")
 def c15(spark: SparkSession, d: str) -> DataFrame:
-    manifest = manifest_of(spark, d)
-    listing = manifest.where(F.col("phase3_duration_s") >= 20).select("image_path")
-    return manifest.join(listing, "image_path", "left_semi").select("card_id", "stratum")
+    manifest = cut_lineage(manifest_of(spark, d))
+    files = artifact_triples(_triple_listing(manifest, inventory(spark, d)))
+    return with_artifact(manifest, files).select("card_id", "stratum")
+
+
+CARD_FILES_SQL = f"""{WITH}, {POOL}, {MANIFEST_SQL}, cardfiles AS (SELECT 'run7/' || stratum || '/' || card_id || '.png' AS path FROM manifest WHERE coalesce(phase3_duration_s, 0e0) < 10e0 OR phase3_duration_s >= 15e0
+ UNION ALL SELECT 'run7/retired/' || card_id || '.png' FROM manifest WHERE phase3_duration_s >= 10e0 AND phase3_duration_s < 15e0 UNION ALL SELECT 'run7/' || stratum || '/' || card_id || '.svg' FROM manifest),
+lookup AS (SELECT m.subject_id, m.record_id, CAST(round(m.t_nbp * 1000) AS BIGINT) AS ms, max(path) AS path FROM manifest m JOIN cardfiles f ON f.path = 'run7/' || m.stratum || '/' || m.card_id || '.png' GROUP BY 1, 2, 3)"""
+
+
+def _card_listing(manifest: DataFrame) -> DataFrame:
+    """Cards by id: some are only in a folder of retired cards, and every card has a drawing of another kind."""
+    named = lambda cond, path: manifest.where(cond).selectExpr(f"{path} AS path")
+    return named("coalesce(phase3_duration_s, 0) < 10 OR phase3_duration_s >= 15", "'run7/' || stratum || '/' || card_id || '.png'").unionByName(
+        named("phase3_duration_s >= 10 AND phase3_duration_s < 15", "'run7/retired/' || card_id || '.png'")
+    ).unionByName(named("true", "'run7/' || stratum || '/' || card_id || '.svg'"))
+
+
+# Times a tenth of a millisecond off round to the card's; times 0.6 ms off do not.
+@query("c15_resolved_rows", f"""{CARD_FILES_SQL}, asked AS (SELECT subject_id, record_id, nbp_timestamp_s + CASE WHEN phase3_duration_s >= 30e0 THEN 6e-4 ELSE 1e-4 END AS t FROM inv WHERE pre_window_valid)
+SELECT a.subject_id, a.record_id, round(a.t, 4) AS t, l.path AS artifact FROM asked a LEFT JOIN lookup l ON l.subject_id = a.subject_id AND l.record_id = a.record_id AND l.ms = CAST(round(a.t * 1000) AS BIGINT)""")
+def c15_resolved(spark: SparkSession, d: str) -> DataFrame:
+    manifest = cut_lineage(manifest_of(spark, d))
+    asked = inventory(spark, d).where("pre_window_valid").select(
+        "subject_id", "record_id", (F.col("nbp_timestamp_s") + F.when(F.col("phase3_duration_s") >= 30, 6e-4).otherwise(1e-4)).alias("t")
+    )
+    found = resolve_artifacts(asked, artifact_lookup(manifest, _card_listing(manifest)), t="t")
+    return found.withColumn("t", F.round("t", 4))
+
+
+@query("c15_lookup_report", f"""{CARD_FILES_SQL} SELECT (SELECT count(*) FROM manifest) AS n_cards, (SELECT count(*) FROM lookup) AS n_resolved, (SELECT count(*) FROM cardfiles) AS n_files""")
+def c15_report(spark: SparkSession, d: str) -> DataFrame:
+    manifest = cut_lineage(manifest_of(spark, d))
+    listing = _card_listing(manifest)
+    return lookup_report(manifest, listing, artifact_lookup(manifest, listing))
 
 
 FLOW_SQL = f"""{POOL}, {MANIFEST_SQL}, reader AS (SELECT card_id, {READER_RULE} AS call FROM manifest), f AS (SELECT
@@ -395,12 +453,12 @@ def d22(spark: SparkSession, d: str) -> DataFrame:
     return w.select("window_no", "window_name", *r6("lower_s", "upper_s"))
 
 
-REPS = 1_000
+REPS = 5_000
 HELD_SQL = f"""ind AS (SELECT subject_id, w.*, CAST(coalesce(phase3_duration_s >= 15e0 AND nadir_depth_frac < 0.2e0 AND alignment_offset_s >= lower_s AND alignment_offset_s <= upper_s AND recovered, false) AS INTEGER) AS hit
  FROM held, win w WHERE pre_window_valid),
 cl AS (SELECT window_no, subject_id, sum(hit) * 1e0 AS x, count(*) * 1e0 AS y FROM ind GROUP BY 1, 2),
 num AS (SELECT *, row_number() OVER (PARTITION BY window_no ORDER BY md5(concat_ws('|', subject_id, '{SEED}')), subject_id) - 1 AS pos, count(*) OVER (PARTITION BY window_no) AS k FROM cl),
-draw AS (SELECT window_no, rep, ('0x' || substr(md5(concat_ws('|', CAST(rep AS VARCHAR), CAST(pos AS VARCHAR), '{SEED}')), 1, 15))::BIGINT % k AS pick FROM num, range({REPS}) r(rep)),
+draw AS ({draw_sql('num', REPS, SEED, 'window_no, ')}),
 reps AS (SELECT d.window_no, rep, sum(x) / sum(y) AS v FROM draw d JOIN num n ON d.window_no = n.window_no AND d.pick = n.pos GROUP BY 1, 2),
 ci AS (SELECT window_no, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high FROM reps GROUP BY 1),
 heldout AS (SELECT i.window_no, window_name, lower_s, upper_s, CAST(sum(hit) AS BIGINT) AS n_events_primary_heldout, count(DISTINCT subject_id) FILTER (hit = 1) AS n_patients_primary_heldout,

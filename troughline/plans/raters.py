@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from troughline import vocabulary as V
 from troughline.functions import labels as L
 from troughline.operators import bootstrap, choose, funnel, quality, rating, reweight
-from troughline.plans.registry import query
+from troughline.plans.registry import draw_sql, query
 from troughline.plans.views import CARDS, cards, table
 
 SEED = V.SEED
 WITH = f"WITH {CARDS}"
 PREDICTORS = {"detector": ("detector_call", None), "model": ("model_call", "model_ok")}
 REPS = 5_000
+#: Replicates of the interval of a mean.
+MEAN_REPS = 10_000
 
 
 def r6(*names: str):
@@ -25,8 +27,8 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), 6) for n in names})
 
 
-def draws_sql(sums: str, by: str, metrics: dict[str, tuple[str, str]], reps: int = REPS) -> str:
-    """CTEs of a cluster bootstrap over `sums` (by..., cl, x/y columns): numbered, draw, reps and ci."""
+def draws_sql(sums: str, by: str, metrics: dict[str, tuple[str, str]], reps: int = REPS, own: str = "") -> str:
+    """CTEs of a cluster bootstrap over `sums` (by..., cl, x/y columns): numbered, draw, reps and ci, their names after `own`."""
     on = " AND ".join(f"d.{c} = n.{c}" for c in by.split(", ")) + " AND " if by else ""
     part = f"PARTITION BY {by} " if by else ""
     lead = f"{by}, " if by else ""
@@ -35,10 +37,10 @@ def draws_sql(sums: str, by: str, metrics: dict[str, tuple[str, str]], reps: int
     rgroup = f"GROUP BY {', '.join(str(i + 1) for i in range(len(by.split(', ')) + 1))}" if by else "GROUP BY 1"
     ratio = ", ".join(f"CASE WHEN sum({y}) > 0 THEN sum({x}) / sum({y}) END AS v_{m}" for m, (x, y) in metrics.items())
     ci = ", ".join(f"quantile_cont(v_{m}, 0.025) AS lo_{m}, quantile_cont(v_{m}, 0.975) AS hi_{m}" for m in metrics)
-    return f"""numbered AS (SELECT *, row_number() OVER ({part}ORDER BY md5(concat_ws('|', cl, '{SEED}')), cl) - 1 AS pos, count(*) OVER ({part}) AS k FROM {sums}),
-draw AS (SELECT {lead}rep, ('0x' || substr(md5(concat_ws('|', CAST(rep AS VARCHAR), CAST(pos AS VARCHAR), '{SEED}')), 1, 15))::BIGINT % k AS pick FROM numbered, range({reps}) r(rep)),
-reps AS (SELECT {dlead}rep, {ratio} FROM draw d JOIN numbered n ON {on}d.pick = n.pos {rgroup}),
-ci AS (SELECT {lead}{ci} FROM reps {group})"""
+    return f"""{own}numbered AS (SELECT *, row_number() OVER ({part}ORDER BY md5(concat_ws('|', cl, '{SEED}')), cl) - 1 AS pos, count(*) OVER ({part}) AS k FROM {sums}),
+{own}draw AS ({draw_sql(own + 'numbered', reps, SEED, lead)}),
+{own}reps AS (SELECT {dlead}rep, {ratio} FROM {own}draw d JOIN {own}numbered n ON {on}d.pick = n.pos {rgroup}),
+{own}ci AS (SELECT {lead}{ci} FROM {own}reps {group})"""
 
 
 # --- labels and scalar rules ------------------------------------------------------------------------------
@@ -320,15 +322,15 @@ ELIGIBLE = "r IN ('occlusion_signature_present', 'no_occlusion_signature') AND p
 XY = {m: (f"x{i}", f"y{i}") for i, m in enumerate(rating.METRICS)}
 
 
-def _sums_sql(by: str, source: str, where: str, w: str = "1e0", eligible: str = ELIGIBLE) -> str:
+def _sums_sql(by: str, source: str, where: str, w: str = "1e0", eligible: str = ELIGIBLE, own: str = "") -> str:
     cols = ", ".join(f"sum({x.format(e=eligible, w=w)}) AS x{i}, sum({y.format(e=eligible, w=w)}) AS y{i}" for i, (x, y) in enumerate(IND.values()))
-    return f"sums AS (SELECT {by}, subject_id AS cl, {cols} FROM {source} {where} GROUP BY ALL)"
+    return f"{own}sums AS (SELECT {by}, subject_id AS cl, {cols} FROM {source} {where} GROUP BY ALL)"
 
 
-def _metric_rows(by: str, extra: str = "CAST(sum({y}) AS BIGINT) AS n_used_for_metric") -> str:
+def _metric_rows(by: str, extra: str = "CAST(sum({y}) AS BIGINT) AS n_used_for_metric", own: str = "") -> str:
     on = ", ".join(by.split(", "))
     return " UNION ALL ".join(
-        f"SELECT {', '.join('s.' + c for c in by.split(', '))}, '{m}' AS metric, round(CASE WHEN sum({y}) > 0 THEN sum({x}) / sum({y}) END, 6) AS point_estimate, round(any_value(lo_{m}), 6) AS ci_low, round(any_value(hi_{m}), 6) AS ci_high, {extra.format(y=y)} FROM sums s JOIN ci USING ({on}) GROUP BY {', '.join('s.' + c for c in by.split(', '))}"
+        f"SELECT {', '.join('s.' + c for c in by.split(', '))}, '{m}' AS metric, round(CASE WHEN sum({y}) > 0 THEN sum({x}) / sum({y}) END, 6) AS point_estimate, round(any_value(lo_{m}), 6) AS ci_low, round(any_value(hi_{m}), 6) AS ci_high, {extra.format(y=y)} FROM {own}sums s JOIN {own}ci USING ({on}) GROUP BY {', '.join('s.' + c for c in by.split(', '))}"
         for m, (x, y) in XY.items()
     )
 
@@ -490,10 +492,10 @@ def d28(spark: SparkSession, d: str) -> DataFrame:
 BOOT_SQL = "sums AS (SELECT stratum AS grp, subject_id AS cl, sum(CASE WHEN quality = 1 THEN 1e0 ELSE 0e0 END) AS x0, count(*) * 1e0 AS y0, sum(toxic) * 1e0 AS x1, sum(quality) * 1e0 AS y1, count(*) AS n FROM cards GROUP BY 1, 2)"
 
 
-@query("e01_boot_mean_ci", f"""{WITH}, {BOOT_SQL}, {draws_sql('sums', 'grp', {'mean': ('x0', 'y0')})}
+@query("e01_boot_mean_ci", f"""{WITH}, {BOOT_SQL}, {draws_sql('sums', 'grp', {'mean': ('x0', 'y0')}, MEAN_REPS)}
 SELECT grp AS stratum, CAST(sum(n) AS BIGINT) AS n_obs, count(*) AS n_clusters, round(sum(x0) / sum(y0), 6) AS point, round(any_value(lo_mean), 6) AS ci_low, round(any_value(hi_mean), 6) AS ci_high FROM sums JOIN ci USING (grp) GROUP BY 1""")
 def e01(spark: SparkSession, d: str) -> DataFrame:
-    out = bootstrap.mean_interval(cards(spark, d), (F.col("quality") == 1).cast("double"), "subject_id", ["stratum"], REPS)
+    out = bootstrap.mean_interval(cards(spark, d), (F.col("quality") == 1).cast("double"), "subject_id", ["stratum"], MEAN_REPS)
     return rounded(out.select("stratum", "n_obs", "n_clusters", "point", "ci_low", "ci_high"), "point", "ci_low", "ci_high")
 
 
@@ -510,11 +512,11 @@ def e02(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e03_boot_statistic_ci", f"""{WITH}, sums AS (SELECT DISTINCT subject_id AS cl FROM cards), numbered AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', cl, '{SEED}')), cl) - 1 AS pos, count(*) OVER () AS k FROM sums),
-draw AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', CAST(rep AS VARCHAR), CAST(pos AS VARCHAR), '{SEED}')), 1, 15))::BIGINT % k AS pick FROM numbered, range({REPS}) r(rep)),
+draw AS ({draw_sql('numbered', REPS, SEED)}),
 reps AS (SELECT rep, median(n_chars) AS s FROM draw JOIN numbered ON pick = pos JOIN cards ON subject_id = cl GROUP BY 1)
 SELECT (SELECT median(n_chars) FROM cards) AS point, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high, (SELECT count(*) FROM cards) AS n_obs, (SELECT count(*) FROM sums) AS n_clusters, count(s) AS n_replicates_used FROM reps""")
 def e03(spark: SparkSession, d: str) -> DataFrame:
-    out = bootstrap.statistic_interval(cards(spark, d), "n_chars", "subject_id", lambda v, w: F.percentile(v, F.lit(0.5), w), REPS)
+    out = bootstrap.quantile_interval(cards(spark, d), "n_chars", "subject_id", 0.5, REPS)
     return rounded(out, "ci_low", "ci_high")
 
 
@@ -581,22 +583,37 @@ def e09(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reweight.weighted_intervals(_weighted(spark, d)[0], "subject_id", replicates=REPS), *POP_FLOATS)
 
 
-@query("d34_sample_and_population", f"""{POP_SQL}, pop AS ({POP_ROWS}) SELECT * FROM pop UNION ALL SELECT predictor, metric, 'gallery', point, NULL, NULL, n, NULL FROM ("""
-       + " UNION ALL ".join(f"SELECT predictor, '{m}' AS metric, round(sum({x.format(e=ELIGIBLE, w='1e0')}) / nullif(sum({y.format(e=ELIGIBLE, w='1e0')}), 0), 6) AS point, CAST(sum({y.format(e=ELIGIBLE, w='1e0')}) AS BIGINT) AS n FROM lw GROUP BY 1" for m, (x, y) in IND.items()) + ")")
+# The sample side: clusters of the eligible, unweighted rows.
+SAMPLE_SQL = f"{_sums_sql('predictor', 'lw', 'WHERE ' + ELIGIBLE, own='s_')}, {draws_sql('s_sums', 'predictor', XY, own='s_')}"
+SAMPLE_ROWS = _metric_rows("predictor", "CAST(sum({y}) AS BIGINT) AS n_eligible_cards", own="s_")
+
+
+@query("d34_sample_and_population", f"""{POP_SQL}, {SAMPLE_SQL}, pop AS ({POP_ROWS}), sample AS ({SAMPLE_ROWS})
+SELECT predictor, metric, estimate_kind, point_estimate, ci_low, ci_high, n_eligible_cards, weighted_denominator FROM pop
+UNION ALL SELECT predictor, metric, 'gallery', point_estimate, ci_low, ci_high, n_eligible_cards, NULL FROM sample""")
 def d34(spark: SparkSession, d: str) -> DataFrame:
     long, _ = _weighted(spark, d)
     population = reweight.weighted_intervals(long, "subject_id", replicates=REPS)
-    sample = rating.binary_metrics(long, "subject_id", replicates=1).withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double")})
+    sample = rating.binary_metrics(long, "subject_id", replicates=REPS)
     return rounded(reweight.sample_and_population(sample, population), *POP_FLOATS)
 
 
 # --- checks and summaries ---------------------------------------------------------------------------------------------
 
-@query("d36_robustness_rows", f"""{WITH}, {VARIANT_SQL}, {CONC_SQL}, {PAIRED_SQL} SELECT 'determinism' AS analysis, printf('%.0f%% paired agreement (%d/%d)', overall_agreement_pct, n_agree, n_paired) AS result FROM wide
-UNION ALL SELECT 'prompt sensitivity', 'Concordance: ' || string_agg(printf('%s %.1f%%', variant, concordance_pct), ', ' ORDER BY variant) || '.' FROM conc2""")
+RENDER_SQL = "rpairs AS (SELECT * FROM pairs WHERE stratum <> 'en'), r" + CONC_SQL.replace("FROM pairs", "FROM rpairs").replace("conc2 AS", "rconc2 AS").replace("FROM conc)", "FROM rconc)")
+REF_SQL = "ref AS (SELECT round(100e0 * count(*) FILTER (call = 'occlusion_signature_present') / nullif(count(*), 0), 2) AS rate, count(*) AS n FROM br JOIN can USING (row_id) WHERE call IS NOT NULL)"
+
+
+@query("d36_robustness_rows", f"""{WITH}, {VARIANT_SQL}, {CONC_SQL}, {RENDER_SQL}, {REF_SQL}, {PAIRED_SQL} SELECT 'determinism' AS analysis, printf('%.0f%% paired agreement (%d/%d)', overall_agreement_pct, n_agree, n_paired) AS result FROM wide
+UNION ALL SELECT 'prompt sensitivity', 'Concordance: ' || string_agg(printf('%s %.1f%%', variant, round(concordance_pct, 1)), ', ' ORDER BY variant) || '. Positive rate: ' || string_agg(printf('%s %.0f%%', variant, round(var_positive_rate_pct)), ', ' ORDER BY variant)
+ || ' (reference ' || (SELECT printf('%.0f%% positive over %d', round(rate), n) FROM ref) || ').' FROM conc2
+UNION ALL SELECT 'render sensitivity', 'Concordance: ' || string_agg(printf('%s %.1f%%', variant, round(concordance_pct, 1)), ', ' ORDER BY variant) || '.' FROM rconc2""")
 def d36(spark: SparkSession, d: str) -> DataFrame:
     rerun = rating.tidy(rating.paired_agreement(*_reruns(spark, d)))
-    return quality.robustness_rows(rerun, rating.concordance(rating.variant_pairs(*_variants(spark, d))), "prompt sensitivity")
+    variants, bridge, canonical = _variants(spark, d)
+    pairs = rating.variant_pairs(variants, bridge, canonical)
+    rendered = pairs.where("stratum <> 'en'")  # here the cards outside one stratum stand for those rendered on the fly
+    return quality.robustness_rows(rerun, rating.concordance(pairs), rating.canonical_over_bridge(bridge, canonical), rating.concordance(rendered))
 
 
 @query("j07_drift_check", f"""{WITH}, {VARIANT_SQL}, {CONC_SQL}, exp AS (SELECT stratum AS variant, 50e0 AS e FROM (VALUES ('v_detector'), ('v_model'), ('v_gone')) t(stratum))

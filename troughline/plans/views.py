@@ -94,13 +94,14 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 PER_TICK = 14
 EVERY = 12
 REACH = 200
+BLOCK = 1 << 15
 STATS_SQL = """span AS (SELECT min(us) AS lo, max(us) AS hi, count(*) AS n FROM (SELECT epoch_us(ts) AS us FROM events)),
 grid AS (SELECT lo, hi, CAST(greatest(1, (hi - lo) * 14 // n) AS BIGINT) AS tick FROM span)"""
 TRACE_SQL = f"""{STATS_SQL},
 raw AS (SELECT event_type AS series, CAST((epoch_us(ts) - lo) // tick AS INTEGER) AS t, CAST(round(value * 100) AS BIGINT) AS cents FROM events, grid),
 trace AS (SELECT series, t, (sum(cents) * 1e0) / (count(*) * 100) AS v FROM raw GROUP BY 1, 2),
 ends AS (SELECT CAST((hi - lo) // tick AS INTEGER) AS last FROM grid),
-anchors AS (SELECT series, CAST(a AS DOUBLE) AS anchor FROM (SELECT DISTINCT series FROM raw), (SELECT unnest(range(0, last + 1, {EVERY})) AS a FROM ends)),
+anchors AS (SELECT series, CAST(a AS INTEGER) AS anchor FROM (SELECT DISTINCT series FROM raw), (SELECT unnest(range(0, last + 1, {EVERY})) AS a FROM ends)),
 windows AS (SELECT w.series, w.anchor, w.t, trace.v FROM (
    SELECT series, anchor, CAST(anchor + o AS INTEGER) AS t FROM anchors, (SELECT unnest(range(-{REACH}, {REACH})) AS o), ends
    WHERE anchor + o >= 0 AND anchor + o <= last) w LEFT JOIN trace USING (series, t))"""
@@ -113,23 +114,24 @@ def trace_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = ev.agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count(F.lit(1)).alias("n")).select(
         "lo", "hi", F.expr(f"greatest(1L, ((hi - lo) * {PER_TICK}) div n)").alias("tick")
     )
-    placed = with_scalars(ev, grid)
-    trace = placed.groupBy("series", F.expr("CAST((us - lo) div tick AS INT)").alias("t")).agg(
-        (F.sum(F.round(F.col("value") * 100).cast("bigint")) * F.lit(1.0) / (F.count(F.lit(1)) * 100)).alias("v")
+    placed = with_scalars(ev, grid).select(
+        "series", F.expr("CAST((us - lo) div tick AS INT)").alias("t"), F.round(F.col("value") * 100).cast("bigint").alias("cents"), F.lit(1).alias("one")
     )
     ends = grid.select(F.expr("CAST((hi - lo) div tick AS INT)").alias("last"))
     series = with_scalars(ev.select("series").distinct(), ends)
-    # Two short sequences instead of one as long as the series.
-    block = F.lit(EVERY * 4096)
-    blocks = series.select("series", "last", F.explode(F.sequence(F.lit(0), F.expr(f"CAST(last div {EVERY * 4096} AS INT)"))).alias("b"))
-    anchors = blocks.select("series", "last", F.explode(F.sequence(
-        F.col("b") * block, F.least(F.col("last"), (F.col("b") + 1) * block - 1), F.lit(EVERY)
-    )).alias("a"))
-    cells = anchors.select(
-        "series", F.col("a").cast("double").alias("anchor"),
-        F.explode(F.sequence(F.greatest(F.lit(0), F.col("a") - REACH), F.least(F.col("last"), F.col("a") + REACH - 1))).alias("t"),
+    # Every tick of every series, as two short sequences instead of one as long as the series.
+    blocks = series.select("series", "last", F.explode(F.sequence(F.lit(0), F.expr(f"CAST(last div {BLOCK} AS INT)"))).alias("b"))
+    empty = blocks.select("series", F.explode(F.sequence(
+        F.col("b") * BLOCK, F.least(F.col("last"), F.col("b") * BLOCK + (BLOCK - 1))
+    )).alias("t"), F.lit(None).cast("bigint").alias("cents"), F.lit(0).alias("one"))
+    # Filled and empty ticks meet in one aggregate, and only then are they repeated for the windows that hold them.
+    ticks = placed.unionByName(empty).groupBy("series", "t").agg(F.sum("cents").alias("cents"), F.sum("one").alias("n"))
+    ticks = with_scalars(ticks.select("series", "t", F.when(F.col("n") > 0, F.col("cents") * F.lit(1.0) / (F.col("n") * 100)).alias("v")), ends)
+    first = F.greatest(F.lit(0), F.ceil((F.col("t") - (REACH - 1)) / EVERY).cast("int") * EVERY)
+    until = F.least(F.floor((F.col("t") + REACH) / EVERY).cast("int"), F.floor(F.col("last") / EVERY).cast("int")) * EVERY
+    return ticks.withColumn("_first", first).withColumn("_until", until).where("_first <= _until").select(
+        "series", F.explode(F.sequence("_first", "_until", F.lit(EVERY))).alias("anchor"), "t", "v"
     )
-    return cells.join(trace, ["series", "t"], "left").select("series", "anchor", "t", "v")
 
 
 def given_files(spark: SparkSession, sf_dir: str, glob: str) -> DataFrame:

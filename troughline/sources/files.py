@@ -111,6 +111,15 @@ def plausible_times(
     return numerics.withColumn(out, t / rate).where(v.between(lo, hi) & t.isNotNull())
 
 
+def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """`path, n_bytes` of every file below a folder whose name matches; contents are not read.
+
+    Large folders are listed by tasks. A folder without such files gives an empty table.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    return listed.select("path", F.col("length").alias("n_bytes"))
+
+
 def subject_from_path(path: Column, pattern: str = r"(?:^|/)p(\d+)(?=/|$)") -> Column:
     """Digits of the deepest path part that is `p` and digits; NULL when there is none."""
     parts = F.regexp_extract_all(path, F.lit(pattern), F.lit(1))
