@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -128,15 +129,19 @@ def _pair(a_path: str, b_path: str) -> Pair:
 
 @dataclass
 class Groups:
-    """Closed groups of some tokens: their number, their text, the pair keys of their links."""
+    """Closed groups of some tokens: their number, their text token by token, the pair keys of their links."""
 
     n: int
-    body: str
+    labels: list[str]
     links: np.ndarray
 
+    @property
+    def body(self) -> str:
+        return "".join(self.labels)
+
 
-def _texts(n: int, signs: tuple[str, str]) -> np.ndarray:
-    return np.array([f"{i}{s}" for i in range(n) for s in signs], object)
+def _texts(n: int, signs: tuple[str, str]) -> list[str]:
+    return [f"{i}{s}" for i in range(n) for s in signs]
 
 
 @lru_cache(2)
@@ -148,7 +153,7 @@ def _labels(n_a: int, n_b: int) -> list[str]:
 def close(pair: Pair, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> Groups:
     """Groups of tokens that all end at or before the last common end."""
     if not len(common):
-        return Groups(0, "", np.zeros(0, np.int64))
+        return Groups(0, [], np.zeros(0, np.int64))
     group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
     last_a, last_b = ends_a == common[group_a], ends_b == common[group_b]
     per_a, per_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
@@ -157,36 +162,111 @@ def close(pair: Pair, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b:
     order[np.arange(len(a)) + before_b[group_a]] = 2 * a + last_a
     order[np.arange(len(b)) + np.cumsum(per_a)[group_b]] = 2 * len(pair.a_bytes) + 2 * b + last_b
     labels = _labels(len(pair.a_bytes), len(pair.b_bytes))
-    body = "".join(map(labels.__getitem__, order.tolist()))
     # Tokens without bytes do not exist in either vocabulary, so one token of each side ends at a common end.
-    return Groups(len(common), body, a[last_a] * len(pair.b_bytes) + b[last_b])
+    return Groups(len(common), list(map(labels.__getitem__, order.tolist())), a[last_a] * len(pair.b_bytes) + b[last_b])
 
 
 def _same_bytes(table: list[bytes], ids: list[int], target: bytes) -> bool:
     return b"".join(map(table.__getitem__, ids)) == target
 
 
+#: A lone blank between other signs than white space: neither tokenizer has a token over its front.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Parts that a worker remembers.
+REMEMBER = 300_000
+
+
+class Parts:
+    """Fragments of the parts between lone blanks, remembered, as words come back.
+
+    Both tokenizers end a token at the end of every part, so its groups are closed and a text's fragment is that of
+    its parts in a row. A part stands for itself after one blank.
+    """
+
+    def __init__(self, pair: Pair) -> None:
+        self.pair, self.number, self.bodies = pair, {}, []
+        self.sizes = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups (as many links), 1 if the bytes come back
+        self.links = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Half of the parts; those met early are the frequent ones."""
+        half = len(self.bodies) // 2
+        self.number = dict(islice(self.number.items(), half))
+        self.bodies, self.sizes = self.bodies[:half], self.sizes[:half]
+        self.links = self.links[:self.sizes[:, 2].sum()]
+
+    def learn(self, parts: set[str]) -> None:
+        if len(self.bodies) + len(parts) > REMEMBER:
+            self._forget()
+        new = [p for p in parts if p not in self.number]
+        # Parts in a row are encoded at once, but for those with blanks at an end (of a text), which would run into their
+        # neighbours, and those whose bytes change on the way, which would shift them.
+        alone = {p for p in new if not p or _SPACE in p or p[0].isspace() or p[-1].isspace()}
+        plain, odd = [p for p in new if p not in alone], list(alone)
+        if plain and not self._add(plain):
+            odd += plain
+        for p in odd:
+            if not p or not self._add([p]):
+                self._enter([p], [""], np.zeros((1, 4), np.int64), self.links[:0])
+
+    def _add(self, parts: list[str]) -> bool:
+        """Enter some parts, unless the tokens of either side do not give their bytes back."""
+        pair, whole = self.pair, " ".join(parts)
+        ids_a, ids_b, target = pair.encode_a([" " + whole])[0], pair.b.encode(whole), b" " + whole.encode()
+        if not _same_bytes(pair.a_bytes, ids_a, target) or not _same_bytes(pair.b_bytes, ids_b, target):
+            return False
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        groups = close(pair, a, b, ends_a, ends_b, common)
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        counts = [np.diff(np.searchsorted(e, ends, "right"), prepend=0) for e in (ends_a, ends_b, common)]
+        at = np.concatenate(([0], np.cumsum(counts[0] + counts[1]))).tolist()
+        bodies = ["".join(groups.labels[i:j]) for i, j in zip(at, at[1:])]
+        self._enter(parts, bodies, np.stack([*counts, np.ones(len(parts), np.int64)], axis=1), np.searchsorted(pair.keys, groups.links).astype(np.int32))
+        return True
+
+    def _enter(self, parts: list[str], bodies: list[str], sizes: np.ndarray, links: np.ndarray) -> None:
+        self.number.update(zip(parts, range(len(self.bodies), len(self.bodies) + len(parts))))
+        self.bodies += bodies
+        self.sizes, self.links = np.concatenate((self.sizes, sizes)), np.concatenate((self.links, links))
+        self.starts = np.cumsum(self.sizes[:, 2]) - self.sizes[:, 2]
+
+    def text(self, parts: list[str]) -> tuple[int, int, int, str, np.ndarray, np.ndarray] | None:
+        """Sizes, body and counted links of a text of known parts; None where its bytes do not come back."""
+        at = list(map(self.number.__getitem__, parts))
+        own = np.array(at)
+        sizes = self.sizes[own]
+        n_a, n_b, n, same = sizes.sum(axis=0).tolist()
+        if same < len(parts):
+            return None
+        each = sizes[:, 2]
+        place = np.arange(n) + np.repeat(self.starts[own] - (np.cumsum(each) - each), each)
+        pairs, times = np.unique(self.links[place], return_counts=True)
+        return n_a, n_b, n, "".join(map(self.bodies.__getitem__, at)), pairs, times.astype(np.int32)
+
+
+@lru_cache(2)
+def _parts_of(a_path: str, b_path: str) -> Parts:
+    return Parts(_pair(a_path, b_path))
+
+
 def _short(a_path: str, b_path: str):
-    """Whole texts of ordinary length, one fragment each."""
+    """Whole texts of ordinary length, each put together from the fragments of its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(a_path, b_path)
+        known = _parts_of(a_path, b_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids_a = pair.encode_a([" " + t for t in texts])
+            split = [_BETWEEN.split(t) if t else [] for t in batch.column("text").to_pylist()]
+            known.learn({p for parts in split for p in parts})
             out = []
-            for text, a, row, doc in zip(texts, ids_a, batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()):
-                target = b" " + text.encode()
-                b = pair.b.encode(text) if text else []
-                if not text or not _same_bytes(pair.a_bytes, a, target) or not _same_bytes(pair.b_bytes, b, target):
+            for parts, row, doc in zip(split, batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()):
+                made = known.text(parts) if parts else None
+                if made is None:
                     out.append((row, doc, 0, 0, 0, "", [], []))
                     continue
-                xa, xb = np.array(a, np.int64), np.array(b, np.int64)
-                ends_a, ends_b = np.cumsum(pair.a_size[xa]), np.cumsum(pair.b_size[xb])
-                groups = close(pair, xa, xb, ends_a, ends_b, np.intersect1d(ends_a, ends_b, assume_unique=True))
-                keys, times = np.unique(groups.links, return_counts=True)
-                digest = hashlib.sha256(groups.body[:-1].encode()).hexdigest()
-                out.append((row, doc, len(a), len(b), groups.n, digest, np.searchsorted(pair.keys, keys).astype(np.int32), times.astype(np.int32)))
+                n_a, n_b, n, body, pairs, times = made
+                out.append((row, doc, n_a, n_b, n, hashlib.sha256(body[:-1].encode()).hexdigest(), pairs, times))
             yield _doc_batch(out)
 
     return run
