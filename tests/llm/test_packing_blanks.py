@@ -31,3 +31,21 @@ def test_ids_are_those_of_the_whole_text(spark):
         cuts = [ids[a:a + packing.CAPACITY] for a in range(0, len(ids), packing.CAPACITY)]
         want = [(n * packing.CAPACITY, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for n, c in enumerate(cuts)]
         assert got[i] == want, repr(t[:40])
+
+
+def test_every_letter_before_every_mark():
+    import sys
+
+    from tokenizers import Tokenizer
+
+    from troughline.llm.queries import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    whole, ids_of = Tokenizer.from_file(path), packing.WordIds(path)
+    letters = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalpha()]
+    odd = [*map(chr, range(0x958, 0x960)), "\u0130", "\u09dc", "\u09dd", "\u09df", "\ufb2a", "\u0f43"]
+    words = [c + "." for c in letters] + ["ab" + c + m for c in [*odd, *letters[::97]] for m in packing.MARKS] + [c + "\u0301," for c in odd]
+    ids_of.learn(set(words))
+    want = whole.encode_batch_fast(words, add_special_tokens=False)
+    wrong = [w for w, e in zip(words, want) if np.frombuffer(ids_of.of([w]), "<u4").tolist() != e.ids]
+    assert not wrong

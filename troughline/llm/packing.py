@@ -59,6 +59,14 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.closing: dict[str, bool] = {}
+
+    def _closes(self, letter: str) -> bool:
+        """Whether a mark after this letter begins a pre-token: some letters end in a combining mark once normalised."""
+        if letter not in self.closing:
+            shown = self.tokenizer.normalizer.normalize_str(letter + ".")
+            self.closing[letter] = self.tokenizer.pre_tokenizer.pre_tokenize_str(shown)[-1][0] == "."
+        return self.closing[letter]
 
     def _encode(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
@@ -75,7 +83,7 @@ class WordIds:
         for w in words:
             if w not in known:
                 base = w.rstrip(MARKS)
-                if base.isalpha():
+                if base.isalpha() and (base.isascii() or self._closes(base[-1])):
                     split[w] = base.lower() if base.isascii() else base, w[len(base):]
                 else:
                     whole.add(w)
