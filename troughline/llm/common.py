@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from decimal import Decimal
 
 import numpy as np
 import zstandard
@@ -99,6 +100,36 @@ def even_parts(n_rows: int, per_part: int) -> int:
     return max(1, math.ceil(n_rows / per_part))
 
 
+#: Quantiles that cut ids first; between two of them ids are cut evenly.
+CUTS, FAN = 1024, 32
+
+
+def id_ranges(ids: DataFrame, column: str, n_rows: int, per_range: int) -> Column:
+    """Number, from 0 and rising with the id, of a range of about `per_range` rows; NULL for a null id.
+
+    Approximate quantiles cut the ids first, so neither their span nor single far ones matter; `CUTS` of them at most are
+    collected, and each stretch between two is cut into ranges of one width. Any two ranges are apart in ids.
+    """
+    parts = even_parts(n_rows, per_range)
+    coarse = min(CUTS, parts)
+    edges = F.percentile_approx(column, [i / coarse for i in range(1, coarse)], 8 * CUTS) if coarse > 1 else F.array().cast("array<bigint>")
+    facts = ids.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), edges.alias("edges")).first()
+    if facts.lo is None:
+        return F.lit(None).cast("bigint")
+    lows = sorted({facts.lo, *(facts.edges or [])})
+    fine = -(-parts // len(lows))
+    widths = [max(1, -(-(end - low) // fine)) for low, end in zip(lows, [*lows[1:], facts.hi + 1])]
+    wide = lambda c: c.cast("decimal(20,0)")
+    numbers = lambda xs: F.array(*[F.lit(Decimal(x)).cast("decimal(20,0)") for x in xs])
+    blocks = [lows[i:i + FAN] for i in range(0, len(lows), FAN)]
+    upto = lambda low: low <= wide(F.col(column))
+    top = F.greatest(F.lit(1), F.size(F.filter(numbers([b[0] for b in blocks]), upto)))
+    inner = F.greatest(F.lit(1), F.size(F.filter(F.element_at(F.array(*[numbers(b) for b in blocks]), top), upto)))
+    at = (top - 1) * FAN + inner
+    within = F.floor((wide(F.col(column)) - F.element_at(numbers(lows), at)) / F.element_at(numbers(widths), at))
+    return F.when(F.col(column).isNotNull(), ((at - 1) * fine + within).cast("bigint"))
+
+
 def bare(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the columns an operator works on, so that others may have any name."""
     return df.select(*columns)

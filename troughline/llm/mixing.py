@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troughline.functions.keys import join_per_group
-from troughline.llm.common import WORD, even_parts, keep, shuffle_width, text_of
+from troughline.llm.common import WORD, even_parts, id_ranges, keep, shuffle_width, text_of
 
 #: Words in a block; a source's mix misses its target by less than one block.
 BLOCK = 64
@@ -17,8 +17,8 @@ SHARD = 4096
 #: No source gives more than this many times its size.
 MOST = 3
 WEIGHTS = (5, 2, 1)
-#: Primes above any number of blocks: a step of one of them, modulo the number of blocks, visits every block once.
-STEPS = (2305843009213693951, 67280421310721, 999999999989)
+#: Rounds of a permutation, and times an index is sent round again at most: each time fewer than 1 in sqrt(n) stay outside.
+ROUNDS, WALKS = 4, 40
 #: Up to so many sources, a row for each is broadcast; beyond, rows meet it in a salted join.
 FEW_SOURCES = 50_000
 #: Slots of a source that one row unfolds to.
@@ -60,10 +60,25 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
 
 
 def permuted(slot: Column, n: Column, src: Column) -> Column:
-    """Block index of a slot: a pseudorandom permutation of 0..n-1 per source, in exact decimal arithmetic."""
-    step = F.element_at(F.array(*[F.lit(s) for s in STEPS]), (src % len(STEPS) + 1).cast("int"))
-    wide = lambda c: c.cast("decimal(18,0)")
-    return ((wide(slot) * wide(step % n) + wide((src * 7919 + 104729) % n)) % wide(n)).cast("long")
+    """Block index of a slot: a keyed pseudorandom permutation of 0..n-1, another for each source.
+
+    A Feistel network of `ROUNDS` rounds over an a x b grid with a * b >= n > (a - 1) * b or so; an index that falls on the few
+    grid places beyond n goes round again (cycle walking), which ends as every place is visited once.
+    """
+    a = F.ceil(F.sqrt(n.cast("double")))
+    b = F.ceil(n / a)
+
+    def once(x: Column) -> Column:
+        halves = [x % a, F.floor(x / a)]
+        for j in range(ROUNDS):
+            own, size = j % 2, (a, b)[j % 2]
+            halves[own] = (halves[own] + draw(size, src, F.lit(j), halves[1 - own])) % size
+        return (halves[1] * a + halves[0]).cast("long")
+
+    first = once(slot.cast("long"))
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    lost = F.expr("CAST(raise_error('an index was not walked back') AS BIGINT)")
+    return F.when(first < n, first).otherwise(F.when(again < n, again).otherwise(lost))
 
 
 def draw(shards: Column, *parts: Column) -> Column:
@@ -107,13 +122,10 @@ def placed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     sizes = keep(docs.select(
         F.col(key).alias("id"), src_key.alias("src_key"), F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size")
     ), "sizes")
-    facts = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
     per_source = keep(targets(sizes), "sources")
     n_sources = per_source.count()
-    width = max(1, -(-((facts.hi or 0) - (facts.lo or 0) + 1) // even_parts(facts.n, PER_SUM)))
-    known = _to_source(sizes, per_source, n_sources, "id").withColumn(
-        "part", F.coalesce(F.expr(f"(id - {facts.lo or 0}L) div {width}L"), F.lit(-1).cast("long"))
-    )
+    part = F.coalesce(id_ranges(sizes, "id", sizes.count(), PER_SUM), F.lit(-1).cast("long"))
+    known = _to_source(sizes, per_source, n_sources, "id").withColumn("part", part)
     sums = known.groupBy("src", "part").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("src", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("off"))

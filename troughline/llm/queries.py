@@ -50,6 +50,15 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
+def _feistel(x: str) -> str:
+    """SQL of one pass of the index permutation over the grid `ga` x `gb`."""
+    halves = [f"({x} % ga)", f"({x} // ga)"]
+    for j in range(4):
+        own, size = j % 2, ("ga", "gb")[j % 2]
+        halves[own] = f"(({halves[own]} + CAST('0x' || substr(md5(concat_ws('|', src, {j}, {halves[1 - own]})), 1, 15) AS BIGINT) % {size}) % {size})"
+    return f"({halves[1]} * ga + {halves[0]})"
+
+
 @query("op10_source_mix", f"""
 WITH sized AS (SELECT doc_id AS id, source IS NULL AS none, coalesce(source, '') AS name, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS BIGINT) AS size FROM documents),
 per AS (SELECT none, name, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
@@ -62,9 +71,11 @@ target AS (SELECT none, name, src, source_size, least(share * w, CAST(most AS DO
 words AS (SELECT *, CAST(round(target) AS BIGINT) AS words, CAST(ceil(source_size / 64) AS BIGINT) AS n FROM target WHERE source_size > 0),
 counts AS (SELECT *, words % source_size AS rest, words // source_size * n + (words % source_size + 63) // 64 AS count FROM words),
 slot AS (SELECT *, unnest(range(count)) AS slot FROM counts),
+grid AS (SELECT *, slot % n AS x, CAST(ceil(sqrt(n)) AS BIGINT) AS ga, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS gb FROM slot),
+walked AS (SELECT *, {_feistel("x")} AS y FROM grid),
 drawn AS (SELECT src, CAST('0x' || substr(md5(concat(src, '|', slot)), 1, 15) AS BIGINT) % (SELECT greatest(1, CAST(ceil(sum(count) / 4096e0) AS BIGINT)) FROM counts) AS shard,
-  CAST((CAST(slot % n AS HUGEINT) * ((CASE src % 3 WHEN 0 THEN 2305843009213693951 WHEN 1 THEN 67280421310721 ELSE 999999999989 END) % n) + (src * 7919 + 104729) % n) % n AS BIGINT) AS block,
-  CASE WHEN slot = count - 1 AND rest % 64 > 0 THEN rest % 64 ELSE 64 END AS length FROM slot),
+  CASE WHEN y < n THEN y ELSE list_reduce(list_prepend(y, range(40)), lambda z, i: CASE WHEN z < n THEN z ELSE {_feistel("z")} END) END AS block,
+  CASE WHEN slot = count - 1 AND rest % 64 > 0 THEN rest % 64 ELSE 64 END AS length FROM walked),
 used AS (SELECT src, block, sum((length = 64)::INT) AS times, coalesce(max(CASE WHEN length < 64 THEN length END), 0) AS part, min(shard) AS shard FROM drawn GROUP BY ALL),
 rows AS (SELECT row_number() OVER () AS r, id, size, src, source_size, target, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sized JOIN target USING (none, name)),

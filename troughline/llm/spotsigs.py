@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from troughline.llm.common import even_parts, keep, shuffle_width, text_of
+from troughline.llm.common import id_ranges, keep, shuffle_width, text_of
 
 # Common words of four languages that anchor a signature.
 ANCHORS = (
@@ -72,7 +72,7 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - third), F.substring(following, F.lit(1), third))
 
 
-def with_next(docs: DataFrame, key: str, text: str, width: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, key: str, text: str, per_range: int | None = None) -> DataFrame:
     """`id, t, sigs, next_t, next_sigs`: each document beside the next one in descending order of id.
 
     Ids are cut into ranges; a range is ordered in one task step, and the first document of each
@@ -80,16 +80,14 @@ def with_next(docs: DataFrame, key: str, text: str, width: int | None = None) ->
     Texts move once. Equal ids are ordered by text; a null id comes last.
     """
     ids = docs.select(F.col(key).cast("long").alias("id"))
-    facts = ids.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    lo, hi = (facts.lo, facts.hi) if facts.lo is not None else (0, 0)
-    width = width or max(1, -(-(hi - lo + 1) // even_parts(facts.n, PER_RANGE)))
-    of = F.coalesce(F.expr(f"({hi}L - id) div {width}L"), F.lit((hi - lo) // width + 1)).alias("range")
+    n_rows = ids.count()
+    of = F.coalesce(-id_ranges(ids, "id", n_rows, per_range or PER_RANGE), F.lit(1).cast("long")).alias("range")
     # One row per range that holds any document: its first id in order, and the range before it.
     heads = ids.select("id", of).groupBy("range").agg(F.max("id").alias("head"))
     before = Window.partitionBy(F.lit(0)).orderBy("range")
     cycle = heads.withColumn("host", F.coalesce(F.lag("range").over(before), F.max("range").over(Window.partitionBy(F.lit(0)))))
     rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).withColumn("range", of)
-    keyed = rows.join(F.broadcast(cycle) if facts.n <= PER_RANGE * 50_000 else cycle, "range")
+    keyed = rows.join(F.broadcast(cycle) if n_rows <= PER_RANGE * 50_000 else cycle, "range")
     places = F.when(F.col("id").eqNullSafe(F.col("head")), F.array(
         F.struct(F.col("range").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("at"), F.lit(True).alias("guest"))
     )).otherwise(F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("guest"))))
