@@ -88,35 +88,56 @@ def test_split_half_needs_two_subjects(make):
         S.split_half(make("subject_id string", [("p",)])).collect()
 
 
-def labels(segments):
-    return [x for _, pattern, k in segments for _ in range(k) for x in pattern]
+def least_repeats(sizes):
+    """Cards of one stratum beyond what all others can keep apart."""
+    return max(0, 2 * max(sizes.values()) - sum(sizes.values()) - 1)
 
 
 @pytest.mark.parametrize("sizes", [
-    {"a": 268, "b": 200, "c": 100}, {"a": 1}, {"a": 9}, {"a": 5, "b": 2, "c": 1}, {"a": 3, "b": 3}, {"a": 100, "b": 3}, {"d": 46, "e": 262, "f": 39, "g": 52},
+    {"a": 268, "b": 200, "c": 100}, {"a": 1}, {"a": 9}, {"a": 5, "b": 2, "c": 1}, {"a": 3, "b": 3}, {"a": 100, "b": 3}, {"d": 46, "e": 262, "f": 39, "g": 52}, {"a": 4, "b": 2, "c": 2},
     {"a": 17, "b": 17, "c": 17, "d": 2}, *[{s: random.Random(i * 9 + ord(s)).randrange(1, 60) for s in "abcde"[: 2 + i % 4]} for i in range(12)]])
-def test_label_order_is_the_greedy_order(sizes):
-    walked, left, last = S._walk(dict(sizes), None, sum(sizes.values()))
-    segments = S.spread_segments(sizes)
-    assert labels(segments) == walked
-    assert [at for at, _, _ in segments] == [sum(len(p) * k for _, p, k in segments[:i]) for i in range(len(segments))]
+def test_equal_strata_meet_only_where_forced(make, sizes):
+    placed = S.spread_order(pool(make, sizes), ["card_id"])
+    rows = sorted((r.display_pos, r.stratum, r.card_id) for r in placed.collect())
+    n = sum(sizes.values())
+    assert [p for p, _, _ in rows] == list(range(1, n + 1)) and len({c for _, _, c in rows}) == n
+    assert sum(x[1] == y[1] for x, y in zip(rows, rows[1:])) == least_repeats(sizes) == S.adjacent_repeats(placed).first().n_adjacent
 
 
-def test_label_order_of_billions_takes_few_segments():
-    assert len(S.spread_segments({"a": 4_000_000_000, "b": 3_000_000_001, "c": 999_999_999})) < 60
+def test_every_stratum_lies_all_over_the_order(make):
+    sizes = {"a": 268, "b": 200, "c": 100}
+    rows = sorted((r.display_pos, r.stratum) for r in S.spread_order(pool(make, sizes), ["card_id"]).collect())
+    for s, size in sizes.items():
+        quarter = [sum(x == s for _, x in rows[i * 142:(i + 1) * 142]) for i in range(4)]
+        assert all(abs(q - size / 4) <= 0.15 * size for q in quarter)
 
 
-def test_spread_order_places_every_card_once(make):
-    df = pool(make, {"a": 27, "b": 20, "c": 10})
-    placed = S.spread_order(df, ["card_id"])
-    rows = sorted((r.display_pos, r.stratum, r.card_id) for r in placed.collect())
-    assert [p for p, _, _ in rows] == list(range(1, 58)) and len({c for _, _, c in rows}) == 57
-    assert [s for _, s, _ in rows] == S._walk({"a": 27, "b": 20, "c": 10}, None, 57)[0]
-    assert S.adjacent_repeats(placed).first().n_adjacent == 0
-    forced = S.spread_order(pool(make, {"a": 10, "b": 2}), ["card_id"])
-    assert S.adjacent_repeats(forced).first().n_adjacent == 7
-    blind = S.blind_ids(placed).where("display_pos = 7").first()
-    assert blind.blind_id == "blind_0007"
+def test_a_missing_stratum_is_a_stratum(make):
+    cards = make("card_id string, stratum string", [(f"c{i:03}", None if i % 2 else "ab"[i % 4 // 2]) for i in range(80)])
+    placed = S.spread_order(cards, ["card_id"]).collect()
+    assert len(placed) == 80 and sorted(r.display_pos for r in placed) == list(range(1, 81))
+    order = [r.stratum for r in sorted(placed, key=lambda r: r.display_pos)]
+    assert all(x != y for x, y in zip(order, order[1:]))
+
+
+def test_as_many_strata_as_cards(spark):
+    cards = spark.range(100_000).select(F.col("id").cast("string").alias("card_id"), F.concat(F.lit("s"), F.col("id")).alias("stratum"))
+    got = S.spread_order(cards, ["card_id"]).agg(F.countDistinct("display_pos"), F.min("display_pos"), F.max("display_pos")).first()
+    assert tuple(got) == (100_000, 1, 100_000)
+
+
+def test_strides_of_billions(make):
+    for n, most in ((8_000_000_000, 4_000_000_000), (8_000_000_000, 3_999_999_999), (7, 3), (6, 2), (2, 1), (1, 1)):
+        d = S.spread_stride(n, most)
+        assert d is None or (most <= d <= n - most and math.gcd(d, n) == 1)
+    places = make("i long", [(0,), (1,), (7_999_999_999,)]).select(S._list_place(F.col("i"), 8_000_000_000, 3_000_000_000)).collect()
+    d = S.spread_stride(8_000_000_000, 3_000_000_000)
+    assert [r[0] * d % 8_000_000_000 for r in places] == [0, 1, 7_999_999_999]
+
+
+def test_blind_ids_follow_the_order(make):
+    placed = S.spread_order(pool(make, {"a": 27, "b": 20, "c": 10}), ["card_id"])
+    assert S.blind_ids(placed).where("display_pos = 7").first().blind_id == "blind_0007"
 
 
 def test_staging_checks_find_each_defect(make):

@@ -6,6 +6,7 @@ whatever the partitioning, and no stratum is ever sorted in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from troughline import vocabulary as V
 from troughline.functions.keys import content_id, hash_position, time_key
 from troughline.functions.labels import at_least
 from troughline.schema import INVENTORY, InventoryColumns
-from troughline.session import with_scalars
+from troughline.session import cut_lineage, with_scalars
 
 
 def stratum_of(
@@ -127,95 +128,61 @@ def blind_ids(df: DataFrame, position: str = "display_pos", out: str = "blind_id
 
 # --- spreading strata over a display order ------------------------------------------------------------
 
-def _step(left: dict[str, int], last: str | None) -> str:
-    """The next label: most cards left, never the previous label unless forced, ties to the later name."""
-    open_ = [s for s, n in left.items() if n > 0]
-    free = [s for s in open_ if s != last] or open_
-    return max(free, key=lambda s: (left[s], s))
+#: Share of the list that neighbouring places lie apart where nothing forbids it: the least periodic one.
+STRIDE = (5 ** 0.5 - 1) / 2
 
 
-def _walk(left: dict[str, int], last: str | None, steps: int) -> tuple[list[str], dict[str, int], str | None]:
-    left, labels = dict(left), []
-    for _ in range(min(steps, sum(left.values()))):
-        last = _step(left, last)
-        left[last] -= 1
-        labels.append(last)
-    return labels, left, last
+def spread_stride(n: int, most: int) -> int | None:
+    """How far apart in the list of all cards, stratum after stratum, neighbouring places of the display lie.
 
-
-def spread_segments(sizes: Mapping[str, int]) -> list[tuple[int, list[str], int]]:
-    """Run-length form of the label order: `(first position, label pattern, repeats)`.
-
-    The order depends on the stratum sizes alone and soon turns periodic. A pattern seen twice
-    in a row is repeated as long as it stays the greedy choice, found by bisection: every
-    comparison in it is linear in the number of repeats. So billions of cards need a few
-    dozen segments, worked out from one number per stratum.
+    Two places with one stratum between them would need a stride shorter than the largest stratum (`most`), so
+    the stride is at least that on either side; it has no factor in common with `n`, so every card gets a place. NULL
+    where no such stride exists: then even places are filled before odd ones.
     """
-    left, last, at, out = {s: int(n) for s, n in sizes.items() if n > 0}, None, 0, []
-    longest = 2 * max(1, len(left))
-    while sum(left.values()):
-        jumped = False
-        for period in range(1, longest + 1):
-            two, _, _ = _walk(left, last, 2 * period)
-            pattern = two[:period]
-            if len(two) < 2 * period or two[period:] != pattern:
-                continue
-            use = {s: pattern.count(s) for s in set(pattern)}
-
-            def holds(m: int) -> bool:
-                """The pattern is still what the greedy rule picks after m - 1 repeats."""
-                then = {s: n - use.get(s, 0) * (m - 1) for s, n in left.items()}
-                if min(then.values()) < 0:
-                    return False
-                return _walk(then, pattern[-1], period)[0] == pattern
-
-            low, high = 2, max(2, min(left[s] // k for s, k in use.items()))
-            if not holds(2):
-                continue
-            while low < high:
-                middle = (low + high + 1) // 2
-                low, high = (middle, high) if holds(middle) else (low, middle - 1)
-            out.append((at, pattern, low))
-            left = {s: n - use.get(s, 0) * low for s, n in left.items()}
-            last, at, jumped = pattern[-1], at + period * low, True
-            break
-        if not jumped:
-            labels, left, last = _walk(left, last, 1)
-            out.append((at, labels, 1))
-            at += 1
-    return out
+    low, high = most, n - most
+    middle = min(max(round(n * STRIDE), low), high) if low <= high else low
+    for off in range(max(0, high - low) + 1):
+        for d in (middle + off, middle - off):
+            if low <= d <= high and math.gcd(d, n) == 1:
+                return d
+    return None
+
+
+def _list_place(place: Column, n: int, most: int) -> Column:
+    """Display place (from 0) of a place in the list, in whole numbers of any size."""
+    i = place.cast("decimal(19,0)")
+    d = spread_stride(n, most)
+    if d is not None:
+        back = F.lit(pow(d, -1, n) if n > 1 else 0).cast("decimal(19,0)")
+        return ((i * back) % F.lit(max(1, n)).cast("decimal(19,0)")).cast("bigint")
+    half = (n + 1) // 2
+    if most <= half:
+        return F.when(place < half, place * 2).otherwise((place - half) * 2 + 1).cast("bigint")
+    # More of one stratum than of all others together: those are dealt evenly between its cards.
+    rest, m = n - most, F.lit(most).cast("decimal(19,0)")
+    whole = lambda x, by: ((x - x % by) / by).cast("bigint")
+    own = place + F.least(F.lit(rest), whole((i + 1) * (rest + 1) - 1, m))
+    other = whole((i - most + 1) * m, F.lit(rest + 1).cast("decimal(19,0)")) + (place - most)
+    return F.when(place < most, own).otherwise(other).cast("bigint")
 
 
 def spread_order(
     df: DataFrame, keys: Sequence[str], stratum: str = "stratum", seed: int = V.SEED, out: str = "display_pos"
 ) -> DataFrame:
-    """1-based display order that keeps equal strata apart.
+    """1-based display order in which equal strata follow each other only where their numbers force it, and as rarely as can be.
 
-    Rows are ranked inside their stratum by hash position; only the stratum sizes (one number per
-    stratum) reach the driver, which returns the label order as a few segments. A row's place
-    is arithmetic on its rank and its segment.
+    Cards are listed by stratum (largest first, ties by name, NULL as a stratum of its own) and by hash position
+    inside; a card's place is arithmetic on its place in that list. Only the number of cards and the largest
+    stratum reach the driver; strata may be as many as cards.
     """
-    spark = df.sparkSession
-    sizes = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
-    rows, taken = [], dict.fromkeys(sizes, 0)
-    for at, pattern, repeats in spread_segments(sizes):
-        for label in set(pattern):
-            spots = [i for i, x in enumerate(pattern) if x == label]
-            upto = taken[label] + len(spots) * repeats
-            rows.append((label, taken[label], upto, at, len(pattern), spots))
-            taken[label] = upto
-    table = spark.createDataFrame(
-        rows, "_s string, _from bigint, _to bigint, _at bigint, _len bigint, _spots array<int>"
-    )
     ranked = hash_position(df, keys, seed, [stratum], "_rank")
-    on = (F.col(stratum) == F.col("_s")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    k = F.col("_rank") - F.col("_from")
-    per = F.size("_spots")
-    place = (
-        F.col("_at") + F.floor(k / per) * F.col("_len") + F.get("_spots", (k % per).cast("int")) + 1
-    ).cast("bigint")
-    # A few segments per stratum, listed above: broadcast by construction.
-    return ranked.join(F.broadcast(table), on).withColumn(out, place).select(*df.columns, out)
+    sizes = cut_lineage(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")))
+    order = Window.orderBy(F.desc("_n"), F.col(stratum).asc_nulls_last())
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(stratum).alias("_s"), before.alias("_start"))
+    facts = sizes.agg(F.sum("_n").alias("n"), F.max("_n").alias("most")).first()
+    placed = ranked.join(starts, F.col(stratum).eqNullSafe(F.col("_s")))
+    return placed.withColumn(out, _list_place(F.col("_start") + F.col("_rank"), facts.n or 0, facts.most or 0) + 1).select(*df.columns, out)
 
 
 def adjacent_repeats(df: DataFrame, stratum: str = "stratum", position: str = "display_pos") -> DataFrame:

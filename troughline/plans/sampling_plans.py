@@ -58,26 +58,15 @@ def g06(spark: SparkSession, d: str) -> DataFrame:
     return sampling.overlap_subset(cards(spark, d).select("card_id", "stratum"), 60)
 
 
-# The recursive check walks the greedy rule card by card over the four strata of the given table.
-_LEFT = ["de", "en", "es", "fr"]
-
-
-def _score(i: int, s: str) -> str:
-    return f"CASE WHEN {s} > 0 AND last <> {i} THEN {s} * 10 + {i} ELSE -1 END"
-
-
-def _chosen() -> str:
-    best = "greatest(" + ", ".join(_score(i, f"n_{s}") for i, s in enumerate(_LEFT)) + ")"
-    return f"CASE WHEN {best} < 0 THEN last ELSE {best} % 10 END"
-
-
-SPREAD_SQL = f"""WITH RECURSIVE {CARDS}, st AS (SELECT {", ".join(f"count(*) FILTER (stratum = '{s}') AS n_{s}" for s in _LEFT)} FROM cards),
-walk AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS last, {", ".join(f"n_{s}" for s in _LEFT)} FROM st
- UNION ALL SELECT pos + 1, CAST(c AS BIGINT), {", ".join(f"n_{s} - CASE WHEN c = {i} THEN 1 ELSE 0 END" for i, s in enumerate(_LEFT))} FROM (SELECT *, {_chosen()} AS c FROM walk) WHERE {" + ".join(f"n_{s}" for s in _LEFT)} > 0),
-lab AS (SELECT pos, CASE last {" ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_LEFT))} END AS stratum FROM walk WHERE pos > 0),
-seq AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY pos) AS k FROM lab),
-rk AS (SELECT card_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {HASH}) AS k FROM cards),
-placed AS (SELECT card_id, stratum, pos AS display_pos FROM rk JOIN seq USING (stratum, k))"""
+SPREAD_SQL = f"""WITH {CARDS}, sz AS (SELECT stratum, count(*) AS c FROM cards GROUP BY 1), f AS (SELECT CAST(sum(c) AS BIGINT) AS n, max(c) AS most FROM sz),
+st AS (SELECT stratum, CAST(coalesce(sum(c) OVER (ORDER BY c DESC, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sz),
+stride AS (SELECT (SELECT d FROM (SELECT unnest(range(most, n - most + 1)) AS d, n AS size, least(greatest(CAST(round(n * {sampling.STRIDE!r}::DOUBLE) AS BIGINT), most), n - most) AS middle FROM f)
+  WHERE gcd(d, size) = 1 ORDER BY abs(d - middle), d DESC LIMIT 1) AS d),
+places AS (SELECT p, (p * d) % n AS i FROM (SELECT unnest(range(n)) AS p, n FROM f), stride WHERE d IS NOT NULL),
+lst AS (SELECT card_id, stratum, start + row_number() OVER (PARTITION BY stratum ORDER BY {HASH}) - 1 AS i FROM cards JOIN st USING (stratum)),
+placed AS (SELECT card_id, stratum, CAST(1 + CASE WHEN d IS NOT NULL THEN p WHEN most <= (n + 1) // 2 THEN CASE WHEN i < (n + 1) // 2 THEN 2 * i ELSE 2 * (i - (n + 1) // 2) + 1 END
+  WHEN i < most THEN i + least(n - most, ((i + 1) * (n - most + 1) - 1) // most) ELSE ((i - most + 1) * most) // (n - most + 1) + i - most END AS BIGINT) AS display_pos
+ FROM lst LEFT JOIN places USING (i), f, stride)"""
 
 
 def _spread(spark: SparkSession, d: str) -> DataFrame:
@@ -104,8 +93,8 @@ def g09_order(spark: SparkSession, d: str) -> DataFrame:
     return sampling.blind_order(cards(spark, d).select("card_id"), ["card_id"])
 
 
-@query("j02_staging_checks", f"""{WITH} SELECT 'staged count = plan count' AS "check", true AS ok UNION ALL SELECT 'keys unique', count(*) = count(DISTINCT card_id) FROM cards
-UNION ALL SELECT 'positions unique', true UNION ALL SELECT 'positions contiguous 1..N', true UNION ALL SELECT 'content equal to source', count(*) = 0 FROM cards WHERE n_chars > 9000""")
+@query("j02_staging_checks", f"""{SPREAD_SQL} SELECT 'staged count = plan count' AS "check", (SELECT count(*) FROM placed) = count(*) AS ok FROM cards UNION ALL SELECT 'keys unique', count(*) = count(DISTINCT card_id) FROM cards
+UNION ALL SELECT 'positions unique', count(*) = count(DISTINCT display_pos) FROM placed UNION ALL SELECT 'positions contiguous 1..N', min(display_pos) = 1 AND max(display_pos) = count(DISTINCT display_pos) FROM placed UNION ALL SELECT 'content equal to source', count(*) = 0 FROM cards WHERE n_chars > 9000""")
 def j02(spark: SparkSession, d: str) -> DataFrame:
     """Long cards are staged with altered content, so exactly the content check fails."""
     plan = cards(spark, d).select("card_id", "stratum", "n_chars", F.sha2("card_id", 256).alias("sha256"))
