@@ -45,6 +45,8 @@ def test_every_letter_before_every_mark():
     letters = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalpha()]
     odd = [*map(chr, range(0x958, 0x960)), "\u0130", "\u09dc", "\u09dd", "\u09df", "\ufb2a", "\u0f43"]
     words = [c + "." for c in letters] + ["ab" + c + m for c in [*odd, *letters[::97]] for m in packing.MARKS] + [c + "\u0301," for c in odd]
+    rng = np.random.default_rng(1)
+    words += ["".join(map(chr, rng.integers(97, 123, n))) for n in range(1, 30) for _ in range(20)] + ["don't", "it's.", "'s", "UPPER", "a1b2", "<|endoftext|>"]
     ids_of.learn(set(words))
     want = whole.encode_batch_fast(words, add_special_tokens=False)
     wrong = [w for w, e in zip(words, want) if np.frombuffer(ids_of.of([w]), "<u4").tolist() != e.ids]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -58,6 +59,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(plain))
         self.known: dict[str, bytes] = {}
         self.closing: dict[str, bool] = {}
 
@@ -69,10 +72,14 @@ class WordIds:
         return self.closing[letter]
 
     def _encode(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = array("I", e.ids).tobytes() if LITTLE else np.array(e.ids, "<u4").tobytes()
+        """Small ASCII letters are one pre-token that stays as it is: the merges alone give its ids."""
+        letters = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
+        others = [w for w in words if not (w.isascii() and w.isalpha() and w.islower())]
+        for tokenizer, own in ((self.merges, letters), (self.tokenizer, others)):
+            for at in range(0, len(own), 20_000):
+                part = own[at:at + 20_000]
+                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    self.known[w] = array("I", e.ids).tobytes() if LITTLE else np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBER:  # words met early are the frequent ones
