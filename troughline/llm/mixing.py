@@ -24,7 +24,7 @@ FEW_SOURCES = 50_000
 #: Slots of a source that one row unfolds to.
 RUN = 1 << 14
 #: Documents that one running sum is meant to hold.
-PER_SUM = 200_000
+PER_SUM = 4_096
 
 
 def _to_source(rows: DataFrame, per_source: DataFrame, n_sources: int, spread: str) -> DataFrame:
