@@ -111,3 +111,33 @@ def test_cards_resolve_to_files_that_exist(spark, make, tmp_path):
     found = {r.path: r.artifact and r.artifact.split("/")[-1] for r in Ln.resolve_artifacts(rows, lookup).collect()}
     assert found == {1: "B.png", 2: None, 3: None, 4: None}
     assert tuple(Ln.lookup_report(cards, listing, lookup).first()) == (4, 1, 4)
+
+
+def test_open_ends_make_a_handful_of_rows(make):
+    import datetime
+
+    at = lambda y, m=1, d=1: datetime.datetime(y, m, d)
+    rows = [("k", at(2000), at(9999, 12, 31)), ("k", at(2020), at(2020, 1, 3)), ("k", at(1, 1, 2), at(2020, 1, 2)), ("k", at(2021), at(2023))]
+    left = make("key string, a timestamp_ntz, b timestamp_ntz", rows)
+    right = left.withColumnsRenamed({"a": "c", "b": "e"})
+    levels = make("l array<int>", [([0, 1, 2, 3, 4, 5, 6, 7],)])
+    assert Ln.grid_cells(left, "a", "b", 86_400.0, levels).count() <= len(rows) * Ln.GRIDS * Ln.FEW_CELLS
+    got = sorted((r.a, r.c, r.overlap_s) for r in Ln.interval_overlap_join(left, right, "key", ("a", "b"), ("c", "e"), 86_400.0).collect())
+    want = sorted((a, c, (min(b, e) - max(a, c)).total_seconds()) for _, a, b in rows for _, c, e in rows if min(b, e) > max(a, c))
+    assert got == want
+
+
+def test_lengths_of_every_scale_meet(make):
+    rng = random.Random(5)
+    base = dt.datetime(2020, 1, 1)
+    def some(n):
+        out = []
+        for i in range(n):
+            s = base + dt.timedelta(seconds=rng.uniform(0, 4e7))
+            out.append((rng.choice("xy"), s, s + dt.timedelta(seconds=10 ** rng.uniform(-1, 9)), i))
+        return out
+    a, b = some(60), some(60)
+    left = make("key string, a timestamp_ntz, b timestamp_ntz, i int", a)
+    right = make("key string, c timestamp_ntz, e timestamp_ntz, j int", b)
+    got = sorted((r.i, r.j) for r in Ln.interval_overlap_join(left, right, "key", ("a", "b"), ("c", "e"), 60.0).collect())
+    assert got == sorted((i, j) for k, s, e, i in a for m, t, f, j in b if k == m and min(e, f) > max(s, t))

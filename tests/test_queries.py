@@ -65,3 +65,16 @@ def test_ticks_of_windows_move_once(spark, capsys, name):
 def test_extraction_is_one_grouped_step(spark, capsys):
     tree, _ = _plan(spark, capsys, "f09_extract_events")
     assert tree.count("FlatMapGroupsInPandas") == 1
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="given tables are absent")
+def test_row_ids_move_rows_once(spark, capsys):
+    tree, text = _plan(spark, capsys, "b07_row_id")
+    # The sorted rows are read from the checkpoint; what moves afterwards is a number per partition.
+    assert "rangepartitioning" not in text and "SortMergeJoin" not in tree
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="given tables are absent")
+def test_the_modal_match_plans_its_range_join_once(spark, capsys):
+    _, text = _plan(spark, capsys, "c02_modal_match")
+    assert "_cell" not in text

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troughline import vocabulary as V
-from troughline.session import cut_lineage
+from troughline.session import cut_lineage, with_scalars
 
 
 def time_key(t: Column) -> Column:
@@ -115,17 +115,16 @@ def sorted_position(df: DataFrame, keys: Sequence[str], out: str = "idx") -> Dat
     kept = cut_lineage(
         df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id())
     )
-    part = F.shiftright("_mid", 33)
+    part = F.shiftright("_mid", 33).cast("int")
     sizes = kept.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per sort partition, empty ones included, so that the partition's number is the place of its offset in one array.
+    every = sizes.agg(F.max("_p").alias("_last")).select(F.explode(F.sequence(F.lit(0), "_last")).alias("_p"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # One row per sort partition, so the lookup stays small whatever the table size.
-    return (
-        kept.withColumn("_p", part)
-        .join(offsets, "_p")
-        .withColumn(out, (F.col("_off") + F.col("_mid").bitwiseAND((1 << 33) - 1)).cast("bigint"))
-        .select(*df.columns, out)
-    )
+    offsets = every.join(sizes, "_p", "left").select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    array = offsets.agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_off"))), lambda x: x["_off"]).alias("_offs"))
+    return with_scalars(kept, array).withColumn(
+        out, (F.get("_offs", part) + F.col("_mid").bitwiseAND((1 << 33) - 1)).cast("bigint")
+    ).select(*df.columns, out)
 
 
 def sorted_row_id(

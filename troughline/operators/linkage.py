@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troughline.functions.keys import time_key
-from troughline.session import with_scalars
+from troughline.session import cut_lineage, with_scalars
 
 
 def seconds(ts: Column) -> Column:
@@ -23,8 +23,35 @@ def prune_intervals(df: DataFrame, start: str, end: str, keys: Sequence[str] = (
     return df.where(keep)
 
 
-def _bucket(ts: Column, width_s: float) -> Column:
-    return F.floor(seconds(ts) / F.lit(float(width_s)))
+#: Grids of an overlap join, each this many times as wide as the one before; an interval lies on the first where it touches few cells.
+GRIDS, WIDER, FEW_CELLS = 8, 16, 4
+
+
+def _bucket(ts: Column, width_s: Column) -> Column:
+    return F.floor(seconds(ts) / width_s)
+
+
+def _width(level: Column, bucket_s: float) -> Column:
+    return F.lit(float(bucket_s)) * F.pow(F.lit(float(WIDER)), level)
+
+
+def _level(start: str, end: str, bucket_s: float) -> Column:
+    """The finest grid on which the interval touches at most `FEW_CELLS` cells."""
+    cells = lambda g: _bucket(F.col(end), _width(F.lit(g), bucket_s)) - _bucket(F.col(start), _width(F.lit(g), bucket_s)) + 1
+    return F.coalesce(*[F.when(cells(g) <= FEW_CELLS, F.lit(g)) for g in range(GRIDS)], F.lit(GRIDS - 1))
+
+
+def grid_cells(df: DataFrame, start: str, end: str, bucket_s: float, other_levels: DataFrame) -> DataFrame:
+    """Rows with their own grid (`_own`), once for each cell (`_level`, `_cell`) in which they may meet the other side.
+
+    `other_levels` is one row with the list of grids on which intervals of the other side lie. A row shows itself on its own
+    grid and on those wider ones, so even an open end makes a handful of rows.
+    """
+    placed = with_scalars(df.withColumn("_own", _level(start, end, bucket_s)), other_levels.toDF("_used"))
+    levels = F.filter(F.sequence("_own", F.lit(GRIDS - 1)), lambda g: (g == F.col("_own")) | F.array_contains("_used", g))
+    shown = placed.withColumn("_level", F.explode(levels)).drop("_used")
+    width = _width(F.col("_level"), bucket_s)
+    return shown.withColumn("_cell", F.explode(F.sequence(_bucket(F.col(start), width), _bucket(F.col(end), width))))
 
 
 def interval_overlap_join(
@@ -38,26 +65,24 @@ def interval_overlap_join(
 ) -> DataFrame:
     """Pairs of the same key whose intervals share more than zero seconds, with that overlap.
 
-    Both sides are cut along a time grid and joined on (key, cell), so the rows of one hot key
-    spread over the grid instead of meeting in one task. A pair that shares several cells is
+    Both sides are cut along time grids and joined on (key, grid, cell), so the rows of one hot key
+    spread over the cells instead of meeting in one task. Intervals lie on a grid that suits their length and meet
+    on the wider of their two grids. A pair that shares several cells is
     kept only in the cell where the later of the two starts falls. Set the cell width to a
-    typical interval length: intervals then cover one or two cells.
+    typical interval length: most intervals then cover one or two cells of the finest grid.
     """
     (ls, le), (rs, re) = left_bounds, right_bounds
     left = prune_intervals(left, ls, le, [key])
     right = prune_intervals(right, rs, re, [key])
-
-    def cells(df: DataFrame, s: str, e: str) -> DataFrame:
-        return df.withColumn(
-            "_cell", F.explode(F.sequence(_bucket(F.col(s), bucket_s), _bucket(F.col(e), bucket_s)))
-        )
-
-    pairs = cells(left, ls, le).join(cells(right, rs, re), [key, "_cell"])
+    used = lambda df, s, e: df.agg(F.collect_set(_level(s, e, bucket_s)))
+    a = grid_cells(left, ls, le, bucket_s, used(right, rs, re)).withColumnRenamed("_own", "_own_a")
+    b = grid_cells(right, rs, re, bucket_s, used(left, ls, le)).withColumnRenamed("_own", "_own_b")
     start, end = F.greatest(ls, rs), F.least(le, re)
+    pairs = a.join(b, [key, "_level", "_cell"]).where(F.col("_level") == F.greatest("_own_a", "_own_b"))
     return (
-        pairs.where((end > start) & (F.col("_cell") == _bucket(start, bucket_s)))
+        pairs.where((end > start) & (F.col("_cell") == _bucket(start, _width(F.col("_level"), bucket_s))))
         .withColumn(out, seconds(end) - seconds(start))
-        .drop("_cell")
+        .drop("_cell", "_level", "_own_a", "_own_b")
     )
 
 
@@ -68,8 +93,10 @@ def flag_modal(
     """Flag the row with the largest overlap of each group; ties go to the first in `order`.
 
     The winner is a mergeable `min` of an ordering struct, so a hot group shrinks to one row
-    per task before it is shuffled; the flag comes back by an equi-join on the group.
+    per task before it is shuffled; the flag comes back by an equi-join on the group. The rows are written once, so
+    that what made them is not made again for the second use.
     """
+    df = cut_lineage(df)
     rank = F.struct((-F.col(overlap)).alias("o"), *[F.col(c) for c in order])
     best = df.groupBy(group).agg(F.min(rank).alias("_best"))
     return df.join(best, group).withColumn(out, F.col("_best") == rank).drop("_best")
