@@ -69,9 +69,9 @@ def test_headline_and_reasons(inv):
 
 def test_picks(inv):
     assert Fn.most_represented(inv, "never").count() == 0
-    with pytest.raises(ValueError, match="no inventory row"):
-        Fn.pick_event(inv, "never")
-    assert Fn.pick_event(inv, V.NO_DIP, sort_by="pre_window_quality", descending=True).first().nbp_timestamp_s == 15.0
+    with pytest.raises(Exception, match="no such row"):
+        Fn.first_row(inv.where("reject_reason = 'never'"), [], "such row").collect()
+    assert Fn.first_row(inv.where(F.col("reject_reason") == V.NO_DIP), [-F.col("pre_window_quality")]).first().nbp_timestamp_s == 15.0
     hit = Fn.preferred_event(inv, (("p3", 19.4),), ("p2",)).first()
     assert (hit.priority, hit.nbp_timestamp_s) == (0, 19.0)
     assert Fn.preferred_event(inv, (("p3", 500.0),), ("p0",)).first().nbp_timestamp_s == 20.0

@@ -205,3 +205,10 @@ def robustness_rows(rerun_metrics: DataFrame, reworded: DataFrame, reference: Da
         F.lit("render sensitivity").alias("analysis"), F.format_string("Concordance: %s.", "w").alias("result")
     )
     return rerun.unionByName(by_wording).unionByName(by_render)
+
+
+def never_empty(rows: DataFrame, what: str) -> DataFrame:
+    """The rows; where there are none the query fails when it runs. The check is a count beside the rows, without a job while the query is built."""
+    nothing = rows.agg(F.count(F.lit(1)).alias("n")).where(F.when(F.col("n") == 0, F.raise_error(F.lit(f"no {what}")).cast("boolean")).otherwise(False))
+    empty = nothing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    return rows.unionByName(empty)

@@ -260,9 +260,8 @@ def c14(spark: SparkSession, d: str) -> DataFrame:
     cards = manifest_of(spark, d).where(F.col("stratum") == V.STRATUM_POSITIVE).select("card_id", "subject_id", "record_id", "t_nbp")
     events = inventory(spark, d).where("is_occlusion_signature").withColumnRenamed("nadir_depth_frac", "depth")
     found = bridge(cards, events, row_id="depth").where(F.col("depth").isNotNull())
-    if found.isEmpty():
-        raise RuntimeError("no signature row matches a card")
-    return found.select("card_id", "record_id", F.col("depth").alias("nadir_depth_frac"))
+    found = found.select("card_id", "record_id", F.col("depth").alias("nadir_depth_frac"))
+    return quality.never_empty(found, "signature row that matches a card")
 
 
 # A folder of cards named by triple: long runs have theirs, short ones are off by a millisecond, others are absent; some files belong to no card.
@@ -531,7 +530,8 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
 @query("f15_pick_event", f"""{WITH} SELECT record_id, nbp_timestamp_s, pre_window_quality FROM inv WHERE reject_reason = 'no_phase2' AND pre_window_valid
 ORDER BY pre_window_quality DESC, subject_id, record_id, nbp_timestamp_s LIMIT 1""")
 def f15(spark: SparkSession, d: str) -> DataFrame:
-    found = funnel.pick_event(inventory(spark, d), "no_phase2", require_valid=True, sort_by="pre_window_quality", descending=True)
+    usable = inventory(spark, d).where((F.col("reject_reason") == V.NO_DIP) & F.col("pre_window_valid"))
+    found = funnel.first_row(usable, [-F.col("pre_window_quality")], "usable row without a dip")
     return found.select("record_id", "nbp_timestamp_s", "pre_window_quality")
 
 
