@@ -45,3 +45,15 @@ def test_sorted_row_ids_follow_the_sort_whatever_the_input_order(make):
     random.Random(1).shuffle(rows)
     df = make("subject_id string, record_id string, nbp_timestamp_s double", rows).repartition(5)
     assert {(r.subject_id, r.record_id, r.nbp_timestamp_s): r.row_id for r in K.sorted_row_id(df).collect()} == want
+
+
+def test_groups_get_the_salts_their_rows_need(make, monkeypatch):
+    from troughline.functions import keys as K
+
+    monkeypatch.setattr(K, "ROWS_PER_SALT", 10)
+    rows = make("g string, v int", [("hot", i) for i in range(95)] + [("cold", i) for i in range(7)] + [(None, 1), ("lone", 5)])
+    sizes = rows.groupBy("g").count()
+    out = K.join_per_group(rows, sizes, ["g"], F.col("v"), size="count").collect()
+    assert sorted((r.g, r.v, r["count"]) for r in out) == sorted([("hot", i, 95) for i in range(95)] + [("cold", i, 7) for i in range(7)] + [("lone", 5, 1)])
+    salts = {g: {r["_salt"] for r in out if r.g == g} for g in ("hot", "cold", "lone")}
+    assert salts["hot"] == set(range(10)) and salts["cold"] == salts["lone"] == {0}

@@ -92,18 +92,30 @@ def hash_position(
     return placed.select(*df.columns, out, *([size] if size else []))
 
 
-SALTS = 32
+#: Salts of every group where group sizes are not known; rows of a salt where they are.
+SALTS, ROWS_PER_SALT = 32, 1 << 20
 
 
-def join_per_group(rows: DataFrame, per_group: DataFrame, by: Sequence[str], spread_on: Column, salt: str = "_salt") -> DataFrame:
+def join_per_group(
+    rows: DataFrame, per_group: DataFrame, by: Sequence[str], spread_on: Column, salt: str = "_salt", size: str | None = None
+) -> DataFrame:
     """Join rows to a table of one row per group so that no group lands in one task.
 
     Rows get a salt from `spread_on`, the small side is repeated once per salt, and both meet on
-    (group, salt). Keep the salt in the next aggregate to keep a hot group spread there too.
+    (group, salt). Keep the salt in the next aggregate to keep a hot group spread there too. `size` names the column
+    of `per_group` that counts a group's rows: then a group has as many salts as its rows need, most have one.
     """
-    salted = rows.withColumn(salt, F.pmod(F.xxhash64(spread_on), F.lit(SALTS)).cast("int"))
-    copies = per_group.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*by, salt])
+    if size is None:
+        salted = rows.withColumn(salt, F.pmod(F.xxhash64(spread_on), F.lit(SALTS)).cast("int"))
+        copies = per_group.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return salted.join(copies, [*by, salt])
+    salts = F.greatest(F.lit(1), F.ceil(F.col(size) / ROWS_PER_SALT)).cast("int")
+    # At most one hot group for every `ROWS_PER_SALT` rows of the whole table, so the list of them fits every task.
+    hot = per_group.where(F.col(size) > ROWS_PER_SALT).select(*by, salts.alias("_salts"))
+    placed = rows.join(F.broadcast(hot), [*by], "left")
+    placed = placed.withColumn(salt, F.pmod(F.xxhash64(spread_on), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = per_group.withColumn(salt, F.explode(F.sequence(F.lit(0), salts - 1)))
+    return placed.join(copies, [*by, salt])
 
 
 def sorted_position(df: DataFrame, keys: Sequence[str], out: str = "idx") -> DataFrame:

@@ -58,7 +58,7 @@ def exact_quantiles(
         if sketch.count() * len(probs) <= _FEW:
             joined = rows.join(F.broadcast(sketch), by)
         else:
-            joined = join_per_group(rows, sketch, by, F.col("_v")).drop("_salt")
+            joined = join_per_group(rows, sketch, by, F.col("_v"), size="n").drop("_salt")
     else:
         joined = with_scalars(rows, sketch)
     # Rows meet their bracket where they are: what lies below it is one count per task, what lies above is gone.

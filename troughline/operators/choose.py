@@ -11,7 +11,7 @@ from troughline import vocabulary as V
 from troughline.functions.keys import hash_order, join_per_group
 from troughline.functions.labels import measured
 from troughline.functions.quantiles import exact_quantiles
-from troughline.session import with_scalars
+from troughline.session import cut_lineage, with_scalars
 
 
 def _finite(c: str | Column) -> Column:
@@ -70,8 +70,8 @@ def top_per_category(
         whole = whole & F.col(f"_z_{f}").isNotNull()
     centre = z.groupBy(category).agg(*[
         F.coalesce(F.avg(F.when(whole, F.col(f"_z_{f}"))), F.lit(0.0)).alias(f"_c_{f}") for f in features
-    ])
-    joined = join_per_group(z, centre, [category], F.col(key))
+    ], F.count(F.lit(1)).alias("_rows"))
+    joined = join_per_group(z, cut_lineage(centre), [category], F.col(key), size="_rows")
     total = F.lit(0.0)
     for f in features:
         gap = F.col(f"_z_{f}") - F.col(f"_c_{f}")
@@ -89,10 +89,11 @@ def representative_per_group(
     df: DataFrame, group: str, value: str, keys: Sequence[str], carry: Sequence[str] = (), seed: int = V.SEED
 ) -> DataFrame:
     """Per group its row nearest the group median, with the group size: `min` of an ordering struct, no sort."""
-    medians = exact_quantiles(df, value, [0.5], [group]).select(group, F.col("q0").alias("median_value"))
+    medians = cut_lineage(exact_quantiles(df, value, [0.5], [group]).select(group, F.col("q0").alias("median_value"), F.col("n").alias("_rows")))
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
     names = list(dict.fromkeys([*keys, value, *carry]))
-    near = join_per_group(df, medians, [group], F.struct(*keys)).where(F.col(value).isNotNull())
+    told = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    near = join_per_group(told, medians, [group], F.struct(*keys), size="_rows")
     order = F.struct(
         F.round(F.abs(F.col(value) - F.col("median_value")), 9).alias("gap"), hash_order([*keys], seed).alias("tie"),
         *[F.col(c) for c in names],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from troughline import vocabulary as V
 from troughline.functions.labels import at_least, call_label, evaluable, measured, reason_in
 from troughline.schema import INVENTORY, InventoryColumns, require_columns
-from troughline.session import with_scalars
+from troughline.session import cut_lineage, with_scalars
 
 
 def signature_at(
@@ -285,7 +285,8 @@ def flow_counts(
 ) -> DataFrame:
     """Every count of the study flow, pools, sampled cards, weights and calls, in one row."""
     n = lambda cond, name: F.count_if(cond).alias(name)
-    base = inv.groupBy(cols.subject).agg(
+    # The inventory is read once, for a row per subject and record; everything else is counted from those.
+    base = cut_lineage(inv.groupBy(cols.subject, cols.record).agg(
         F.count(F.lit(1)).alias("n_candidates"),
         n(_is(V.NO_SIGNAL, cols), "n_no_pleth"),
         n(_is(V.SIGNAL_MOSTLY_MISSING, cols), "n_pleth_nan"),
@@ -294,10 +295,11 @@ def flow_counts(
         n(_is(V.SHORT_RUN, cols) | _is(V.NOT_RECOVERED, cols), "n_near_miss_pool"),
         n(_is(V.NOT_ALIGNED, cols), "n_uncovered_no_align"),
         n(_is(V.BASELINE_IMPLAUSIBLE, cols), "n_uncovered_implausible"),
-    )
-    sums = [c for c in base.columns if c != cols.subject]
-    totals = base.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.count(F.lit(1)).alias("n_subjects"))
-    records = inv.select(cols.record).distinct().agg(F.count(F.lit(1)).alias("n_records"))
+    ))
+    sums = [c for c in base.columns if c not in (cols.subject, cols.record)]
+    totals = base.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+    number = lambda c, name: base.select(c).distinct().agg(F.count(F.lit(1)).alias(name))
+    totals = with_scalars(with_scalars(totals, number(cols.subject, "n_subjects")), number(cols.record, "n_records"))
     cards = manifest.groupBy(cols.subject).agg(
         F.count(F.lit(1)).alias("n_gallery"),
         n(F.col(stratum) == V.STRATUM_POSITIVE, "n_sampled_positive"),
@@ -313,7 +315,7 @@ def flow_counts(
         n(F.col(call) == V.ABSENT, "n_reader_absent"),
         n(F.col(call) == V.INDETERMINATE, "n_reader_indeterminate"),
     )
-    row = with_scalars(with_scalars(with_scalars(totals, records), card_totals), calls)
+    row = with_scalars(with_scalars(totals, card_totals), calls)
     c = F.col
     row = (
         row.withColumn("n_evaluable", c("n_candidates") - c("n_no_pleth") - c("n_pleth_nan"))
