@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import sys
 import zlib
@@ -55,13 +54,12 @@ class WordIds:
     """Token ids of words as little-endian bytes. The tokenizer drops white space and never merges across it,
     so a text's ids are its words' ids. New words are encoded together and remembered up to a bound."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
-        self.merges = Tokenizer.from_str(json.dumps(plain))
-        self.known: dict[str, bytes] = {}
+        self.merges = Tokenizer(self.tokenizer.model)  # the same merges, without normaliser or pre-tokens
+        self.remember, self.known = remember, {}
         self.closing: dict[str, bool] = {}
 
     def _closes(self, letter: str) -> bool:
@@ -82,8 +80,8 @@ class WordIds:
                     self.known[w] = array("I", e.ids).tobytes() if LITTLE else np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBER:  # words met early are the frequent ones
-            self.known = dict(islice(self.known.items(), REMEMBER // 2))
+        if len(self.known) > self.remember:  # words met early are the frequent ones
+            self.known = dict(islice(self.known.items(), self.remember // 2))
         known, split = self.known, {}
         # Letters and marks after them are pre-tokens of their own, so "Word," is "word" and ",".
         whole = set()
@@ -104,22 +102,22 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remember: int) -> WordIds:
     """One tokenizer and its remembered words per Python worker, which serves task after task."""
-    return WordIds(path)
+    return WordIds(path, remember)
 
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, remember: int = REMEMBER) -> DataFrame:
     """`id, piece, start, length, ids_crc32`: token ids of whole texts and one end id, cut only where longer than `capacity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already keeps every core busy
-        ids_of, end = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
+        ids_of, end = word_ids(tokenizer, remember), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             split = [(i, token_words(t)) for i, t in rows_of([batch], "id", "t")]
@@ -320,15 +318,17 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFr
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group: int = GROUP
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group: int = GROUP,
+    remember: int = REMEMBER,
 ) -> DataFrame:
     """One row per piece: `key, piece, start, length, ids_crc32, sequence_id, offset`.
 
     A document's ids are those of its text (null: none) and one end id, so an empty text is a piece
     of one token. Longer ones than `capacity` are cut into full pieces and a rest. Rows that repeat
     are packed each. An empty table gives no rows; other columns are ignored. `tokenizer` is a
-    tokenizers file whose pre-tokenizer drops white space.
+    tokenizers file whose pre-tokenizer drops white space. A worker remembers the ids of `remember` words,
+    about 200 bytes each: fewer need less memory and encode more words again.
     """
-    return pack(pieces(docs, tokenizer, key, text, capacity), capacity, group).withColumnRenamed("id", key)
+    return pack(pieces(docs, tokenizer, key, text, capacity, remember), capacity, group).withColumnRenamed("id", key)
 
 
