@@ -16,7 +16,10 @@ from troughline.llm.words import Words, cut, mix
 
 SIMILARITY = Fraction(4, 5)
 #: Word hashes fall into this many cells, whose frequencies order tokens; any order gives the same result.
-CELLS = 1 << 18
+CELL = 18
+CELLS = 1 << CELL
+#: Bits of a word's hash that name a line's set.
+NAME = 52
 #: A token is 12 bits of rarity class and 34 bits of hash, so that a line's number fits beside it in 64 bits.
 CLASS, HASH = 12, 34
 TOKEN = CLASS + HASH
@@ -27,8 +30,8 @@ FIRST = 3
 #: Postings that one task joins at a time, lines that one mapping step turns into postings.
 POSTINGS, LINES = 400_000, 100_000
 BATCH = 256
-#: Lists of lines of up to so many documents are broadcast.
-FEW = 400_000
+#: Lists of lines are broadcast up to so many bytes.
+FEW = 32 << 20
 
 
 def rarity_class(count: np.ndarray | float) -> np.ndarray:
@@ -49,40 +52,51 @@ def _batched(docs: DataFrame, fn, schema: str, label: str) -> DataFrame:
 # --- tokens -------------------------------------------------------------------------------------------------------
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Rarity class of each cell of word hashes, from the frequency of its words over all lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for words in cut(batch.column(0)):
-                cells += np.bincount((words.hashes() >> np.uint64(46)).astype(np.int64), minlength=CELLS)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
-
-    total = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+def _classes(counted: DataFrame) -> np.ndarray:
+    """Rarity class of each cell of word hashes, from `cell, n`: a frequency over all lines in each row."""
+    total = counted.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CELLS, np.uint64)
     out[total["cell"].to_numpy()] = rarity_class(total["n"].to_numpy())
     return out
 
 
-def token_sets(words: Words, classes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Distinct tokens of each line: document index, line number, set size, and all tokens, rarest first in each line."""
+def _line_starts(words: Words) -> np.ndarray:
+    """Where a line's words begin."""
     new = np.ones(len(words.start), bool)
     new[1:] = (words.doc[1:] != words.doc[:-1]) | (words.line[1:] != words.line[:-1])
-    firsts = np.flatnonzero(new)
-    span = 1 << (64 - TOKEN)
+    return np.flatnonzero(new)
+
+
+def _sets(words: Words, values: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Distinct values, below 2^width, of each line: document index, line number, set size, and all values, ascending in each line."""
+    firsts = _line_starts(words)
+    span = 1 << (64 - width)
     for at in range(0, len(firsts), span):
-        lo, hi = firsts[at], firsts[at + span] if at + span < len(firsts) else len(new)
-        part = words.where(slice(lo, hi))
-        h = part.hashes()
-        token = classes[(h >> np.uint64(46)).astype(np.int64)] << np.uint64(HASH) | h & np.uint64((1 << HASH) - 1)
-        owner = (np.cumsum(new[lo:hi]) - 1).astype(np.uint64)
-        both = np.sort(owner << np.uint64(TOKEN) | token)
-        both = both[np.r_[True, both[1:] != both[:-1]]]
-        n = np.bincount((both >> np.uint64(TOKEN)).astype(np.int64))
+        lo, hi = firsts[at], firsts[at + span] if at + span < len(firsts) else len(values)
         own = firsts[at:at + span]
-        yield words.doc[own], words.line[own], n, both & np.uint64((1 << TOKEN) - 1)
+        owner = np.repeat(np.arange(len(own), dtype=np.uint64), np.diff(np.r_[own, hi]))
+        both = np.sort(owner << np.uint64(width) | values[lo:hi])
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        n = np.bincount((both >> np.uint64(width)).astype(np.int64))
+        yield words.doc[own], words.line[own], n, both & np.uint64((1 << width) - 1)
+
+
+def token_sets(words: Words, classes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Distinct tokens of each line: document index, line number, set size, and all tokens, rarest first in each line."""
+    h = words.hashes()
+    token = classes[(h >> np.uint64(64 - CELL)).astype(np.int64)] << np.uint64(HASH) | h & np.uint64((1 << HASH) - 1)
+    yield from _sets(words, token, TOKEN)
+
+
+def whole_sets(words: Words) -> tuple[np.ndarray, ...]:
+    """Distinct words of each line by their whole 64-bit hashes: document index, line number, set size, all hashes."""
+    h, firsts = words.hashes(), _line_starts(words)
+    owner = np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, len(h)]))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    kept = np.ones(len(h), bool)
+    kept[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return words.doc[firsts], words.line[firsts], np.bincount(owner[kept], minlength=len(firsts)), h[kept]
 
 
 def _listed(words: Words, lists: list[list[int] | None], inside: bool) -> Words:
@@ -103,20 +117,23 @@ def _prefix(n: np.ndarray, s: Fraction) -> np.ndarray:
 _LINES = "s1 long, s2 long, id long, line int"
 
 
-def _named_lines(classes):
-    """Each line with words: two sums over its tokens that name the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in cut(batch.column(1)):
-                for doc, line, n, tokens in token_sets(words, classes.value):
-                    start = np.r_[0, np.cumsum(n)[:-1]]
-                    s1, s2 = np.add.reduceat(mix(tokens, 1), start), np.add.reduceat(mix(tokens, 2), start)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)),
-                    ], names=["s1", "s2", "id", "line"])
-
-    return run
+def _named_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line with words: two sums over its distinct words that name the set; then, as lines without a number,
+    how often the words of each cell occur: the cell in `id`, the frequency in `s1`."""
+    cells = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for words in cut(batch.column(1)):
+            h = words.hashes()
+            cells += np.bincount((h >> np.uint64(64 - CELL)).astype(np.int64), minlength=CELLS)
+            for doc, line, n, values in _sets(words, h & np.uint64((1 << NAME) - 1), NAME):
+                start = np.r_[0, np.cumsum(n)[:-1]]
+                s1, s2 = np.add.reduceat(mix(values, 1), start), np.add.reduceat(mix(values, 2), start)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)),
+                ], names=["s1", "s2", "id", "line"])
+    at = np.flatnonzero(cells)
+    none = pa.nulls(len(at), pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(cells[at]), pa.array(np.zeros(len(at), np.int64)), pa.array(at), none], names=["s1", "s2", "id", "line"])
 
 
 # --- candidates ---------------------------------------------------------------------------------------------------
@@ -138,11 +155,18 @@ def parity(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """
     start = np.r_[0, np.cumsum(n)[:-1]]
     place = mix(tokens, 0)
-    bit, word = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(6)) & np.uint64(3)
-    q = [np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), start) for i in range(4)]
-    none = np.uint64(0)
-    half = np.where(n >= WIDE, q[0] ^ q[2], none)
-    return q[0] ^ q[1] ^ q[2] ^ q[3], half, np.where(n >= WIDER, q[0], none), np.where(n >= WIDER, q[1], none)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    bits = np.bitwise_xor.reduceat(bit, start)
+    half, low, high = (np.zeros(len(n), np.uint64) for _ in range(3))
+    wide = np.flatnonzero(n >= WIDE)
+    if len(wide):
+        own = np.repeat(n >= WIDE, n)
+        bit, word, begin = bit[own], (place[own] >> np.uint64(6)) & np.uint64(3), np.r_[0, np.cumsum(n[wide])[:-1]]
+        q = [np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), begin) for i in range(3)]
+        half[wide] = q[0] ^ q[2]
+        wider = n[wide] >= WIDER
+        low[wide[wider]], high[wide[wider]] = q[0][wider], q[1][wider]
+    return bits, half, low, high
 
 
 def apart(a: dict, b: dict) -> np.ndarray:
@@ -163,26 +187,30 @@ def _postings(lines: list[tuple], parts: int, only: np.ndarray | None, s: Fracti
     """
     ids, line, n, tokens, asked = (np.concatenate(c) for c in zip(*lines))
     start = np.r_[0, np.cumsum(n)]
-    maps = parity(tokens, n)
     # A set that is too small to be similar to one with a token more matches only its equals.
     size = np.where(n * s.denominator >= (n + 1) * s.numerator, _prefix(n, s), 0)
     owner = np.repeat(np.arange(len(n)), size)
     pos = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
     own = tokens[start[owner] + pos]
     hot = (own >> np.uint64(HASH)) > rarity_class(HOT)
-    plain = np.flatnonzero(~hot)
-    key, at, where = [mix(own[plain], 0)], [owner[plain]], [pos[plain]]
-    for i in np.flatnonzero(hot).tolist():
-        o = owner[i]
-        reach = tokens[start[o]:min(start[o] + size[o] + 1, start[o + 1])]
-        other = reach[reach != own[i]]
-        key.append(mix(np.minimum(other, own[i]), 1) ^ mix(np.maximum(other, own[i]), 2))
-        at.append(np.full(len(other), o))
-        where.append(np.zeros(len(other), np.int64))
-    key, at, pos = np.concatenate(key), np.concatenate(at), np.concatenate(where)
+    # A hot token meets every other one of a prefix that is one longer.
+    reach = np.minimum(size + 1, n)[owner[hot]]
+    first = np.repeat(own[hot], reach)
+    at = np.repeat(owner[hot], reach)
+    second = tokens[start[at] + np.arange(len(at)) - np.repeat(np.cumsum(reach) - reach, reach)]
+    apart_ = first != second
+    first, second, at = first[apart_], second[apart_], at[apart_]
+    key = np.concatenate([mix(own[~hot], 0), mix(np.minimum(first, second), 1) ^ mix(np.maximum(first, second), 2)])
+    at, pos = np.concatenate([owner[~hot], at]), np.concatenate([pos[~hot], np.zeros(len(at), np.int64)])
     if only is not None:
         known = only[(key >> np.uint64(44)).astype(np.int64)]
         key, at, pos = key[known], at[known], pos[known]
+    maps = [np.zeros(len(n), np.uint64) for _ in range(4)]
+    if len(at):
+        met = np.zeros(len(n), bool)
+        met[at] = True
+        for whole, some in zip(maps, parity(tokens[np.repeat(met, n)], n[met])):
+            whole[met] = some
     part = (key % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((key, part))
     edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -289,14 +317,19 @@ def _candidates(first_lines: DataFrame, classes, n_lines: int, s: Fraction, firs
     )
 
 
+def _short(listed: DataFrame, name: str) -> bool:
+    """Whether the lists are small enough to broadcast: 4 bytes a line, 48 a document."""
+    return (listed.agg(F.sum(F.lit(48) + 4 * F.size(name))).first()[0] or 0) <= FEW
+
+
 def _with_lists(docs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
-    """Documents with their list of `lines` (null without one); lists are broadcast only if few documents have one."""
+    """Documents with their list of `lines` (null without one); lists are broadcast only if small."""
     listed = keep(lines.groupBy("id").agg(F.collect_list("line").alias(name)), "lists")
-    few = listed.count() <= FEW
+    few = _short(listed, name)
     return docs.join(F.broadcast(listed) if few else listed, "id", "left")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes, s: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, s: Fraction) -> DataFrame:
     """`id, line` of later lines with an earlier one that is similar enough, by their whole token sets."""
     pairs = pairs.select("id", "line", "to_id", "to_line").distinct()
     ends = pairs.select("id", "line").union(pairs.select("to_id", "to_line")).distinct()
@@ -305,7 +338,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes, s: Fraction) -> DataFr
         for batch in batches:
             lines = batch.column(2).to_pylist()
             for words in cut(batch.column(1)):
-                for doc, line, n, tokens in token_sets(_listed(words, lines, True), classes.value):
+                some = _listed(words, lines, True)
+                if len(some.start):
+                    doc, line, n, tokens = whole_sets(some)
                     sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(tokens.view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)), sets], names=["id", "line", "tokens"]
@@ -327,15 +362,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes, s: Fraction) -> DataFr
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: Fraction = SIMILARITY) -> DataFrame:
     """`id, line` of the lines to remove: an earlier line, by (id, line number), has Jaccard similarity of at least `similarity`.
 
-    Lines are sets of lower-cased (A-Z) words, told apart by 46 bits of hash and frequency. Equal sets are one line of the join, named by the
-    earliest, so copies never form pairs. Rows that repeat an id count as one document. A null id
+    Lines are sets of lower-cased (A-Z) words. Candidates tell words apart by 46 bits of hash and frequency, the similarity of
+    a pair by 64 bits of hash, equal sets by sums of 52 bits of their words' hashes. Equal sets are one line of the join, named by the earliest, so copies never form pairs. Rows that repeat an id count as one document. A null id
     comes first. Lines without words are never listed.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), text_of(text).alias("t"))
-    with batch_rows(spark, BATCH):
-        classes = spark.sparkContext.broadcast(rarity(rows.select("t")))
-    lines = _batched(rows, _named_lines(classes), _LINES, "lines")
+    written = _batched(rows, _named_lines, _LINES, "lines")
+    classes = spark.sparkContext.broadcast(_classes(written.where("line IS NULL").select(F.col("id").alias("cell"), F.col("s1").alias("n"))))
+    lines = written.where("line IS NOT NULL")
     named = keep(lines.groupBy("s1", "s2").agg(F.min(F.struct("id", "line")).alias("f")), "named")
     equal = keep(lines.join(named, ["s1", "s2"]).where(F.struct("id", "line") != F.col("f")).select("id", "line").distinct(), "equal")
     firsts = _with_lists(rows, equal, "equal")
@@ -343,14 +378,14 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
     none = F.lit(None).cast("array<int>").alias("asked")
     with batch_rows(spark, BATCH):
         pairs = keep(_candidates(firsts.select("id", "t", "equal", none), classes, n_lines, similarity, FIRST), "pairs")
-    near = keep(_verified(pairs, rows, classes, similarity), "near")
+    near = keep(_verified(pairs, rows, similarity), "near")
     open_ = keep(pairs.where("more").select("id", "line").distinct().join(near, ["id", "line"], "left_anti"), "open")
     if open_.limit(1).count():
         asking = _with_lists(firsts, open_, "asked").select("id", "t", "equal", "asked")
         with batch_rows(spark, BATCH):
             only = _cells_of(asking.where("asked IS NOT NULL"), classes, similarity)
             pairs = keep(_candidates(asking, classes, n_lines, similarity, None, only), "pairs")
-        near = near.union(_verified(pairs, rows, classes, similarity))
+        near = near.union(_verified(pairs, rows, similarity))
     return equal.union(near).distinct()
 
 
@@ -377,7 +412,7 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     do other columns; those named as the result's are replaced, and none may be `_line_id` or `_gone`.
     """
     gone = keep(repeated_lines(docs, key, text, similarity).groupBy("id").agg(F.collect_list("line").alias("_gone")), "gone")
-    few = gone.count() <= FEW
+    few = _short(gone, "_gone")
     listed = gone.withColumnRenamed("id", "_line_id")
     own = docs.withColumn("_line_id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
     joined = own.join(F.broadcast(listed) if few else listed, "_line_id", "left")
