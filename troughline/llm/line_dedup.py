@@ -27,6 +27,8 @@ TOKEN = CLASS + HASH
 HOT = 2000
 #: Earlier lines that are verified at first; where none holds and there are more, all are verified.
 FIRST = 3
+#: Candidates after which a line looks for no more at first, counted as often as they are met.
+ENOUGH = 16
 #: Postings that one task joins at a time, lines that one mapping step turns into postings.
 POSTINGS, LINES = 400_000, 100_000
 BATCH = 256
@@ -242,8 +244,11 @@ def _line_batches(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> Ite
 
 
 def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
-    """Pairs of one part that pass the length, positional and bitmap filters: for each later line its closest `first`
-    earlier ones and whether there are more; without `first`, all of the lines that are asked for."""
+    """Pairs of one part that pass the length, positional and bitmap filters: for each later line the closest `first`
+    of the earlier ones it met and whether there may be more; without `first`, all of the lines that are asked for.
+
+    A line stops at `ENOUGH` candidates, so a crowd of similar lines costs work in proportion to its size.
+    """
     col = {c: np.concatenate([unpack(v, t) for v in blocks[c]]) for c, t in zip(_BLOCK[1:], _TYPES[1:])}
     key = np.concatenate([np.cumsum(unpack(v, "<u8"), dtype=np.uint64) for v in blocks["key"]])
     # Number the part's lines in their order, then bring equal keys together, short lines first.
@@ -253,11 +258,16 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
     of = np.empty(len(key), np.int64)
     of[order] = np.cumsum(new) - 1
     ids, line = ids[new], line[new]
-    order = np.lexsort((col["n"], key))
-    key, of = key[order], of[order]
+    # Postings of equal keys and like lengths lie together in the order of their lines: similar lines are one class apart at most.
+    shape = np.floor(np.log(col["n"]) / (np.log(float(1 / s)) * (1 + 1e-9))).astype(np.int64) if s < 1 else col["n"].astype(np.int64)
+    order = np.lexsort((of, shape, key))
+    key, shape, of = key[order], shape[order], of[order]
     col = {c: v[order] for c, v in col.items()}
     n, pos = col["n"].astype(np.int64), col["pos"].astype(np.int64)
     maps = {c: col[c] for c in ("n", "bits", "half", "low", "high")}
+    opens = np.r_[True, (key[1:] != key[:-1]) | (shape[1:] != shape[:-1])]
+    starts, group = np.flatnonzero(opens), np.cumsum(opens) - 1
+    place = group * len(ids) + of
     held, waiting, more = [np.zeros((3, 0), np.int64)], 0, np.zeros(len(ids), bool)
 
     def cut_down() -> np.ndarray:
@@ -272,28 +282,38 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
         more[pairs[0][rank >= first]] = True
         return pairs[:, rank < first]
 
-    alive, step = np.arange(len(key)), 0
-    while len(alive):
-        step += 1
-        alive = alive[alive + step < len(key)]
-        other = alive + step
-        # Lengths ascend inside a key, so a line that is too short for this partner is too short for all after it.
-        ok = (key[alive] == key[other]) & (n[alive] * s.denominator >= n[other] * s.numerator)
-        alive, other = alive[ok], other[ok]
-        need = overlap(n[alive], n[other], s)
-        slack = n[alive] + n[other] - 2 * need
-        ahead = np.minimum(n[alive] - pos[alive], n[other] - pos[other])
-        good = np.flatnonzero((ahead >= need) & (np.bitwise_count(col["bits"][alive] ^ col["bits"][other]) <= slack) & (of[alive] != of[other]))
-        a, b = alive[good], other[good]
-        differ = apart({c: v[a] for c, v in maps.items()}, {c: v[b] for c, v in maps.items()})
-        late, soon = np.maximum(of[a], of[b]), np.minimum(of[a], of[b])  # lines are numbered in their order
-        kept = differ <= slack[good]
-        if first is None:
-            kept &= np.where(late == of[a], col["asked"][a], col["asked"][b]) > 0
-        held.append(np.stack([late[kept], soon[kept], differ[kept]]).astype(np.int64))
-        waiting += held[-1].shape[1]
-        if waiting > PAIRS:
-            held, waiting = [cut_down()], 0
+    found = np.zeros(len(ids), np.int64)
+    askers = np.arange(len(key)) if first is not None else np.flatnonzero(col["asked"])
+    for offset in (0, -1, 1) if s < 1 else (0,):
+        # The neighbouring class of the same key is the neighbouring group, if there is one.
+        to = np.clip(group[askers] + offset, 0, len(starts) - 1)
+        own = (key[starts[to]] == key[askers]) & (shape[starts[to]] == shape[askers] + offset)
+        alive, to = askers[own], to[own]
+        at, stop = np.searchsorted(place, to * len(ids) + of[alive]) - 1, starts[to]
+        while True:
+            # Every line walks back to earlier ones, until none is left or it has met enough.
+            ok = at >= stop
+            if first is not None:
+                full = found[of[alive]] >= ENOUGH
+                more[of[alive[ok & full]]] = True
+                ok &= ~full
+            alive, at, stop = alive[ok], at[ok], stop[ok]
+            if not len(alive):
+                break
+            need = overlap(n[alive], n[at], s)
+            slack = n[alive] + n[at] - 2 * need
+            ahead = np.minimum(n[alive] - pos[alive], n[at] - pos[at])
+            good = np.flatnonzero((ahead >= need) & (slack >= 0) & (np.bitwise_count(col["bits"][alive] ^ col["bits"][at]) <= slack))
+            a, b = alive[good], at[good]
+            differ = apart({c: v[a] for c, v in maps.items()}, {c: v[b] for c, v in maps.items()})
+            kept = differ <= slack[good]
+            late, soon = of[a[kept]], of[b[kept]]
+            np.add.at(found, late, 1)
+            held.append(np.stack([late, soon, differ[kept]]).astype(np.int64))
+            waiting += held[-1].shape[1]
+            if waiting > PAIRS:
+                held, waiting = [cut_down()], 0
+            at = at - 1
     late, soon, _ = cut_down()
     return pd.DataFrame({
         "id": ids[late], "line": line[late], "to_id": ids[soon], "to_line": line[soon], "more": more[late],
