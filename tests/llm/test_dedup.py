@@ -4,10 +4,12 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from troughline.llm import components, exact_dedup, line_dedup, simhash_dedup
+from troughline.llm.words import cut
 
 
 def lowered(text):
@@ -82,6 +84,27 @@ def test_near_lines_of_one_group(spark):
     assert got == removed_by_force(texts)
 
 
+def test_crowd_of_near_lines_that_stops_early(spark, monkeypatch):
+    """Lines that stop at their first candidate, sets of many sizes: what the first round misses, the second finds."""
+    monkeypatch.setattr(line_dedup, "ENOUGH", 1)
+    monkeypatch.setattr(line_dedup, "FIRST", 1)
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(120):
+        own = [f"w{j}" for j in range(int(rng.integers(1, 24)))] + [f"u{rng.integers(60)}" for _ in range(int(rng.integers(0, 5)))]
+        texts.append((i, " ".join(own)))
+    got = {tuple(r) for r in line_dedup.repeated_lines(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    assert got == removed_by_force(texts)
+
+
+def test_whole_hashes_of_lines():
+    """Sets of whole hashes hold each word of a line once, whatever its case."""
+    (words,) = cut(pa.array(["a B b\n\nc a C", "d"]))
+    doc, line, n, hashes = line_dedup.whole_sets(words)
+    assert (doc.tolist(), line.tolist(), n.tolist()) == ([0, 0, 1], [0, 2, 0], [2, 2, 1])
+    assert len(set(hashes.tolist())) == 4
+
+
 def test_removing_lines_keeps_rows_and_order(spark, nothing):
     rows = [(1, "a b c d e\nkeep me\n"), (2, "A b c d e\nother\n\nother"), (3, None), (4, "")]
     out = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id int, text string")).orderBy("doc_id").collect()
