@@ -163,3 +163,10 @@ def test_rows_without_a_stratum_are_sampled_too(make):
     cards = make("card_id string, stratum string", [(f"c{i:03}", None if i % 4 == 0 else "ab"[i % 2]) for i in range(100)])
     picked = S.proportional_sample(cards, 20, ["card_id"]).collect()
     assert len(picked) == 20 and sum(r.stratum is None for r in picked) == 5
+
+
+def test_digests_of_rows_that_share_an_image(make):
+    rows = [("p1", f"r{i}", 1.0, True, 20.0, 0.1, 0.0, 1.0, None, V.STRATUM_POSITIVE) for i in range(3)]
+    pool = make(INV + ", stratum string", rows)
+    digests = S.manifest_rows(pool).select("image_path", F.lit("d").alias("image_sha256"))
+    assert sorted((r.record_id, r.image_sha256) for r in S.manifest_rows(pool, digests=digests).collect()) == [("r0", "d"), ("r1", "d"), ("r2", "d")]
