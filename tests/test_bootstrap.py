@@ -118,3 +118,34 @@ def test_no_task_holds_the_values_of_a_replicate(make, capsys):
 def test_bad_arguments(make, reps, conf):
     with pytest.raises(ValueError):
         B.mean_interval(make("c string, x double", [("a", 1.0)]), F.col("x"), "c", replicates=reps, confidence=conf)
+
+
+def test_draws_of_a_run_equal_the_named_ones():
+    for n in (7, 1000, 1 << 33):
+        for low in (0, (1 << 33) - 5):
+            bases = B.slot_bases(low, low + 10, 9)
+            assert B.drawn_slots(n, 4999, bases).tolist() == [slot(4999, pos, 9) % n for pos in range(low, low + 10)]
+
+
+def test_draws_in_many_tasks_over_ranges_of_clusters(make, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK", 2)
+    monkeypatch.setattr(B, "HELD_VALUES", 8)
+    monkeypatch.setattr(B, "TASK_DRAWS", 100)
+    data = rows(300, 25)
+    df = make("g string, c string, x double, y double", [(g, *r) for g in "ab" for r in data[: 300 if g == "a" else 40]])
+    out = {r.g: r for r in B.ratio_intervals(df, "c", {"r": (F.col("x"), F.col("y"))}, ["g"], 70, 9).collect()}
+    for g, own in (("a", data), ("b", data[:40])):
+        (lo, hi), used = brute(own, 70, 9)
+        assert (out[g].ci_low, out[g].ci_high, out[g].n_replicates_used) == (pytest.approx(lo), pytest.approx(hi), used)
+
+
+def test_sums_leave_nulls_out_and_keep_what_is_not_finite(monkeypatch):
+    monkeypatch.setattr(B, "SLOTS", 4)
+    monkeypatch.setattr(B, "AT_ONCE", 3)
+    column = np.ma.MaskedArray([1.0, np.inf, 2.0, 4.0, 0.0, 8.0, 0.0], [0, 0, 0, 0, 1, 0, 1])
+    sums, met = np.zeros((30, 1)), np.zeros((30, 1))
+    B._add_draws(sums, met, range(30), 7, 0, [column], 9)
+    for rep in range(30):
+        picks = [slot(rep, pos, 9) % 7 for pos in range(7)]
+        known = [column[p] for p in picks if p not in (4, 6)]
+        assert (sums[rep, 0], met[rep, 0]) == (sum(known), len(known))
