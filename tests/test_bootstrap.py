@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from troughline import vocabulary as V
 from troughline.functions import keys
+from troughline.functions.quantiles import of_wanted_cells
 from troughline.operators import bootstrap as B
 
 
@@ -149,3 +150,16 @@ def test_sums_leave_nulls_out_and_keep_what_is_not_finite(monkeypatch):
         picks = [slot(rep, pos, 9) % 7 for pos in range(7)]
         known = [column[p] for p in picks if p not in (4, 6)]
         assert (sums[rep, 0], met[rep, 0]) == (sum(known), len(known))
+
+
+def test_replicates_meet_values_of_wanted_cells_only(make, monkeypatch):
+    seen = []
+    monkeypatch.setattr(B, "of_wanted_cells", lambda inside, *rest: seen.append(inside) or of_wanted_cells(inside, *rest))
+    rng = np.random.default_rng(5)
+    data = [(f"c{i % 3}", float(v)) for i, v in enumerate(rng.normal(100, 30, 600))]
+    out = B.quantile_interval(make("c string, v double", data), "v", "c", 0.5, 40, 4).first()
+    own = {c: [v for d, v in data if d == c] for c in ("c0", "c1", "c2")}
+    names = sorted(own, key=lambda c: (hashlib.md5(f"{c}|4".encode()).hexdigest(), c))
+    medians = [np.median([v for pos in range(3) for v in own[names[slot(rep, pos, 4) % 3]]]) for rep in range(40)]
+    assert (out.ci_low, out.ci_high) == tuple(pytest.approx(x) for x in np.percentile(medians, [2.5, 97.5]))
+    assert seen[0].count() < 40 * 20  # of 600 values to each replicate

@@ -109,19 +109,33 @@ def binned_quantiles(
     w = F.col(weight) if weight else F.lit(1)
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"), w.cast("bigint").alias("_w"), value_cell(v).alias("_b"))
-    cells = cut_lineage(rows.groupBy(*by, "_b").agg(F.sum("_w").alias("_c")).where("_c > 0"))
+    wanted, few = wanted_cells(rows.groupBy(*by, "_b").agg(F.sum("_w").alias("_c")), probs, by)
+    inside = rows.join(F.broadcast(wanted) if few else wanted, [*by, "_b"])
+    return of_wanted_cells(inside.groupBy(*by, "n", "_b", "_before", "_v").agg(F.sum("_w").alias("_c")), probs, by, out)
+
+
+def _ranks(probs: Sequence[float]) -> list[Column]:
+    return [F.lit(p) * (F.col("n") - 1) for p in probs]
+
+
+def wanted_cells(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> tuple[DataFrame, bool]:
+    """From rows per cell (`by..., _b, _c`) the one or two cells that hold each rank: `by..., _b, n, _before`; and whether they are few."""
+    cells = cut_lineage(counts.where("_c > 0"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
     upto = F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     placed = cells.withColumns({"_upto": upto, "n": F.sum("_c").over(group)}).withColumn("_before", F.col("_upto") - F.col("_c"))
-    ranks = [F.lit(p) * (F.col("n") - 1) for p in probs]
     holds = F.lit(False)
-    for rank in ranks:
+    for rank in _ranks(probs):
         for edge in (F.floor(rank), F.ceil(rank)):
             holds = holds | ((F.col("_before") <= edge) & (edge < F.col("_upto")))
     wanted = cut_lineage(placed.where(holds).select(*by, "_b", "n", "_before"))
     # At most two cells a quantile and group; counted before they are sent to every task.
-    few = wanted.count() <= _FEW
-    inside = rows.join(F.broadcast(wanted) if few else wanted, [*by, "_b"]).groupBy(*by, "n", "_b", "_before", "_v").agg(F.sum("_w").alias("_c"))
+    return wanted, wanted.count() <= _FEW
+
+
+def of_wanted_cells(inside: DataFrame, probs: Sequence[float], by: Sequence[str] = (), out: str = "q") -> DataFrame:
+    """The quantiles from the values of wanted cells and their counts (`by..., n, _b, _before, _v, _c`)."""
+    ranks = _ranks(probs)
     within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ordered = inside.withColumn("_cum", F.col("_before") + F.sum("_c").over(within)).withColumn("_from", F.col("_cum") - F.col("_c"))
     at = lambda edge: F.max(F.when((F.col("_from") <= edge) & (edge < F.col("_cum")), F.col("_v")))
