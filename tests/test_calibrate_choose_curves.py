@@ -98,3 +98,14 @@ def test_quantiles_need_enough_rows_and_density_peaks_at_one(make):
 def test_tile_geometry(make):
     pts = curves.tile_geometry(make(CURVE, [(1, 5.0, 20.0, 0.1, 1.1)]), ["id"]).collect()
     assert [(r.t_s, pytest.approx(r.pct)) for r in pts] == [(0.0, 100.0), (4.5, 100.0), (9.5, 10.0), (29.5, 110.0)]
+
+
+def test_equal_curves_are_drawn_once_and_count_as_often_as_they_are(make):
+    df = make(CURVE, [(i, 4.0, [18.0, 30.0, None][i % 3], 0.1 * (i % 2), 1.2) for i in range(40)])
+    shapes = curves.distinct_curves(df)
+    assert shapes.count() == 6
+    total = df.agg(F.count(F.lit(1)))
+    every = curves.curve_quantiles(curves.landmark_curve(df, ["id"]), total)
+    once = curves.curve_quantiles(curves.landmark_curve(shapes, ["copies"]), total, weight="copies")
+    rows = lambda q: sorted(tuple(r) for r in q.collect())
+    assert rows(once) == rows(every)

@@ -42,12 +42,17 @@ def landmark_curve(
     )
 
 
-def curve_quantiles(curve: DataFrame, n_rows: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+def distinct_curves(df: DataFrame, cols: InventoryColumns = INVENTORY, out: str = "copies") -> DataFrame:
+    """The landmarks that make a curve, once for all rows that share them, and the number of those rows."""
+    return df.groupBy(cols.depth, cols.recovery, cols.descent, cols.duration).agg(F.count(F.lit(1)).alias(out))
+
+
+def curve_quantiles(curve: DataFrame, n_rows: DataFrame, min_share: float = MIN_SHARE, weight: str | None = None) -> DataFrame:
     """Median and quartiles per grid point, kept where at least `min_share` of all rows contribute.
 
-    `n_rows` is the one-row count of all curves.
+    `n_rows` is the one-row count of all curves; `weight` names a whole number that says how many rows a curve stands for.
     """
-    q = binned_quantiles(curve, "y", [0.25, 0.5, 0.75], ["ti", "t"])
+    q = binned_quantiles(curve, "y", [0.25, 0.5, 0.75], ["ti", "t"], weight=weight)
     total = n_rows.toDF("_rows")
     return with_scalars(q, total).where(F.col("n") >= min_share * F.col("_rows")).select(
         "ti", "t", "n", F.col("q1").alias("median"), F.col("q0").alias("q25"), F.col("q2").alias("q75")

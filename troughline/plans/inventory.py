@@ -580,8 +580,10 @@ def f17(spark: SparkSession, d: str) -> DataFrame:
 @query("d31_curve_quantiles", f"""{WITH}, {_curve_sql(561)} SELECT ti, t, count(*) AS n, round(median(y) + 1e-9, 6) AS median, round(quantile_cont(y, 0.25) + 1e-9, 6) AS q25, round(quantile_cont(y, 0.75) + 1e-9, 6) AS q75 FROM curve
 GROUP BY 1, 2 HAVING count(*) >= 0.40e0 * (SELECT count(*) FROM inv WHERE is_occlusion_signature)""")
 def d31(spark: SparkSession, d: str) -> DataFrame:
-    total = inventory(spark, d).where("is_occlusion_signature").agg(F.count(F.lit(1)))
-    out = curves.curve_quantiles(_curve(spark, d, 561), total)
+    # Equal curves are one: events shrink before each becomes hundreds of points.
+    shapes = cut_lineage(curves.distinct_curves(inventory(spark, d).where("is_occlusion_signature")))
+    total = shapes.agg(F.sum("copies"))
+    out = curves.curve_quantiles(curves.landmark_curve(shapes, ["copies"], n_t=561), total, weight="copies")
     # Means of two values often end half way between two roundings; a nudge sends them up in both engines.
     return out.select("ti", "t", "n", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("median", "q25", "q75")])
 
