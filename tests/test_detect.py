@@ -180,3 +180,9 @@ def test_windows_share_one_exchange(table):
     """The whole detector adds the spread by window key and nothing else."""
     plan = D.classify(table, ["event_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_tasks_grow_with_the_trace(make):
+    trace = make(SCHEMA, [("e", A, t, 1.0) for t in range(5)])
+    partitions = lambda rows: D.prepare(trace, ["event_id"], n_rows=rows).rdd.getNumPartitions()
+    assert partitions(20 * D.TASK_TICKS - 1) == 20 and partitions(None) <= 4
