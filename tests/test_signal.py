@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -73,3 +74,11 @@ def test_gap_fill(make):
     out = {(r.e, r.t): r for r in S.fill_gaps(make("e string, t double, value double", rows), ["e"]).collect()}
     assert [out[("a", float(i))].filled for i in range(5)] == [1.0, 3.0, 3.0, 3.0, 8.0]
     assert out[("a", 0.0)].valid_fraction == 0.6 and out[("b", 0.0)].rejected and out[("b", 2.0)].filled is None
+
+
+def test_only_what_a_window_needs_moves(make, capsys):
+    rows = make("k string, a double, t_s double, value double, other string", [("x", 200.0, i / 20, 1.0 + i % 7, "unused") for i in range(400)])
+    S.reduce_signal(rows, ["k"], 20.0, "a").explain("formatted")
+    plan = capsys.readouterr().out
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and all("other" not in m and "t_s" not in m for m in moved)

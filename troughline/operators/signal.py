@@ -91,10 +91,10 @@ def reduce_signal(
     def one_window(pdf: pd.DataFrame) -> pd.DataFrame:
         a = float(pdf[anchor].iloc[0])
         head = pdf.iloc[0]
-        pdf = pdf[pdf[t].notna()]
+        pdf = pdf[pdf["_i"].notna()]
         ticks, means, share = np.array([np.nan]), np.array([np.nan]), np.nan
         if len(pdf):
-            index = np.rint((pdf[t].to_numpy(float) - (a - pre_s)) * fs).astype(np.int64)
+            index = pdf["_i"].to_numpy(np.int64)
             first, last = int(index.min()), int(index.max())
             if start is not None and pd.notna(begun := head[start]):
                 first = min(first, max(0, round((float(begun) - (a - pre_s)) * fs)))
@@ -118,7 +118,11 @@ def reduce_signal(
         out[anchor], out["valid_fraction"] = a, share
         return out[[*keys, *carry, anchor, "valid_fraction", "t", "v"]]
 
-    return windows.groupBy(*keys).applyInPandas(one_window, schema)
+    # Only what a window needs moves, and its samples by number instead of by time: numbers shrink well.
+    at = F.col(t).cast("double")
+    number = F.when(at.isNotNull() & ~F.isnan(at), F.rint((at - (F.col(anchor) - pre_s)) * fs).cast("long"))
+    named = dict.fromkeys(c for c in (*keys, *carry, anchor, start, end, v) if c is not None)
+    return windows.select(*named, number.alias("_i")).groupBy(*keys).applyInPandas(one_window, schema)
 
 
 def to_record_time(local: str, anchor: str, pre_s: float = 200.0):
