@@ -3,8 +3,12 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 import corpus_pipeline as P
 from troughline.llm import shingle_dedup as D
+from troughline.llm import simhash_dedup as S
 
 
 def jaccard(x, y):
@@ -63,3 +67,51 @@ def test_stage_keeps_one_row_of_each_group(spark):
     want = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
     got = [(r.doc_id, r.text) for r in P.simhash_stage(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_fingerprints_alone_link_near_copies(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(300)]
+        own = list(base)
+        for i in rng.sample(range(300), 5):
+            own[i] = f"x{rng.randrange(10_000)}"
+        texts += [" ".join(base), " ".join(own)]
+    want = grouped(texts)
+    assert sum(i != r for i, r in want.items()) == 40
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(D, "_in_rows", lambda *_: none)
+    monkeypatch.setattr(D, "_pair_by_pair", lambda *_: none)
+    got = {r.row: r.root for r in D.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, t string")).collect()}
+    assert sum(got[i] == want[i] != i for i in got) >= 36
+
+
+@pytest.mark.parametrize("crowd", [0, 300])
+def test_close_fingerprints_against_brute_force(spark, crowd):
+    rng = random.Random(3)
+    prints = []
+    for _ in range(150):
+        base = rng.getrandbits(64)
+        prints += [base, *(base ^ sum(1 << b for b in rng.sample(range(64), d)) for d in (1, 4, 7, 8))]
+    middle = rng.getrandbits(64)
+    prints += [middle ^ sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(crowd)]
+    prints = sorted(set(prints))
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    want = {tuple(sorted((signed[i], signed[j]))) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 7}
+    pairs = [tuple(r) for r in S.close_pairs(spark.createDataFrame([(f,) for f in signed], "fp long"), 7).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= want
+    assert crowd or set(pairs) == want  # a crowded bucket gives some pairs of each row, not all
+    rooted = {a for a, b in pairs} | {b for a, b in pairs}
+    assert rooted >= {f for pair in want for f in pair}
+
+
+def test_sets_that_share_a_member_only_do_not_meet(spark):
+    """A crowd with one common shingle and different texts otherwise makes no pairs."""
+    rng = random.Random(5)
+    texts = ["a b c d e " + " ".join(f"w{rng.randrange(100_000)}" for _ in range(60)) for _ in range(50)]
+    sets = D._sets(spark.createDataFrame(list(enumerate(texts)), "row long, t string"), 5, 0.8)
+    nodes = sets.withColumnRenamed("row", "node")
+    one = nodes.select("node", "n").selectExpr("node", "n", "0 AS at", "1L AS k", "node AS root")
+    assert D._pair_by_pair(one, nodes, 0.8).count() == 0
+    assert D._pair_by_pair(one, nodes, 0.0).count() == 50 * 49 // 2

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +97,13 @@ def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
         yield from zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names])
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers stay for later tasks, which need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def even_parts(n_rows: int, per_part: int) -> int:
     """Number of parts that keeps about `per_part` rows in each."""
     return max(1, math.ceil(n_rows / per_part))

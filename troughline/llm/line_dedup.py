@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from troughline.llm.common import batch_rows, even_parts, keep, pack, text_of, unpack
+from troughline.llm.common import batch_rows, even_parts, give_back, keep, pack, text_of, unpack
 from troughline.llm.words import Words, cut, mix
 
 SIMILARITY = Fraction(4, 5)
@@ -136,6 +136,7 @@ def _named_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(cells)
     none = pa.nulls(len(at), pa.int32())
     yield pa.RecordBatch.from_arrays([pa.array(cells[at]), pa.array(np.zeros(len(at), np.int64)), pa.array(at), none], names=["s1", "s2", "id", "line"])
+    give_back()
 
 
 # --- candidates ---------------------------------------------------------------------------------------------------
@@ -330,11 +331,16 @@ def _candidates(first_lines: DataFrame, classes, n_lines: int, s: Fraction, firs
             blocks = list(_postings(lines, parts, spread.value, s))
             if blocks:
                 yield pa.RecordBatch.from_pylist(blocks, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in _BLOCK]]))
+            del lines, blocks
+            give_back()
+
+    def meet(blocks: pd.DataFrame) -> pd.DataFrame:
+        out = _meet(blocks, s, first)
+        give_back()
+        return out
 
     blocks = first_lines.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in _BLOCK))
-    return blocks.groupBy("part").applyInPandas(
-        lambda pdf: _meet(pdf, s, first), "id long, line int, to_id long, to_line int, more boolean"
-    )
+    return blocks.groupBy("part").applyInPandas(meet, "id long, line int, to_id long, to_line int, more boolean")
 
 
 def _short(listed: DataFrame, name: str) -> bool:
@@ -365,6 +371,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Fraction) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)), sets], names=["id", "line", "tokens"]
                     )
+        give_back()
 
     some = _with_lists(docs, ends, "lines").where("lines IS NOT NULL")
     sets = _batched(some, run, "id long, line int, tokens array<long>", "sets").dropDuplicates(["id", "line"])

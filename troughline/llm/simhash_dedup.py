@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troughline.functions.keys import hash_order
@@ -39,6 +39,11 @@ def bit_sums(hashes: np.ndarray) -> np.ndarray:
     return sums.reshape(-1)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit number of the bits that are set in over half the hashes."""
+    return int(np.packbits((bit_sums(hashes) * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """Unsigned 64-bit SimHash of the text's word shingles, repeats included; zero where there is no word."""
     w = words_of(text)
@@ -46,8 +51,7 @@ def fingerprint(text: str | None, words: int) -> int:
         return 0
     shingles = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
-    return int(np.packbits((bit_sums(hashes) * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -161,6 +165,36 @@ def _probes(home: Column, group: int, flips: Sequence[int]) -> Column:
     return F.transform(_patterns(flips), lambda v: F.struct(F.lit(group).alias("g"), home.bitwiseXOR(v).alias("k")))
 
 
+def _planned(distinct: DataFrame, distance: int) -> list[tuple[list[int], int]]:
+    """The plan for a table of fingerprints, from its sample."""
+    drawn = distinct.select("fp", hash_order(["fp"], SEED).alias("o")).orderBy("o").limit(SAMPLE).select("fp").toPandas()
+    return plan(np.ascontiguousarray(drawn["fp"].to_numpy(np.int64)).view(np.uint64), distinct.count(), distance)
+
+
+def close_pairs(distinct: DataFrame, distance: int) -> DataFrame:
+    """Pairs `a, b` of distinct fingerprints (`fp`) that differ in at most `distance` bits, by the buckets of the plan.
+
+    Of two buckets that differ, the smaller one's rows probe the larger. Every pair in buckets of up to `DENSE` rows is found.
+    In a crowded bucket probes meet the first `DENSE` rows, and each further row the one before it, so the work stays in
+    proportion to the rows; a caller that may lose no pair has to look for the others among what is not connected yet.
+    """
+    groups = [(g, _signed(sum(1 << b for b in bits)), _flips(bits, radius)) for g, (bits, radius) in enumerate(_planned(distinct, distance))]
+    whole = lambda **values: F.struct(*[F.lit(v).cast("long").alias(k) for k, v in values.items()])
+    looks = F.array(*[whole(g=g, mask=mask, flip=_signed(flip)) for g, mask, flips in groups for flip in flips])
+    lives = F.array(*[whole(g=g, mask=mask) for g, mask, _ in groups])
+    own = F.col("fp").bitwiseAND(F.col("at.mask"))
+    probes = distinct.select("fp", F.explode(looks).alias("at")).select("fp", "at.g", own.alias("own"), own.bitwiseXOR(F.col("at.flip")).alias("k"))
+    homes = distinct.select("fp", F.explode(lives).alias("at")).select(F.col("fp").alias("home"), "at.g", own.alias("k"))
+    order = Window.partitionBy("g", "k").orderBy("home")
+    placed = homes.select("*", F.row_number().over(order).alias("place"), F.lag("home").over(order).alias("before"))
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+    first = placed.where(F.col("place") <= DENSE).select("home", "g", "k")
+    met = probes.where("k >= own").select("fp", "g", "k").join(first, ["g", "k"]).where((F.col("fp") != F.col("home")) & near("fp", "home"))
+    in_rows = placed.where((F.col("place") > DENSE) & near("before", "home")).select(F.col("before").alias("fp"), "home")
+    found = met.select("fp", "home").union(in_rows)
+    return found.select(F.least("fp", "home").alias("a"), F.greatest("fp", "home").alias("b")).distinct()
+
+
 def near_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     """Edges `a, b` between distinct fingerprints (`fp`) that differ in 1 to `distance` bits, an even number.
 
@@ -173,10 +207,8 @@ def near_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     """
     if distance < 2 or distance % 2:
         raise ValueError("distance must be even: midpoints halve it")
-    drawn = distinct.select("fp", hash_order(["fp"], SEED).alias("o")).orderBy("o").limit(SAMPLE).select("fp").toPandas()
-    sample = np.ascontiguousarray(drawn["fp"].to_numpy(np.int64)).view(np.uint64)
     probing, living = [], []
-    for g, (bits, radius) in enumerate(plan(sample, distinct.count(), distance)):
+    for g, (bits, radius) in enumerate(_planned(distinct, distance)):
         home = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
         probing.append(_probes(home, g, _flips(bits, radius)))
         living.append(F.struct(F.lit(g).alias("g"), home.alias("k")))
