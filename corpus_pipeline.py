@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from troughline.llm import line_dedup, mixing, packing, quality, shingle_dedup
-from troughline.llm.common import id_remainder, keep, without
+from troughline.llm.common import FEW_IDS, id_remainder, keep, without
 from troughline.llm.queries import tokenizer_path
 from troughline.plans.views import table
 
@@ -44,8 +44,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     mixed = mixing.mix(docs.select(*COLUMNS))
     times = mixed.select("doc_id", mixing.copies(F.col("taken"), F.col("size"), F.col("doc_id")).alias("_times")).where("_times > 0")
     # A row for each id: rows that repeat an id share the larger number.
-    times = times.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_times").alias("_times"))
-    joined = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    times = keep(times.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_times").alias("_times")), "times")
+    few = times.limit(FEW_IDS + 1).count() <= FEW_IDS  # then texts do not move
+    joined = docs.select(*COLUMNS).join(F.broadcast(times) if few else times, F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 

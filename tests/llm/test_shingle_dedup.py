@@ -115,3 +115,17 @@ def test_sets_that_share_a_member_only_do_not_meet(spark):
     one = nodes.select("node", "n").selectExpr("node", "n", "0 AS at", "1L AS k", "node AS root")
     assert D._pair_by_pair(one, nodes, 0.8).count() == 0
     assert D._pair_by_pair(one, nodes, 0.0).count() == 50 * 49 // 2
+
+
+def test_both_ways_of_summing_give_one_fingerprint(monkeypatch):
+    texts = ["", "one", "one two", *(" ".join(f"w{i}" for i in range(n)) for n in (3, 64, 500))]
+    few = [D.word_fingerprint(t) for t in texts]
+    monkeypatch.setattr(D, "FEW_WORDS", 0)
+    assert few == [D.word_fingerprint(t) for t in texts] and few[0] == 0
+
+
+def test_probes_are_not_broadcast(spark):
+    """Fingerprints are few bytes, their probes are not."""
+    prints = spark.createDataFrame([(f * 0x9E3779B97F4A7C15 % (1 << 63),) for f in range(1, 500)], "fp long")
+    plan = S.close_pairs(prints, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

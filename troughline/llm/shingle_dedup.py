@@ -36,6 +36,8 @@ DISTANCE = 7
 ROUNDS = 2
 #: Bits of a sketch for each member of the set.
 PER_MEMBER = 2
+#: Hashes whose bits are summed one by one; histograms are faster for more.
+FEW_WORDS = 2000
 #: Words of 64 bits of the short sketch that travels with the members of prefixes.
 MAPS = [f"m{i}" for i in range(8)]
 
@@ -75,7 +77,12 @@ def word_fingerprint(text: str | None) -> int:
     own = set(words_of(text))
     if not own:
         return 0
-    return int(np.uint64(majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own)))).view(np.int64))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, SEED) for w in own), np.uint64, len(own))
+    if len(own) > FEW_WORDS:
+        return int(np.uint64(majority(hashes)).view(np.int64))
+    sums = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(sums * 2 > len(own), bitorder="little").view("<i8")[0])
 
 
 def _sets(rows: DataFrame, words: int, least: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troughline.functions.keys import hash_order
-from troughline.llm.common import batch_rows, keep, rows_of, words_of
+from troughline.llm.common import batch_rows, keep, rows_of, shuffle_width, words_of
 from troughline.llm.components import components
 
 BITS = 64
@@ -179,6 +179,7 @@ def close_pairs(distinct: DataFrame, distance: int) -> DataFrame:
     proportion to the rows; a caller that may lose no pair has to look for the others among what is not connected yet.
     """
     groups = [(g, _signed(sum(1 << b for b in bits)), _flips(bits, radius)) for g, (bits, radius) in enumerate(_planned(distinct, distance))]
+    distinct = distinct.repartition(shuffle_width(distinct), "fp")  # a few MB of fingerprints become many rows
     whole = lambda **values: F.struct(*[F.lit(v).cast("long").alias(k) for k, v in values.items()])
     looks = F.array(*[whole(g=g, mask=mask, flip=_signed(flip)) for g, mask, flips in groups for flip in flips])
     lives = F.array(*[whole(g=g, mask=mask) for g, mask, _ in groups])
@@ -189,7 +190,8 @@ def close_pairs(distinct: DataFrame, distance: int) -> DataFrame:
     placed = homes.select("*", F.row_number().over(order).alias("place"), F.lag("home").over(order).alias("before"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
     first = placed.where(F.col("place") <= DENSE).select("home", "g", "k")
-    met = probes.where("k >= own").select("fp", "g", "k").join(first, ["g", "k"]).where((F.col("fp") != F.col("home")) & near("fp", "home"))
+    # Spark takes exploded rows for as few as they came from, and would broadcast them.
+    met = probes.where("k >= own").select("fp", "g", "k").join(first.hint("merge"), ["g", "k"]).where((F.col("fp") != F.col("home")) & near("fp", "home"))
     in_rows = placed.where((F.col("place") > DENSE) & near("before", "home")).select(F.col("before").alias("fp"), "home")
     found = met.select("fp", "home").union(in_rows)
     return found.select(F.least("fp", "home").alias("a"), F.greatest("fp", "home").alias("b")).distinct()
