@@ -31,7 +31,13 @@ FIRST = 3
 ENOUGH = 16
 #: Postings that one task joins at a time, lines that one mapping step turns into postings.
 POSTINGS, LINES = 400_000, 100_000
+#: Keys and tokens of lines that are asked for fall into this many cells each.
+SPREAD = 1 << 20
 BATCH = 256
+#: Documents whose lines' names meet in one group, lines whose names a task compares before it sends them.
+NAMED, NAMES = 8192, 1_000_000
+#: Cells whose frequencies are added up in one group.
+SLICE = 4096
 #: Lists of lines are broadcast up to so many bytes.
 FEW = 32 << 20
 
@@ -55,10 +61,10 @@ def _batched(docs: DataFrame, fn, schema: str, label: str) -> DataFrame:
 
 
 def _classes(counted: DataFrame) -> np.ndarray:
-    """Rarity class of each cell of word hashes, from `cell, n`: a frequency over all lines in each row."""
-    total = counted.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    """Rarity class of each cell of word hashes, from slices `id, cells` of their frequencies."""
     out = np.zeros(CELLS, np.uint64)
-    out[total["cell"].to_numpy()] = rarity_class(total["n"].to_numpy())
+    for row in counted.collect():
+        out[row["id"] * SLICE:(row["id"] + 1) * SLICE] = rarity_class(unpack(row["cells"], _NAMES["cells"]))
     return out
 
 
@@ -116,29 +122,90 @@ def _prefix(n: np.ndarray, s: Fraction) -> np.ndarray:
     return n - (-((-n * s.numerator) // s.denominator)) + 1
 
 
-_LINES = "s1 long, s2 long, id long, line int"
+def _first_of_equals(s1: np.ndarray, s2: np.ndarray, ids: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the earliest line of each name, and of all lines that a line before them equals."""
+    order = np.lexsort((line, ids, s2, s1))
+    new = np.ones(len(order), bool)
+    new[1:] = (s1[order[1:]] != s1[order[:-1]]) | (s2[order[1:]] != s2[order[:-1]])
+    first = order[new]
+    of = first[np.cumsum(new) - 1]
+    return first, order[(ids[order] != ids[of]) | (line[order] != line[of])]
 
 
-def _named_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line with words: two sums over its distinct words that name the set; then, as lines without a number,
-    how often the words of each cell occur: the cell in `id`, the frequency in `s1`."""
+_NAMES = {"s1": "<u8", "s2": "<u8", "id": "<i8", "line": "<i4", "gone_id": "<i8", "gone_line": "<i4", "cells": "<i8"}
+_NAMES_SCHEMA = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in _NAMES]])
+_EQUAL_SCHEMA = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("n", pa.int64()), ("cells", pa.binary())])
+
+
+def _named_lines(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Lines with words by part of the name space, each under two sums over its distinct words that name the set.
+
+    Of equal lines that meet here only the first goes on under its name; the others are `gone`. Then, in parts of
+    their own, how often the words of each cell occur.
+    """
     cells = np.zeros(CELLS, np.int64)
+    held, count = [], 0
+
+    def dealt() -> pa.RecordBatch:
+        s1, s2, ids, line = (np.concatenate(c) for c in zip(*held))
+        first, gone = _first_of_equals(s1, s2, ids, line)
+        blocks = []
+        part = s1 % np.uint64(parts)
+        by_part = [x[np.argsort(part[x], kind="stable")] for x in (first, gone)]
+        edges = [np.searchsorted(part[x], np.arange(parts + 1)) for x in by_part]
+        for p in range(parts):
+            f, g = (x[e[p]:e[p + 1]] for x, e in zip(by_part, edges))
+            if len(f) or len(g):
+                values = {"s1": np.diff(s1[f], prepend=np.uint64(0)), "s2": s2[f], "id": ids[f], "line": line[f], "gone_id": ids[g], "gone_line": line[g]}
+                blocks.append({"part": p, **{c: pack(v.astype(_NAMES[c])) for c, v in values.items()}})
+        return pa.RecordBatch.from_pylist(blocks, schema=_NAMES_SCHEMA)
+
     for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
         for words in cut(batch.column(1)):
             h = words.hashes()
             cells += np.bincount((h >> np.uint64(64 - CELL)).astype(np.int64), minlength=CELLS)
             for doc, line, n, values in _sets(words, h & np.uint64((1 << NAME) - 1), NAME):
                 start = np.r_[0, np.cumsum(n)[:-1]]
-                s1, s2 = np.add.reduceat(mix(values, 1), start), np.add.reduceat(mix(values, 2), start)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)),
-                ], names=["s1", "s2", "id", "line"])
-    at = np.flatnonzero(cells)
-    none = pa.nulls(len(at), pa.int32())
-    yield pa.RecordBatch.from_arrays([pa.array(cells[at]), pa.array(np.zeros(len(at), np.int64)), pa.array(at), none], names=["s1", "s2", "id", "line"])
+                held.append((np.add.reduceat(mix(values, 1), start), np.add.reduceat(mix(values, 2), start), ids[doc], line.astype(np.int32)))
+                count += len(n)
+        if count >= NAMES:
+            yield dealt()
+            held, count = [], 0
+    if held:
+        yield dealt()
+    slices = [{"part": parts + i, "cells": pack(cells[i * SLICE:(i + 1) * SLICE])} for i in range(CELLS // SLICE) if cells[i * SLICE:(i + 1) * SLICE].any()]
+    yield pa.RecordBatch.from_pylist(slices, schema=_NAMES_SCHEMA)
     give_back()
 
 
+def _equal_lines(blocks: pa.Table, parts: int) -> pa.Table:
+    """`id, line` of lines that equal an earlier one and, in a row of its own, the number `n` of different ones; or
+    a slice of the cells' frequencies, its number in `id`."""
+    part = blocks["part"][0].as_py()
+    if part >= parts:
+        cells = np.zeros(SLICE, np.int64)
+        for own in blocks["cells"]:
+            cells += unpack(own.as_py(), _NAMES["cells"])
+        return pa.table([[part - parts], [None], [None], [pack(cells)]], schema=_EQUAL_SCHEMA)
+    col = {c: [unpack(v.as_py(), t) for v in blocks[c]] for c, t in _NAMES.items() if c != "cells"}
+    col["s1"] = [np.cumsum(v, dtype=np.uint64) for v in col["s1"]]
+    col = {c: np.concatenate(v) for c, v in col.items()}
+    first, gone = _first_of_equals(*[col[c] for c in ("s1", "s2", "id", "line")])
+    ids, line = np.r_[col["gone_id"], col["id"][gone]], np.r_[col["gone_line"], col["line"][gone]]
+    lines = pa.table([pa.array(ids), pa.array(line), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], schema=_EQUAL_SCHEMA)
+    give_back()
+    return pa.concat_tables([lines, pa.table([[None], [None], [len(first)], [None]], schema=_EQUAL_SCHEMA)])
+
+
+def _equals(rows: DataFrame) -> DataFrame:
+    """`id, line, n, cells` from documents `id, t`, see `_equal_lines`."""
+    parts = even_parts(rows.count(), NAMED)
+    with batch_rows(rows.sparkSession, BATCH):
+        blocks = rows.mapInArrow(lambda batches: _named_lines(batches, parts), "part int, " + ", ".join(f"{c} binary" for c in _NAMES))
+        return keep(blocks.groupBy("part").applyInArrow(lambda own: _equal_lines(own, parts), "id long, line int, n long, cells binary"), "equal")
+
+
 # --- candidates ---------------------------------------------------------------------------------------------------
 
 
@@ -146,6 +213,8 @@ _BLOCK = ("key", "id", "line", "n", "pos", "bits", "half", "low", "high", "asked
 _TYPES = ("<u8", "<i8", "<i4", "<i4", "<i4", "<u8", "<u8", "<u8", "<u8", "<u1")
 #: Lines of so many tokens have a parity bitmap of 128 bits, of 256 bits; shorter ones of 64.
 WIDE, WIDER = 64, 128
+#: Earlier lines that all lines together look at in one step, at least.
+STRIDE = 1 << 14
 #: Pairs that a task holds before it cuts them down to what it returns.
 PAIRS = 400_000
 
@@ -157,14 +226,13 @@ def parity(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     the other half is `bits ^ half`, and with the `low` and `high` words of the 256 so are the other two.
     """
     start = np.r_[0, np.cumsum(n)[:-1]]
-    place = mix(tokens, 0)
-    bit = np.uint64(1) << (place & np.uint64(63))
+    bit = np.uint64(1) << (tokens & np.uint64(63))  # tokens end in bits of a hash
     bits = np.bitwise_xor.reduceat(bit, start)
     half, low, high = (np.zeros(len(n), np.uint64) for _ in range(3))
     wide = np.flatnonzero(n >= WIDE)
     if len(wide):
         own = np.repeat(n >= WIDE, n)
-        bit, word, begin = bit[own], (place[own] >> np.uint64(6)) & np.uint64(3), np.r_[0, np.cumsum(n[wide])[:-1]]
+        bit, word, begin = bit[own], (tokens[own] >> np.uint64(6)) & np.uint64(3), np.r_[0, np.cumsum(n[wide])[:-1]]
         q = [np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), begin) for i in range(3)]
         half[wide] = q[0] ^ q[2]
         wider = n[wide] >= WIDER
@@ -215,7 +283,8 @@ def _postings(lines: list[tuple], parts: int, only: np.ndarray | None, s: Fracti
         for whole, some in zip(maps, parity(tokens[np.repeat(met, n)], n[met])):
             whole[met] = some
     part = (key % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((key, part))
+    order = np.argsort(key)
+    order = order[np.argsort(part[order].astype(np.uint16) if parts <= 1 << 16 else part[order], kind="stable")]
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
         rows = order[edges[p]:edges[p + 1]]
@@ -225,17 +294,27 @@ def _postings(lines: list[tuple], parts: int, only: np.ndarray | None, s: Fracti
             yield {"part": p, **{c: pack(v.astype(t)) for c, v, t in zip(_BLOCK, values, _TYPES)}}
 
 
-def _line_batches(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> Iterator[list[tuple]]:
-    """First lines of batches of `id, t, equal, asked`, about `LINES` at a time."""
+def _like_asked(n: np.ndarray, tokens: np.ndarray, among: np.ndarray, s: Fraction) -> np.ndarray:
+    """Which lines may be similar to one that is asked for: at least a share s of their tokens lies in cells of such lines' tokens."""
+    found = np.add.reduceat(among[(tokens & np.uint64(SPREAD - 1)).astype(np.int64)], np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64)
+    return found * s.denominator >= n * s.numerator
+
+
+def _line_batches(batches: Iterator[pa.RecordBatch], classes: np.ndarray, among: np.ndarray | None = None, s: Fraction = SIMILARITY) -> Iterator[list[tuple]]:
+    """First lines of batches of `id, t, equal, asked`, about `LINES` at a time; with `among` those that `_like_asked` leaves."""
     held, count = [], 0
     for batch in batches:
         equal, asked = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for words in cut(batch.column(1)):
             for doc, line, n, tokens in token_sets(_listed(words, equal, False), classes):
+                if among is not None and len(n):
+                    like = _like_asked(n, tokens, among, s)
+                    doc, line, n, tokens = doc[like], line[like], n[like], tokens[np.repeat(like, n)]
                 code = (doc.astype(np.int64) << 32) + line
                 wanted = np.array([(d << 32) + x for d, own in enumerate(asked) for x in own or ()], np.int64)
-                held.append((ids[doc], line, n, tokens, np.isin(code, wanted)))
+                if len(n):
+                    held.append((ids[doc], line, n, tokens, np.isin(code, wanted)))
                 count += len(n)
                 if count >= LINES:
                     yield held
@@ -244,16 +323,24 @@ def _line_batches(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> Ite
         yield held
 
 
+def _in_order(ids: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Indices that sort lines; one number for a line sorts fastest, where ids are near enough for that."""
+    low, width = int(ids.min()), int(line.max()) + 1
+    if (int(ids.max()) - low + 1) * width < 1 << 63:
+        return np.argsort((ids - low) * width + line)
+    return np.lexsort((line, ids))
+
+
 def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
     """Pairs of one part that pass the length, positional and bitmap filters: for each later line the closest `first`
     of the earlier ones it met and whether there may be more; without `first`, all of the lines that are asked for.
 
-    A line stops at `ENOUGH` candidates, so a crowd of similar lines costs work in proportion to its size.
+    A line stops once it has `ENOUGH` candidates, so a crowd of similar lines costs work in proportion to its size.
     """
     col = {c: np.concatenate([unpack(v, t) for v in blocks[c]]) for c, t in zip(_BLOCK[1:], _TYPES[1:])}
     key = np.concatenate([np.cumsum(unpack(v, "<u8"), dtype=np.uint64) for v in blocks["key"]])
     # Number the part's lines in their order, then bring equal keys together, short lines first.
-    order = np.lexsort((col["line"], col["id"]))
+    order = _in_order(col["id"], col["line"])
     ids, line = col.pop("id")[order], col.pop("line")[order]
     new = np.r_[True, (ids[1:] != ids[:-1]) | (line[1:] != line[:-1])]
     of = np.empty(len(key), np.int64)
@@ -261,7 +348,11 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
     ids, line = ids[new], line[new]
     # Postings of equal keys and like lengths lie together in the order of their lines: similar lines are one class apart at most.
     shape = np.floor(np.log(col["n"]) / (np.log(float(1 / s)) * (1 + 1e-9))).astype(np.int64) if s < 1 else col["n"].astype(np.int64)
-    order = np.lexsort((of, shape, key))
+    order = np.argsort(key)
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.r_[False, key[order[1:]] != key[order[:-1]]])
+    low = int(shape.min())
+    order = np.argsort((rank * (int(shape.max()) - low + 1) + shape - low) * len(ids) + of)
     key, shape, of = key[order], shape[order], of[order]
     col = {c: v[order] for c, v in col.items()}
     n, pos = col["n"].astype(np.int64), col["pos"].astype(np.int64)
@@ -284,51 +375,70 @@ def _meet(blocks: pd.DataFrame, s: Fraction, first: int | None) -> pd.DataFrame:
         return pairs[:, rank < first]
 
     found = np.zeros(len(ids), np.int64)
+    # No similar line lets more bits differ than this, whatever its size.
+    most = np.minimum((n + n * s.denominator // s.numerator) * (s.denominator - s.numerator) // (s.denominator + s.numerator), 64).astype(np.uint8)
     askers = np.arange(len(key)) if first is not None else np.flatnonzero(col["asked"])
     for offset in (0, -1, 1) if s < 1 else (0,):
         # The neighbouring class of the same key is the neighbouring group, if there is one.
         to = np.clip(group[askers] + offset, 0, len(starts) - 1)
         own = (key[starts[to]] == key[askers]) & (shape[starts[to]] == shape[askers] + offset)
         alive, to = askers[own], to[own]
-        at, stop = np.searchsorted(place, to * len(ids) + of[alive]) - 1, starts[to]
+        at = np.searchsorted(place, to * len(ids) + of[alive]) - 1
+        left = starts[to] - at - 1  # below zero
+        # Every line walks back to earlier ones, until none is left or it has met enough; those with the longest way come first.
+        order = np.argsort(left, kind="stable")
+        walk = [x[order] for x in (alive, at, left, col["bits"][alive], most[alive])]
+        step, fuller = 0, first is not None
         while True:
-            # Every line walks back to earlier ones, until none is left or it has met enough.
-            ok = at >= stop
-            if first is not None:
-                full = found[of[alive]] >= ENOUGH
-                more[of[alive[ok & full]]] = True
-                ok &= ~full
-            alive, at, stop = alive[ok], at[ok], stop[ok]
+            if fuller:
+                full = found[of[walk[0]]] >= ENOUGH
+                more[of[walk[0][full & (walk[2] < -step)]]] = True
+                walk = [x[~full] for x in walk]
+            walk = [x[:np.searchsorted(walk[2], -step)] for x in walk]
+            alive, at, left, bits, bound = walk
             if not len(alive):
                 break
-            need = overlap(n[alive], n[at], s)
-            slack = n[alive] + n[at] - 2 * need
-            ahead = np.minimum(n[alive] - pos[alive], n[at] - pos[at])
-            good = np.flatnonzero((ahead >= need) & (slack >= 0) & (np.bitwise_count(col["bits"][alive] ^ col["bits"][at]) <= slack))
+            at, width = at - step, max(1, STRIDE // len(alive))
+            if width > 1:
+                # A few lines with a long way take several earlier ones at a time.
+                reach = np.minimum(-left - step, width)
+                alive, at, bits, bound = (np.repeat(x, reach) for x in (alive, at, bits, bound))
+                at -= np.arange(len(at)) - np.repeat(np.cumsum(reach) - reach, reach)
+            step += width
+            good = np.flatnonzero(np.bitwise_count(bits ^ col["bits"][at]) <= bound)
             a, b = alive[good], at[good]
+            need = overlap(n[a], n[b], s)
+            slack = n[a] + n[b] - 2 * need
+            ahead = np.minimum(n[a] - pos[a], n[b] - pos[b])
+            able = (ahead >= need) & (slack >= 0)
+            a, b, slack = a[able], b[able], slack[able]
             differ = apart({c: v[a] for c, v in maps.items()}, {c: v[b] for c, v in maps.items()})
-            kept = differ <= slack[good]
+            kept = differ <= slack
             late, soon = of[a[kept]], of[b[kept]]
             np.add.at(found, late, 1)
+            fuller = first is not None and bool((found[late] >= ENOUGH).any())
             held.append(np.stack([late, soon, differ[kept]]).astype(np.int64))
             waiting += held[-1].shape[1]
             if waiting > PAIRS:
                 held, waiting = [cut_down()], 0
-            at = at - 1
     late, soon, _ = cut_down()
     return pd.DataFrame({
         "id": ids[late], "line": line[late], "to_id": ids[soon], "to_line": line[soon], "more": more[late],
     })
 
 
-def _candidates(first_lines: DataFrame, classes, n_lines: int, s: Fraction, first: int | None, only: np.ndarray | None = None) -> DataFrame:
-    """`id, line, to_id, to_line, more` from documents `id, t, equal, asked`: lists of lines to pass over and to ask for."""
+def _candidates(first_lines: DataFrame, classes, n_lines: int, s: Fraction, first: int | None, cells: np.ndarray | None = None) -> DataFrame:
+    """`id, line, to_id, to_line, more` from documents `id, t, equal, asked`: lists of lines to pass over and to ask for.
+
+    `cells` tells which cells of keys and of tokens belong to lines that are asked for.
+    """
     parts = even_parts(12 * n_lines, POSTINGS)
-    spread = first_lines.sparkSession.sparkContext.broadcast(only)
+    spread = first_lines.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines in _line_batches(batches, classes.value):
-            blocks = list(_postings(lines, parts, spread.value, s))
+        only, among = (None, None) if spread.value is None else spread.value
+        for lines in _line_batches(batches, classes.value, among, s):
+            blocks = list(_postings(lines, parts, only, s))
             if blocks:
                 yield pa.RecordBatch.from_pylist(blocks, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in _BLOCK]]))
             del lines, blocks
@@ -395,13 +505,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), text_of(text).alias("t"))
-    written = _batched(rows, _named_lines, _LINES, "lines")
-    classes = spark.sparkContext.broadcast(_classes(written.where("line IS NULL").select(F.col("id").alias("cell"), F.col("s1").alias("n"))))
-    lines = written.where("line IS NOT NULL")
-    named = keep(lines.groupBy("s1", "s2").agg(F.min(F.struct("id", "line")).alias("f")), "named")
-    equal = keep(lines.join(named, ["s1", "s2"]).where(F.struct("id", "line") != F.col("f")).select("id", "line").distinct(), "equal")
+    named = _equals(rows)
+    classes = spark.sparkContext.broadcast(_classes(named.where("cells IS NOT NULL").select("id", "cells")))
+    n_lines = named.agg(F.sum("n")).first()[0] or 0
+    equal = named.where("line IS NOT NULL").select("id", "line")
     firsts = _with_lists(rows, equal, "equal")
-    n_lines = named.count()
     none = F.lit(None).cast("array<int>").alias("asked")
     with batch_rows(spark, BATCH):
         pairs = keep(_candidates(firsts.select("id", "t", "equal", none), classes, n_lines, similarity, FIRST), "pairs")
@@ -410,25 +518,28 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
     if open_.limit(1).count():
         asking = _with_lists(firsts, open_, "asked").select("id", "t", "equal", "asked")
         with batch_rows(spark, BATCH):
-            only = _cells_of(asking.where("asked IS NOT NULL"), classes, similarity)
-            pairs = keep(_candidates(asking, classes, n_lines, similarity, None, only), "pairs")
+            cells = _cells_of(asking.where("asked IS NOT NULL"), classes, similarity)
+            pairs = keep(_candidates(asking, classes, n_lines, similarity, None, cells), "pairs")
         near = near.union(_verified(pairs, rows, similarity))
     return equal.union(near).distinct()
 
 
 def _cells_of(asking: DataFrame, classes, s: Fraction) -> np.ndarray:
-    """Which of 2^20 cells of the key space hold a posting of a line that is asked for."""
+    """Two rows of `SPREAD` cells: which hold a posting of a line that is asked for, by key, and which a token of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines in _line_batches(batches, classes.value):
             for block in _postings(lines, 1, None, s):
                 keys = np.cumsum(unpack(block["key"], "<u8"), dtype=np.uint64)[unpack(block["asked"], "<u1") > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys >> np.uint64(44)).astype(np.int64))], names=["cell"])
+            for _, _, n, tokens, asked in lines:
+                own = np.unique(tokens[np.repeat(asked, n)] & np.uint64(SPREAD - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own + SPREAD)], names=["cell"])
 
     cells = asking.mapInArrow(run, "cell long").distinct().toPandas()["cell"].to_numpy()
-    out = np.zeros(1 << 20, bool)
+    out = np.zeros(2 * SPREAD, bool)
     out[cells] = True
-    return out
+    return out.reshape(2, SPREAD)
 
 
 def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -444,8 +555,9 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     own = docs.withColumn("_line_id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
     joined = own.join(F.broadcast(listed) if few else listed, "_line_id", "left")
     lines = F.split(F.col(text), "\n")
+    breaks = (F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))).cast("int")
     left = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
     return joined.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)),
+        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(breaks + 1), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)),
         text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
     }).select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")], "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"))

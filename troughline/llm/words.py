@@ -8,10 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
 #: A word's hash is a polynomial in this odd number, modulo 2^64, mixed at the end.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIXERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -84,7 +80,8 @@ def cut(column: pa.Array) -> Iterator[Words]:
 
 
 def _cut(raw: np.ndarray, ends: np.ndarray, first: int) -> Words:
-    blank = _BLANK[raw]
+    # Differences of bytes wrap around, so each range is one comparison.
+    blank = (raw == 32) | (raw - np.uint8(9) < 5)
     edge = np.ones(len(raw) + 1, bool)  # before byte i: a blank or the start of a document
     edge[1:-1] = blank[:-1]
     edge[ends] = True
@@ -93,7 +90,9 @@ def _cut(raw: np.ndarray, ends: np.ndarray, first: int) -> Words:
     after[:-1] = blank
     after[ends] = True
     end = np.flatnonzero(~blank & after[1:]) + 1
-    doc = np.searchsorted(ends, start, "right") - 1
+    # Documents and line breaks are looked up among the words, as they are fewer.
+    count = np.diff(np.searchsorted(start, ends))
     breaks = np.flatnonzero(raw == 10)
-    line = np.searchsorted(breaks, start) - np.searchsorted(breaks, ends[doc]) if len(start) else start
-    return Words(doc + first, line, start, end, _LOWER[raw])
+    after_breaks = np.repeat(np.arange(len(breaks) + 1), np.diff(np.r_[0, np.searchsorted(start, breaks), len(start)]))
+    line = after_breaks - np.repeat(np.searchsorted(breaks, ends[:-1]), count)
+    return Words(np.repeat(np.arange(first, first + len(count)), count), line, start, end, raw + ((raw - np.uint8(65) < 26) * np.uint8(32)))
