@@ -30,7 +30,7 @@ FIRST = 3
 #: Candidates after which a line looks for no more at first, counted as often as they are met.
 ENOUGH = 16
 #: Postings that one task joins at a time, lines that one mapping step turns into postings.
-POSTINGS, LINES = 400_000, 100_000
+POSTINGS, LINES = 400_000, 60_000
 #: Keys and tokens of lines that are asked for fall into this many cells each.
 SPREAD = 1 << 20
 BATCH = 256
@@ -280,8 +280,12 @@ def _postings(lines: list[tuple], parts: int, only: np.ndarray | None, s: Fracti
     if len(at):
         met = np.zeros(len(n), bool)
         met[at] = True
-        for whole, some in zip(maps, parity(tokens[np.repeat(met, n)], n[met])):
-            whole[met] = some
+        for lo in range(0, len(n), 4096):  # few lines at a time, as their tokens are many
+            hi = min(lo + 4096, len(n))
+            some, own = np.flatnonzero(met[lo:hi]), tokens[start[lo]:start[hi]]
+            if len(some):
+                for whole, bits in zip(maps, parity(own[np.repeat(met[lo:hi], n[lo:hi])], n[lo + some])):
+                    whole[lo + some] = bits
     part = (key % np.uint64(parts)).astype(np.int64)
     order = np.argsort(key)
     order = order[np.argsort(part[order].astype(np.uint16) if parts <= 1 << 16 else part[order], kind="stable")]
