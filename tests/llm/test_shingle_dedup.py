@@ -129,3 +129,19 @@ def test_probes_are_not_broadcast(spark):
     prints = spark.createDataFrame([(f * 0x9E3779B97F4A7C15 % (1 << 63),) for f in range(1, 500)], "fp long")
     plan = S.close_pairs(prints, 7)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_texts_and_sketches_move_in_small_batches(spark, monkeypatch):
+    """A sketch of a long text has thousands of bytes, so a batch of 10,000 pairs fills memory beside the heap."""
+    name, rows, held = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, D.keep
+
+    def noted(df, label):
+        if "MapInArrow" in df._jdf.queryExecution().logical().toString():
+            rows[label] = int(spark.conf.get(name))
+        return held(df, label)
+
+    before = spark.conf.get(name)
+    monkeypatch.setattr(D, "keep", noted)
+    D.near_copies(spark.createDataFrame([(0, "a b c d e f g"), (1, "a b c d e f h"), (2, "i")], "row long, t string"))
+    assert {"shingles", "close", "alike"} <= set(rows)
+    assert max(rows.values()) <= D.BATCH and spark.conf.get(name) == before

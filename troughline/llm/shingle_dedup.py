@@ -26,7 +26,7 @@ from troughline.llm.components import components
 from troughline.llm.simhash_dedup import close_pairs, majority
 
 SEED = 42
-#: Documents in an Arrow batch: whole texts have no bound.
+#: Documents, or pairs of them, in an Arrow batch: whole texts and their sketches have no bound.
 BATCH = 256
 #: Slack of bounds computed in floating point; it only lets more candidates through.
 SLACK = 1e-9
@@ -183,7 +183,8 @@ def _close(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    return keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "close")
+    with batch_rows(nodes.sparkSession, BATCH):  # a sketch grows with its text
+        return keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "close")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
